@@ -7,12 +7,12 @@ chunk and looked up afterwards. The memory is bounded: when it is full, chunks s
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Most chunks remembered in one worker.
-LIMIT = 300_000
+LIMIT = 400_000
 
 #: Tables of this worker, by name; Spark reuses workers, so later tasks find them filled.
 _TABLES: dict[tuple, ChunkTable] = {}
@@ -29,18 +29,21 @@ class ChunkTable:
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Row numbers of the given chunks, valid until the next call."""
-        new = set(words).difference(self.index)
-        if new and len(self.index) + len(new) > self.limit:
-            self._shrink()
-            new = set(words).difference(self.index)
-        if new:
-            made = sorted(new)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if (missing := np.flatnonzero(at < 0)).size:
+            new = {words[i] for i in missing}
+            if self.index and len(self.index) + len(new) > self.limit:
+                self._shrink()
+                at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+                missing = np.flatnonzero(at < 0)
+                new = {words[i] for i in missing}
+            made = list(new)
             rows = self.compute(made)
             n = len(self.index)
             self.index.update(zip(made, range(n, n + len(made))))
             self.rows = rows if self.rows is None else np.concatenate([self.rows[:n], rows])
             self.seen = np.concatenate([self.seen[:n], np.zeros(len(made), np.int64)])
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            at[missing] = [self.index[words[i]] for i in missing]
         self.seen += np.bincount(at, minlength=len(self.seen))
         return at
 

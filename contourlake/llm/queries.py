@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm import langid, quality
+from contourlake.llm import langid, packing, quality, records
 from contourlake.llm.common import table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Harmonic packing of all documents into sequences of 2048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as framed records in id order and read back from the files."""
+    manifest = records.write_records(table(spark, sf_dir, "documents"))
+    return records.read_records(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factorisation machine trained on labels of the learnable rows, scored over all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -28,6 +40,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op5_token_records": op5_token_records,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_language_id": op10_language_id,
 }
