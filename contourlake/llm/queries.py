@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm import langid, packing, quality, records
+from contourlake.llm import jaccard, langid, packing, quality, records
 from contourlake.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a similarity of 0.8 on five-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subword-embedding language model trained on the learnable rows, applied to all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -43,7 +48,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_token_records": op5_token_records,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact links on five-word shingles, and their components by spreading the smallest id.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+r AS (SELECT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other)
+SELECT d.doc_id, coalesce(least(d.doc_id, k.class_id), d.doc_id) AS class_id, coalesce(m.n_links, 0) AS n_links
+FROM documents d LEFT JOIN (SELECT node, min(other) AS class_id FROM r GROUP BY node) k ON k.node = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) m ON m.a = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_ngram_jaccard_join": JACCARD_SQL}
