@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm import jaccard, langid, packing, quality, records
-from contourlake.llm.common import table
+from contourlake.llm import jaccard, langid, packing, pii, quality, records
+from contourlake.llm.common import materialize, table
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and those the fitted span classifier adds."""
+    found = materialize(pii.find(table(spark, sf_dir, "documents")), "spans")
+    spans = found.select("doc_id", pii.decided(F.col("spans"), pii.fit(found)).alias("spans"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [pii.count_base(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return spans.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op5_token_records": op5_token_records,
     "op7_quality_classifier": op7_quality_classifier,
@@ -55,10 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Exact links on five-word shingles, and their components by spreading the smallest id.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
