@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm import jaccard, langid, packing, pii, quality, records
+from contourlake.llm import jaccard, langid, packing, pii, quality, records, rules, topk, urls
 from contourlake.llm.common import materialize, table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the longest fitting rule's, else the n-gram model's."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans, and those the fitted span classifier adds."""
     found = materialize(pii.find(table(spark, sf_dir, "documents")), "spans")
@@ -26,12 +31,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether it passes the threshold table."""
+    found = rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as framed records in id order and read back from the files."""
     manifest = records.write_records(table(spark, sf_dir, "documents"))
     return records.read_records(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector against all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factorisation machine trained on labels of the learnable rows, scored over all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -54,9 +70,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_records": op5_token_records,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
@@ -78,4 +97,43 @@ FROM documents d LEFT JOIN (SELECT node, min(other) AS class_id FROM r GROUP BY
 LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) m ON m.a = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_ngram_jaccard_join": JACCARD_SQL}
+#: The counts by list functions; repeated windows by counting them per document.
+RULES_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+  FROM (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w))
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(ws, lambda x: list_contains(STOP_LIST, lower(x)))) AS n_stop_words
+  FROM w LEFT JOIN r USING (doc_id)
+), f AS (
+  SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, greatest(n_words, 1)::DOUBLE AS n,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (CONDITION) AS kept FROM f
+"""
+
+
+def _rules_sql() -> str:
+    """The threshold table as SQL."""
+    names = {"n_words": "n_words", "mean_word": "word_chars / n", "symbols_per_word": "n_symbols / n", "stop_share": "n_stop_words / n", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)::DOUBLE", "repeat_share": "n_repeat_words / n"}
+    bounds = [f"{names[m]} {sign} {value}" for _, m, least, most in rules.THRESHOLDS for sign, value in ((">=", least), ("<=", most)) if value is not None]
+    return RULES_SQL.replace("STOP_LIST", "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS)) + "]").replace("CONDITION", " AND ".join(bounds))
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _rules_sql(), "op6_exact_top_k": TOP_K_SQL, "op8_ngram_jaccard_join": JACCARD_SQL}
