@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm import jaccard, langid, packing, pii, quality, records, rules, topk, urls
+from contourlake.llm import jaccard, langid, packing, pieces, pii, quality, records, rules, topk, urls
 from contourlake.llm.common import materialize, table
 
 
@@ -61,6 +61,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and the checksum of the text they decode to."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    decoded = pieces.decode(encoded)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subword-embedding language model trained on the learnable rows, applied to all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
 
