@@ -1,0 +1 @@
+"""Streaming: the operators this library covers are all batch; nothing is defined here."""
