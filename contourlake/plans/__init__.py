@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("inspection", "describe")
+MODULES = ("inspection", "describe", "editing")
 
 
 def load():
