@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("inspection", "describe", "editing")
+MODULES = ("inspection", "describe", "editing", "models")
 
 
 def load():
