@@ -1,11 +1,12 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted per-dimension lists.
 
 Candidates are dealt into blocks of bounded size, queries likewise, and every pair of blocks is one group.
-In a group each dimension's list is the block sorted by that component. For a query the lists are read
-from the end its own component favours; every vector met is scored in full, and the sum of the products at
-the reading depth bounds all vectors not met yet. Reading stops when the k-th best score beats the bound.
-Depth doubles from round to round, so a list is read in few steps. Equal vectors of a block are read once.
-The k best of every block are merged by a window per query.
+In a group each dimension's list is the block sorted by that component. The lists are read from the end
+that a query's own component favours; every vector met is scored in full, and the sum of the products at
+the reading depth bounds all vectors not met yet. A query stops reading when its k-th best score beats its
+bound. The queries of a group read side by side, so a vector that any of them meets is scored for all that
+still read, in one matrix product. Depth doubles from round to round. Equal vectors of a block are read
+once. The k best of every block are merged by a window per query.
 
 Components become integers before scoring, so scores are exact. Ties go to the smaller id.
 
@@ -21,9 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contourlake.llm.chunks import spans
+
 #: Most candidates and queries in a block, on average.
 CANDIDATES, QUERIES = 8192, 4096
 FIRST_DEPTH = 16
+#: Queries that read the lists side by side.
+TOGETHER = 256
 
 
 def whole_components(vector: Column) -> Column:
@@ -48,36 +53,37 @@ class SortedLists:
         self.lists = np.argsort(self.vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.values, self.lists, axis=0)
 
-    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best for a query, ties to the smaller id."""
-        n, used = len(self.vectors), np.flatnonzero(q)
+    def top(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best for each query (a row of q), ties to the smaller id."""
+        n = len(self.vectors)
         q = q.astype(self.values.dtype)
-        up = q[used] < 0  # read from the small end
-        depth, met, scores = min(FIRST_DEPTH, n), np.zeros(n, bool), np.zeros(0)
-        while True:
-            rows = np.where(up, np.arange(depth)[:, None], n - 1 - np.arange(depth)[:, None])
-            met[self.lists[rows, used].ravel()] = True
-            found = np.flatnonzero(met) if depth < n and len(used) else np.arange(n)
-            scores = self.values[found] @ q
-            if len(found) == n:
-                break
-            bound = (q[used] * self.sorted[np.where(up, depth - 1, n - depth), used]).sum()
-            sizes = self.starts[found + 1] - self.starts[found]
-            best = np.argsort(-scores, kind="stable")
-            reach = np.searchsorted(np.cumsum(sizes[best]), k + 1)  # one more than k: the query itself may be among them
-            if reach < len(best) and scores[best[reach]] > bound:
+        low = np.iinfo(np.int64).min if q.dtype == np.int64 else -np.inf
+        scores = np.full((len(q), n), low, q.dtype)
+        met, alive, depth = np.zeros(n, bool), np.arange(len(q)), min(FIRST_DEPTH, n)
+        while len(alive):
+            now = q[alive]
+            reached = np.zeros(n, bool)
+            reached[self.lists[:depth, (now < 0).any(axis=0)].ravel()] = True
+            reached[self.lists[n - depth :, (now > 0).any(axis=0)].ravel()] = True
+            fresh = np.flatnonzero(reached & ~met) if depth < n else np.flatnonzero(~met)
+            scores[np.ix_(alive, fresh)] = now @ self.values[fresh].T
+            met[fresh] = True
+            count = int(met.sum())
+            if count == n:
                 break
+            if count > k + 1:  # one more than k: the query itself may be among them
+                best = np.partition(scores[alive][:, met], count - (k + 1), axis=1)[:, count - (k + 1)]
+                bound = (now * np.where(now < 0, self.sorted[depth - 1], self.sorted[n - depth])).sum(axis=1)
+                alive = alive[best <= bound]
             depth = min(n, 2 * depth)
-        if len(found) > k + 1:
-            cut = np.partition(scores, len(scores) - (k + 1))[len(scores) - (k + 1)]
-            keep = scores >= cut
-            found, scores = found[keep], scores[keep]
-        ids, at = [], []
-        for f, s in zip(found, scores):
-            part = self.ids[self.starts[f] : self.starts[f + 1]][: k + 1]
-            ids.append(part)
-            at.append(np.full(len(part), s))
-        ids, at = np.concatenate(ids), np.concatenate(at).astype(np.int64)
+        return [self._best(row, o, k) for row, o in zip(scores, own)]
+
+    def _best(self, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(scores)
+        found = np.flatnonzero(scores >= np.partition(scores, n - (k + 1))[n - (k + 1)]) if n > k + 1 else np.arange(n)
+        sizes = np.minimum(self.starts[found + 1] - self.starts[found], k + 1)  # ids of equal vectors are in order
+        ids = self.ids[spans(self.starts[found], sizes)]
+        at = np.repeat(scores[found], sizes).astype(np.int64)
         other = ids != own
         ids, at = ids[other], at[other]
         order = np.lexsort((ids, -at))[:k]
@@ -91,9 +97,10 @@ def _block(k: int):
             return empty
         lists = SortedLists(candidates["vec_id"].to_numpy(np.int64), np.stack(candidates["v"].to_numpy()).astype(np.int64))
         out = []
-        for own, v in zip(queries["vec_id"], queries["v"]):
-            ids, scores = lists.top(np.asarray(v, np.int64), own, k)
-            out.append((np.full(len(ids), own, np.int64), ids, scores))
+        own, q = queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy()).astype(np.int64)
+        for i in range(0, len(own), TOGETHER):
+            for o, (ids, scores) in zip(own[i : i + TOGETHER], lists.top(q[i : i + TOGETHER], own[i : i + TOGETHER], k)):
+                out.append((np.full(len(ids), o, np.int64), ids, scores))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out))))) if out else empty
 
     return run
