@@ -12,10 +12,10 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Most chunks remembered in one worker.
-LIMIT = 400_000
+LIMIT = 120_000
 
-#: Tables of this worker, by name; Spark reuses workers, so later tasks find them filled.
-_TABLES: dict[tuple, ChunkTable] = {}
+#: The table of this worker by name; Spark reuses workers, so later tasks find it filled.
+_TABLES: dict[tuple, object] = {}
 
 
 class ChunkTable:
@@ -55,15 +55,19 @@ class ChunkTable:
         self.rows, self.seen = self.rows[keep], self.seen[keep] // 2
 
 
-def shared_table(key: tuple, make: Callable[[], ChunkTable]) -> ChunkTable:
-    """The table of that name in this worker; at most four are kept."""
+def shared_table(key: tuple, make: Callable):
+    """What ``make`` gave under that name in this worker. One is kept: another stage's table makes room first."""
     if key not in _TABLES:
-        while len(_TABLES) >= 4:
-            _TABLES.pop(next(iter(_TABLES)))
+        _TABLES.clear()
         _TABLES[key] = make()
     return _TABLES[key]
 
 
+def make_room() -> None:
+    """Forget this worker's table; for tasks that need none."""
+    _TABLES.clear()
+
+
 def split_all(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """All chunks of all texts in one list, and how many each text has (null: none)."""
     parts = [t.split() if t else [] for t in texts]

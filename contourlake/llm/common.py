@@ -10,11 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A slice of texts handled at once inside a task holds about this many characters (one longer text is its own slice).
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_500_000
 
 _OWN_DIR: dict[str, str] = {}
 
 
+#: Most rows in an Arrow batch of texts: whole documents are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def text_rows(df: DataFrame, *columns) -> DataFrame:
+    """The given columns of a table, in batches small enough for whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.select(*columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contourlake.llm.chunks import ChunkTable, group_starts, shared_table, spans, stable_hash
-from contourlake.llm.common import materialize, record_batch, text_slices
+from contourlake.llm.common import materialize, record_batch, text_rows, text_slices
 from contourlake.llm.components import connected_components, local_roots
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     A class is a connected component of the links.
     """
     least = least_matches(threshold, tolerance)
-    texts = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    texts = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     sketch = materialize(texts.mapInArrow(_sketch, "doc_id long, fp long, n long, sig binary, bands array<long>"), "sketch")
     sets = sketch.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     sets = materialize(sets, "sets")

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contourlake.llm.chunks import ChunkTable, group_starts, shared_table, split_all, stable_hash
-from contourlake.llm.common import hash_fraction, record_batch, remainder, text_slices
+from contourlake.llm.chunks import ChunkTable, group_starts, make_room, shared_table, split_all, stable_hash
+from contourlake.llm.common import hash_fraction, record_batch, remainder, text_rows, text_slices
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -76,6 +76,7 @@ def _bags(buckets: int):
     schema = pa.schema([("label", pa.string()), ("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.float32()))])
 
     def run(batches):
+        make_room()
         for texts, labels in text_slices(batches, ("text", "label")):
             out = []
             for t in texts:
@@ -100,7 +101,7 @@ def train_language_id(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id"
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("label") == r["label"], min(1.0, per_language / r["count"])).otherwise(share)
-    picked = rows.filter(hash_fraction(seed, "doc_id") < share).select("text", "label")
+    picked = text_rows(rows.filter(hash_fraction(seed, "doc_id") < share), "text", "label")
     bags = picked.mapInArrow(_bags(buckets), "label string, bucket array<int>, times array<float>").toArrow()
     x = np.zeros((bags.num_rows, buckets), np.float32)
     for i, (b, n) in enumerate(zip(bags["bucket"].to_pylist(), bags["times"].to_pylist())):
@@ -188,7 +189,7 @@ def _predict(model: LanguageModel):
 
 def predict_language(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and whether the prediction is rejected, one row per input row."""
-    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    rows = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -204,7 +205,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text"
             kept = np.concatenate([np.zeros(0, bool), *(~b.column(3).to_numpy(zero_copy_only=False) for b in score([plain]))])
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, schema)
+    return text_rows(docs, *docs.columns).mapInArrow(run, schema)
 
 
 def held_out(modulus: int, part: int, doc_id: str = "doc_id") -> Column:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contourlake.llm.common import record_batch, text_slices
+from contourlake.llm.common import record_batch, text_rows, text_slices
 from contourlake.llm.tokens import DEFAULT_VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabul
 
     The open bins of a partition hold fewer than ``capacity * (capacity/shortest + 2*shortest)`` ids, however many rows there are.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    rows = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
 
     def run(batches):
         packer, encode = HarmonicPacker(TaskContext.get().partitionId(), capacity, shortest), encoder(vocabulary).encode

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contourlake.llm.chunks import ChunkTable, group_starts, shared_table, split_all
-from contourlake.llm.common import hash_fraction, record_batch, text_slices
+from contourlake.llm.common import hash_fraction, record_batch, text_rows, text_slices
 
 BUCKETS = 4096
 #: Structure statistics and metadata, in this order behind the hashed buckets.
@@ -122,7 +122,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, doc_id:
             at = [np.flatnonzero(r).astype(np.int32) for r in x]
             yield record_batch(schema, [at, [r[a] for r, a in zip(x, at)], marks, ids])
 
-    found = rows.select("text", "mark", F.col("doc_id").cast("long")).mapInArrow(run, "at array<int>, x array<float>, mark double, doc_id long").toArrow().sort_by("doc_id")
+    found = text_rows(rows, "text", "mark", F.col("doc_id").cast("long")).mapInArrow(run, "at array<int>, x array<float>, mark double, doc_id long").toArrow().sort_by("doc_id")
     x = np.zeros((found.num_rows, BUCKETS + len(STATS)), np.float32)
     for i, (a, v) in enumerate(zip(found["at"].to_pylist(), found["x"].to_pylist())):
         x[i, a] = v
@@ -177,7 +177,7 @@ def _score(model: QualityModel):
 
 def score_quality(docs: DataFrame, model: QualityModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier), one row per input row."""
-    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    rows = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     return rows.mapInArrow(_score(model), "doc_id long, score double")
 
 
@@ -192,4 +192,4 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text: str = "text", least
             kept = np.concatenate([np.zeros(0, bool), *(b.column(1).to_numpy() >= least for b in score([plain]))])
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_rows(docs, *docs.columns).mapInArrow(run, docs.schema)

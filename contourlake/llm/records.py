@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contourlake.llm.common import materialize, new_path, record_batch, text_slices
+from contourlake.llm.common import materialize, new_path, record_batch, text_rows, text_slices
 from contourlake.llm.tokens import DEFAULT_VOCABULARY, encoder
 
 MASK = 0xA282EAD8
@@ -131,7 +131,7 @@ def write_records(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     the quantiles of the id column, so that no row is encoded twice.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"))
+    rows = text_rows(docs, F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards)).first()[0] if shards > 1 else None

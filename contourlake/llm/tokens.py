@@ -26,8 +26,9 @@ DEFAULT_VOCABULARY = "word_bpe_49k.json"
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ]")
 LETTERS = "a-zªµºß-öø-ſ"
 NUMBERS = "0-9²³¹¼½¾"
-#: Most words remembered in one worker.
-WORD_LIMIT = 300_000
+#: Most chunks and words remembered in one worker.
+CHUNK_LIMIT = 250_000
+WORD_LIMIT = 200_000
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
@@ -45,7 +46,7 @@ class TextEncoder:
         self.by_chunk = kinds == ["Split", "ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"] and content["model"].get("end_of_word_suffix") is not None
         self.special = [t["content"] for t in content["added_tokens"]]
         self.bytes = {b: c for b, c in zip(range(256), self._byte_signs())}
-        self.chunks = ChunkTable(self._chunk_rows)
+        self.chunks = ChunkTable(self._chunk_rows, CHUNK_LIMIT)
         self.words: dict[str, list[int]] = {}
         self.pool = np.zeros(0, np.uint32)
 
@@ -90,11 +91,6 @@ class TextEncoder:
         return [part if p or not t else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t, p, part in zip(texts, plain, parts)]
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
 def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> TextEncoder:
     """The encoder of this worker."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = TextEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    return shared_table(("encoder", vocabulary), lambda: TextEncoder(vocabulary))
