@@ -29,6 +29,8 @@ from contourlake.llm.common import hash_fraction, record_batch, remainder, text_
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SIZES = (1, 2, 3, 4)
+#: Small samples are gone through more often, up to about this many steps.
+LEAST_STEPS = 1500
 
 
 @dataclass
@@ -119,6 +121,7 @@ def fit_language_model(x: np.ndarray, y: np.ndarray, languages: list[str], *, di
     x, y = x[order], y[order]
     back = np.arange(n) % round(1 / held_back) == 0 if n >= 50 else np.zeros(n, bool)
     train = np.flatnonzero(~back)
+    epochs = max(epochs, LEAST_STEPS * batch // max(1, len(train)))
     emb = rng.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
     layer, bias = np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
     steps, done = max(1, epochs * -(-len(train) // batch)), 0
