@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from contourlake.functions.scalars import fixed, token_key
@@ -71,53 +70,60 @@ def interpolated(t: np.ndarray, f: np.ndarray, chosen: np.ndarray, action: str,
     return out
 
 
-def _replay(token: str, time: str, f0: str):
-    def run(key, frames: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values(time, kind="stable")
-        t, f = frames[time].to_numpy(float), frames[f0].to_numpy(float).copy()
-        for e in edits.sort_values("seq").itertuples():
-            at = np.array(e.frame_indices, int) - 1
-            at = at[(at >= 0) & (at < len(f))]
-            chosen = np.zeros(len(f), bool)
-            chosen[at] = True
-            if e.action in ("halve", "double"):
-                f[chosen] *= 0.5 if e.action == "halve" else 2
-            elif e.action == "delete":
-                f[chosen] = np.nan
-            elif e.action in ("set", "pick"):
-                if e.action == "set" and e.value > 0:
-                    f[chosen] = e.value
-                elif e.action == "pick":
-                    same = np.abs(f - e.value) <= 0.05
-                    f[chosen & ~same] = e.value if e.value > 0 else np.nan
-            elif e.action.startswith("smooth"):
-                half, before = int(e.value) // 2, f.copy()
-                fold = np.nanmedian if e.action == "smooth_median" else np.nanmean
-                for i in np.flatnonzero(chosen):
-                    part = before[max(0, i - half) : i + half + 1]
-                    f[i] = fold(part) if np.isfinite(part).any() else np.nan
-            elif e.action.startswith("interpolate"):
-                f = interpolated(t, f, chosen, e.action, int(e.value))
-        frames[f0] = [None if np.isnan(v) else v for v in f]
-        return frames
-
-    return run
+def edited(t: np.ndarray, f: np.ndarray, edits) -> np.ndarray:
+    """One token's f0 after its edits (frame_indices, action, value), in order; NaN stands for missing."""
+    f = f.copy()
+    for indices, action, value in edits:
+        at = np.array(indices, int) - 1
+        at = at[(at >= 0) & (at < len(f))]
+        chosen = np.zeros(len(f), bool)
+        chosen[at] = True
+        if action in ("halve", "double"):
+            f[chosen] *= 0.5 if action == "halve" else 2
+        elif action == "delete":
+            f[chosen] = np.nan
+        elif action == "set":
+            f[chosen] = value if value > 0 else f[chosen]
+        elif action == "pick":
+            same = np.abs(f - value) <= 0.05
+            f[chosen & ~same] = value if value > 0 else np.nan
+        elif action.startswith("smooth"):
+            half, before = int(value) // 2, f.copy()
+            fold = np.nanmedian if action == "smooth_median" else np.nanmean
+            for i in np.flatnonzero(chosen):
+                part = before[max(0, i - half) : i + half + 1]
+                f[i] = fold(part) if np.isfinite(part).any() else np.nan
+        elif action.startswith("interpolate"):
+            f = interpolated(t, f, chosen, action, int(value))
+    return f
 
 
 def replay(data: DataFrame, edits: DataFrame, *, token="token", time="time", f0="f0") -> DataFrame:
     """Frames after all edits (seq, token, frame_indices, action, value), in the order of seq within a token.
 
-    Later edits of a token see earlier results, so a token's edits run one after another; only edited
-    tokens go through Python, all others pass by.
+    Later edits of a token see earlier results, so a token's edits run one after another in Python; tokens
+    go through it as arrays, many in a batch. Tokens without edits pass by.
     """
     touched = edits.select(F.col("token").alias("__token")).distinct()
     on = F.col(token).eqNullSafe(F.col("__token"))
     rest, mine = data.join(touched, on, "left_anti"), data.join(touched, on, "left_semi")
-    types = {f.name: f.dataType for f in data.schema}
-    schema = T.StructType([T.StructField(c, T.DoubleType() if c == f0 else types[c]) for c in data.columns])
-    e = edits.withColumnRenamed("token", "__token")
-    done = mine.groupBy(token).cogroup(e.groupBy("__token")).applyInPandas(_replay(token, time, f0), schema)
-    return rest.unionByName(done)
+    others = [c for c in data.columns if c not in (token, time, f0)]
+    frames = mine.groupBy(token).agg(F.sort_array(F.collect_list(F.struct(time, F.col(f0).cast("double").alias(f0), *others))).alias("__frames"))
+    lists = edits.groupBy(F.col("token").alias("__token")).agg(F.sort_array(F.collect_list(F.struct("seq", "frame_indices", "action", F.col("value").cast("double").alias("value")))).alias("__edits"))
+
+    @F.pandas_udf("array<double>")
+    def run(t: pd.Series, f: pd.Series, indices: pd.Series, actions: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(t, f, indices, actions, values):
+            new = edited(np.asarray(row[0], float), np.asarray(row[1], float), zip(*row[2:]))
+            out.append([None if np.isnan(v) else float(v) for v in new])
+        return pd.Series(out)
+
+    of = lambda c, name: F.transform(c, lambda x: x[name])
+    done = frames.join(lists, on).withColumn("__new", run(of("__frames", time), of("__frames", f0), of("__edits", "frame_indices"), of("__edits", "action"), of("__edits", "value")))
+    each = done.select(token, F.explode(F.arrays_zip("__frames", "__new")).alias("x"))
+    back = each.select(*(F.col(token) if c == token else F.col("x.__new").alias(c) if c == f0 else F.col(f"x.__frames.{c}").alias(c) for c in data.columns))
+    return rest.unionByName(back)
 
 
 def compare(original: DataFrame, corrected: DataFrame, dropped: DataFrame, *, token="token", time="time", f0="f0") -> DataFrame:
