@@ -3,10 +3,12 @@
 1. Texts are cut into words (a run of word marks and what follows it up to the next mark or line end);
    no piece of the vocabulary crosses such a cut. Distinct words are counted.
 2. Every word's substrings of bounded length are exploded and equi-joined with the piece table (32,000
-   rows, broadcast). Matches are the lattice's edges; they are grouped by word, which needs no further
-   exchange, and folded by a higher-order aggregate.
-3. Texts are encoded by looking their words up: the most frequent words (a bounded number) in a broadcast
-   table, all others through a join that hands every document the ids of just its own rare words.
+   rows, broadcast). Matches are the lattice's edges, each packed into one number. The rows of a word stay
+   together on the way through the broadcast join, so they are grouped as they stream by: a shuffle or
+   sort of the edges would cost many times the input. A higher-order aggregate folds each word's edges.
+3. Texts are encoded by looking their words up: the most frequent words (FREQUENT at most, kept as plain
+   number arrays) in a broadcast table, all others through a join that hands every document the ids of
+   just its own rare words.
 
 The public vocabulary is a byte-pair model: its pieces carry merge ranks, not probabilities, and the path
 of the best score sum is not its encoding. So the fold over the lattice is not Viterbi: it takes the edges
@@ -14,8 +16,7 @@ from the best rank to the worst and joins two neighbours wherever an edge spans
 equals merging the best pair first as long as every piece encodes to itself, which is checked when the
 table is loaded. A word's cuts are bits of one number, so words are folded up to MAX_WORD characters; the
 few longer ones, and words behind a run of MAX_MARKS spaces (whose pieces all have one rank), are encoded
-by the sentencepiece library. ``fold="viterbi"`` gives the best score sum, for
-vocabularies whose scores are log probabilities.
+by the sentencepiece library.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; characters without a piece
 become bytes; repeated rows are encoded each; empty tables give empty results; extra columns are not touched.
@@ -24,16 +25,20 @@ become bytes; repeated rows are encoded each; empty tables give empty results; e
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm.common import materialize, record_batch, text_slices
+from contourlake.llm.chunks import ChunkTable, shared_table, spans
+from contourlake.llm.common import materialize, record_batch, text_rows, text_slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -43,21 +48,23 @@ _WORD = re.compile(WORD)
 MAX_WORD = 60
 #: Runs of this many marks are not folded: their pieces have equal ranks, so the order of joins would matter.
 MAX_MARKS = 15
-#: Most words in the broadcast table.
-FREQUENT = 200_000
+#: Most words in the broadcast table; a word takes about 30 bytes there.
+FREQUENT = 5_000_000
+#: Places of an edge's parts in its number: rank, start, end and id + 1 (0: a character without a piece).
+RANK, START, END, ID_BITS = 33, 27, 21, 21
 
 
 @dataclass
 class Pieces:
-    """The piece table: text, score and id of ordinary pieces; the id of byte 0; the longest piece."""
+    """The piece table: text, rank (0: best; equal scores, equal ranks) and id of ordinary pieces; the id of byte 0; the longest piece."""
 
-    rows: list[tuple[str, float, int]]
+    rows: list[tuple[str, int, int]]
     first_byte: int
     longest: int
     model: str
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, score double, id int")
+        return spark.createDataFrame(self.rows, "piece string, rank long, id long")
 
 
 def load(model: str = DEFAULT_MODEL) -> Pieces:
@@ -71,12 +78,13 @@ def load(model: str = DEFAULT_MODEL) -> Pieces:
     for piece, _, i in plain:
         if "\n" in piece or MARK in piece.lstrip(MARK):
             raise ValueError(f"piece {i} crosses a word")
-    whole = {p for p, _, _ in plain}
-    ranks = {p: s for p, s, _ in plain}
+    order = {s: r for r, s in enumerate(sorted({s for _, s, _ in plain}, reverse=True))}
+    plain = [(p, order[s], i) for p, s, i in plain]
+    ranks = {p: r for p, r, _ in plain}
     for piece, _, i in plain:
         if len(piece) > 1 and folded(piece) and fold_word(piece, ranks) != [piece]:
             raise ValueError(f"piece {i} does not encode to itself")
-    return Pieces(plain, octets[0], max(map(len, whole)), model)
+    return Pieces(plain, octets[0], max(map(len, ranks)), model)
 
 
 def folded(word: str) -> bool:
@@ -84,9 +92,9 @@ def folded(word: str) -> bool:
     return len(word) <= MAX_WORD and not word.startswith(MARK * MAX_MARKS)
 
 
-def fold_word(word: str, scores: dict[str, float]) -> list[str]:
+def fold_word(word: str, ranks: dict[str, int]) -> list[str]:
     """The fold of one word in plain Python; what the Spark expression is checked against."""
-    edges = sorted((-scores[word[s:e]], s, e) for s in range(len(word)) for e in range(s + 2, len(word) + 1) if word[s:e] in scores)
+    edges = sorted((ranks[word[s:e]], s, e) for s in range(len(word)) for e in range(s + 2, len(word) + 1) if word[s:e] in ranks)
     cuts = set(range(len(word) + 1))
     for _, s, e in edges:
         inner = [c for c in range(s + 1, e) if c in cuts]
@@ -108,90 +116,166 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Edges of every word up to MAX_WORD characters, grouped: word and an array of (rank, s, e, ends, mid, id, piece), best rank first."""
+    """word and its edges (array of packed numbers) for every word that is folded.
+
+    The first row of a word is its first character's, which is always there; it carries the word.
+    """
     n = F.length("word")
-    one = F.lit(1).cast("bigint")
     starts = F.sequence(F.lit(0), n - 1)
 
     def from_start(s):
         return F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), k.alias("k"), F.substring(F.col("word"), s + 1, k).alias("piece")))
 
-    each = words.filter((n <= MAX_WORD) & ~F.col("word").startswith(MARK * MAX_MARKS)).select("word", F.explode(F.flatten(F.transform(starts, from_start))).alias("x")).select("word", "x.*")
+    each = words.filter((n <= MAX_WORD) & (n > 0) & ~F.col("word").startswith(MARK * MAX_MARKS)).select("word", F.explode(F.flatten(F.transform(starts, from_start))).alias("x")).select("word", "x.*")
     found = each.join(F.broadcast(pieces.frame(words.sparkSession)), "piece", "left").filter("id is not null or k = 1")
-    e = F.col("s") + F.col("k")
-    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
-    ends = bit("s").bitwiseOR(bit("s + k"))
-    mid = (bit("s + k") - one).bitwiseAND(F.bitwise_not(bit("s + 1") - one))
-    row = F.struct((-F.col("score")).alias("rank"), "s", e.alias("e"), ends.alias("ends"), mid.alias("mid"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("unknown"))
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(row)).alias("edges"))
-
-
-def fold(edges: DataFrame, pieces: Pieces, method: str = "ranks") -> DataFrame:
+    edge = F.expr(f"shiftleft(coalesce(rank, 0L), {RANK}) + shiftleft(bigint(s), {START}) + shiftleft(bigint(s + k), {END}) + coalesce(id + 1, 0L)")
+    rows = found.select(F.when((F.col("s") == 0) & (F.col("k") == 1), F.col("word")).alias("word"), edge.alias("edge"))
+    return rows.mapInArrow(_grouped, "word string, edges array<long>")
+
+
+def _grouped(batches):
+    """One row per word from the rows of its edges, which follow one another; a word cut by a batch's end waits for the next."""
+    schema = pa.schema([("word", pa.string()), ("edges", pa.list_(pa.int64()))])
+    carry = None
+    for batch in chain(batches, [None]):
+        block = carry if batch is None else batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+        if block is None or not block.num_rows:
+            continue
+        first = np.flatnonzero(block.column(0).is_valid().to_numpy(zero_copy_only=False))
+        end = block.num_rows if batch is None else int(first[-1])
+        carry = None if batch is None else block.slice(end)
+        first = first[first < end]
+        if len(first):
+            offsets = pa.array(np.append(first, end), pa.int32())
+            edges = pa.ListArray.from_arrays(offsets, block.column(1).slice(0, end))
+            yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(first)), edges], schema=schema)
+
+
+def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
     """word and its ids (array of int)."""
-    n = F.length("word")
     everything = F.expr("shiftleft(1L, length(word) + 1)") - F.lit(1).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    shift = lambda x, c: F.call_function("shiftleft", x, c.cast("int"))
+    part = lambda x, at, bits: F.shiftright(x, at).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    start, end = (lambda x: part(x, START, 6)), (lambda x: part(x, END, 6))
+    outer = lambda x: shift(one, start(x)).bitwiseOR(shift(one, end(x)))
+    inner = lambda x: (shift(one, end(x)) - one).bitwiseAND(F.bitwise_not(shift(one, start(x) + 1) - one))
+    masks = F.transform(F.sort_array("edges"), lambda x: F.struct(x.alias("x"), outer(x).alias("outer"), inner(x).alias("inner")))
 
-    def join_pair(cuts, x):
-        fits = (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["mid"])) == 1)
-        return F.when(fits, cuts.bitwiseAND(F.bitwise_not(x["mid"]))).otherwise(cuts)
+    def join_pair(cuts, m):
+        fits = (cuts.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(cuts.bitwiseAND(m["inner"])) == 1)
+        return F.when(fits, cuts.bitwiseAND(F.bitwise_not(m["inner"]))).otherwise(cuts)
 
-    if method == "ranks":
-        cuts = F.aggregate("edges", everything, join_pair)
-    else:  # best[i]: (score, cuts) of the best path to i; edges come by where they end
-        by_end = F.array_sort(F.transform("edges", lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), F.coalesce(-x["rank"], F.lit(-1e6)).alias("score"))))
-        first = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, 0.0).otherwise(-1e300).alias("score"), F.lit(1).cast("bigint").alias("cuts")))
+    def ids_of(x):
+        codes = F.hex(F.encode(F.substring(F.col("word"), (start(x) + 1).cast("int"), F.lit(1)), "UTF-8"))
+        octets = F.transform(F.sequence(F.lit(0), (F.length(codes) / 2).cast("int") - 1), lambda i: (F.conv(F.substring(codes, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + pieces.first_byte))
+        number = part(x, 0, ID_BITS)
+        return F.when(number == 0, octets).otherwise(F.array((number - 1).cast("int")))
 
-        def relax(best, x):
-            score = F.get(best, x["s"])["score"] + x["score"]
-            path = F.get(best, x["s"])["cuts"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["e"]))
-            return F.transform(best, lambda b, i: F.when((i == x["e"]) & (score > b["score"]), F.struct(score.alias("score"), path.alias("cuts"))).otherwise(b))
+    folded_ = edges.withColumn("m", masks).withColumn("cuts", F.aggregate("m", everything, join_pair))
+    kept = F.filter("m", lambda m: (F.col("cuts").bitwiseAND(m["outer"]) == m["outer"]) & (F.col("cuts").bitwiseAND(m["inner"]) == 0))
+    ordered = F.sort_array(F.transform(kept, lambda m: F.struct(start(m["x"]).alias("s"), m["x"].alias("x"))))
+    return folded_.withColumn("kept", ordered).select("word", F.flatten(F.transform("kept", lambda k: ids_of(k["x"]))).alias("ids"))
 
-        cuts = F.element_at(F.aggregate(by_end, first, relax), -1)["cuts"]
 
-    def ids_of(x):
-        codes = F.hex(F.encode(x["unknown"], "UTF-8"))
-        octets = F.transform(F.sequence(F.lit(0), (F.length(codes) / 2).cast("int") - 1), lambda i: (F.conv(F.substring(codes, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + pieces.first_byte))
-        return F.struct(x["s"].alias("s"), F.when(x["id"].isNull(), octets).otherwise(F.array(x["id"])).alias("ids"))
+def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word and ids of each distinct word that is folded."""
+    return fold(lattice(words, pieces), pieces)
+
 
-    chosen = F.filter("edges", lambda x: (F.col("cuts").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("cuts").bitwiseAND(x["mid"]) == 0))
-    return edges.withColumn("cuts", cuts).select("word", F.flatten(F.transform(F.sort_array(F.transform(chosen, ids_of)), lambda x: x["ids"])).alias("ids"))
+@dataclass
+class WordIds:
+    """Ids of many words in number arrays: hashes in order, where each word's ids begin, and all ids."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def from_table(table: pa.Table) -> WordIds:
+        hashes = table["hash"].to_numpy().view(np.uint64)
+        ids = table["ids"].combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        order = np.argsort(hashes, kind="stable")
+        starts = ids.offsets.to_numpy()[:-1].astype(np.int64)[order]
+        sizes = sizes[order]
+        return WordIds(hashes[order], np.append(0, np.cumsum(sizes)), ids.values.to_numpy()[spans(starts, sizes)].astype(np.uint16))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Start and number of each word's ids; -1 where it is not known."""
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        if not len(self.hashes):
+            return np.full((len(words), 2), -1, np.int64)
+        known = self.hashes[at] == h
+        return np.where(known[:, None], np.stack([self.starts[at], self.starts[at + 1] - self.starts[at]], axis=1), -1)
+
+
+def _known(frequent, key: str) -> ChunkTable:
+    """This worker's words with where their ids stand in the broadcast table."""
+    return shared_table(("pieces", key), lambda: ChunkTable(frequent.value.find))
 
 
-def dictionary(words: DataFrame, pieces: Pieces, method: str = "ranks") -> DataFrame:
-    """word and ids of each distinct word up to MAX_WORD characters."""
-    return fold(lattice(words, pieces), pieces, method)
+def _words_of(text: str | None) -> list[str]:
+    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _rare_words(frequent):
+def _hashed(batches):
+    schema = pa.schema([("hash", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    for batch in batches:
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+        yield record_batch(schema, [h.view(np.int64), batch.column(1)])
+
+
+def _rare_words(frequent, key: str):
     schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string())])
 
     def run(batches):
-        known = frequent.value
         for texts, ids in text_slices(batches, ("text", "doc_id")):
-            pairs = [(d, w) for d, t in zip(ids, texts) if t for w in set(_WORD.findall(MARK + t.replace(" ", MARK))).difference(known) if folded(w)]
+            known = _known(frequent, key)
+            parts = [list(dict.fromkeys(w for w in _words_of(t) if folded(w))) for t in texts]
+            words = list(chain.from_iterable(parts))
+            rare = known.rows[at, 0] < 0 if len(at := known.lookup(words)) else np.zeros(0, bool)
+            pairs = [(d, w) for (d, w), r in zip(((d, w) for d, p in zip(ids, parts) for w in p), rare) if r]
             if pairs:
                 yield record_batch(schema, zip(*pairs))
 
     return run
 
 
-def _encode(frequent, model: str):
+def _encode(frequent, key: str, model: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    library = []
+
+    def elsewhere(word: str, own: dict) -> np.ndarray:
+        """Ids of a word that the broadcast table lacks: a rare one of the document's own, or one that is not folded."""
+        if word in own:
+            return own[word]
+        if not library:
+            library.append(sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model)))
+        return np.array(library[0].encode("\n" + word)[2:], np.uint32)  # behind a line end no mark is put in front; the first two ids are those of a mark and the line end
 
     def run(batches):
-        known, library = frequent.value, None
         for texts, ids, rare in text_slices(batches, ("text", "doc_id", "rare")):
-            out = []
-            for t, more in zip(texts, rare):
-                words = _WORD.findall(MARK + t.replace(" ", MARK)) if t else []
-                own = {m["word"]: np.array(m["ids"], "<u4").tobytes() for m in more} if more else {}
-                parts = [known.get(w) or own.get(w) for w in words]
-                if None in parts:
-                    library = library or sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
-                    for i, p in enumerate(parts):
-                        if p is None:  # behind a line end no mark is put in front; two ids are those of the mark and the line end
-                            parts[i] = np.array(library.encode("\n" + words[i])[2:], "<u4").tobytes()
-                out.append(b"".join(parts))
+            known, table = _known(frequent, key), frequent.value
+            parts = [_words_of(t) for t in texts]
+            words = list(chain.from_iterable(parts))
+            out, done = [], 0
+            rows = known.rows[at] if len(at := known.lookup(words)) else np.zeros((0, 2), np.int64)
+            for p, more in zip(parts, rare):
+                r = rows[done : done + len(p)]
+                done += len(p)
+                lost = np.flatnonzero(r[:, 0] < 0)
+                if not len(lost):
+                    out.append(table.ids[spans(r[:, 0], r[:, 1])].astype("<u4").tobytes())
+                    continue
+                own, pieces, last = {m["word"]: np.array(m["ids"], np.uint32) for m in more or ()}, [], 0
+                for i in lost:
+                    pieces += [table.ids[spans(r[last:i, 0], r[last:i, 1])], elsewhere(p[i], own)]
+                    last = i + 1
+                pieces.append(table.ids[spans(r[last:, 0], r[last:, 1])])
+                out.append(np.concatenate(pieces).astype("<u4").tobytes())
             yield record_batch(schema, [ids, out])
 
     return run
@@ -201,20 +285,29 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
     """doc_id and ids (little-endian 32-bit) of every row."""
     spark = docs.sparkSession
     pieces = load(model)
-    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    rows = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     counts = materialize(word_counts(rows), "words")
-    table = materialize(dictionary(counts.select("word"), pieces), "word-ids")
     n = counts.count()
-    chosen = counts.orderBy(F.desc("count"), "word").limit(frequent) if n > frequent else counts
-    top = table.join(F.broadcast(chosen.select("word")), "word").toArrow()
-    known = spark.sparkContext.broadcast({w: np.array(i, "<u4").tobytes() for w, i in zip(top["word"].to_pylist(), top["ids"].to_pylist())})
+    table = materialize(dictionary(counts.select("word"), pieces), "word-ids")
+    top = table
+    if n > frequent:  # words at least as frequent as the last that fits
+        least = counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).collect()
+        total, bound = 0, None
+        for r in least:
+            total += r["words"]
+            if total > frequent:
+                break
+            bound = r["count"]
+        top = table.join(counts.filter(F.col("count") >= bound).select("word"), "word", "left_semi") if bound else table.limit(0)
+    known = spark.sparkContext.broadcast(WordIds.from_table(top.select("word", "ids").mapInArrow(_hashed, "hash long, ids array<int>").toArrow()))
+    key = uuid.uuid4().hex
     if n > frequent:
-        pairs = rows.mapInArrow(_rare_words(known), "doc_id long, word string")
+        pairs = rows.mapInArrow(_rare_words(known, key), "doc_id long, word string")
         rare = pairs.join(table, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
         rows = rows.join(rare, "doc_id", "left").select("text", "doc_id", "rare")
     else:
         rows = rows.withColumn("rare", F.lit(None).cast("array<struct<word:string,ids:array<int>>>"))
-    return rows.mapInArrow(_encode(known, model), "doc_id long, ids binary")
+    return rows.mapInArrow(_encode(known, key, model), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
