@@ -48,7 +48,7 @@ _WORD = re.compile(WORD)
 MAX_WORD = 60
 #: Runs of this many marks are not folded: their pieces have equal ranks, so the order of joins would matter.
 MAX_MARKS = 15
-#: Most words in the broadcast table; a word takes about 30 bytes there.
+#: Most words in the broadcast table; a word takes about 20 bytes there.
 FREQUENT = 5_000_000
 #: Places of an edge's parts in its number: rank, start, end and id + 1 (0: a character without a piece).
 RANK, START, END, ID_BITS = 33, 27, 21, 21
@@ -73,6 +73,8 @@ def load(model: str = DEFAULT_MODEL) -> Pieces:
     ids = range(sp.get_piece_size())
     plain = [(sp.id_to_piece(i), sp.get_score(i), i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     octets = [i for i in ids if sp.is_byte(i)]
+    if len(ids) > 1 << 16:
+        raise ValueError("ids do not fit into 16 bits")
     if octets != list(range(octets[0], octets[0] + 256)):
         raise ValueError("the vocabulary has no run of 256 byte pieces")
     for piece, _, i in plain:
@@ -185,31 +187,30 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 @dataclass
 class WordIds:
-    """Ids of many words in number arrays: hashes in order, where each word's ids begin, and all ids."""
+    """Ids of many words in number arrays: hashes in order, where each word's ids begin and how many they are, and all ids."""
 
     hashes: np.ndarray
     starts: np.ndarray
+    sizes: np.ndarray
     ids: np.ndarray
 
     @staticmethod
-    def from_table(table: pa.Table) -> WordIds:
-        hashes = table["hash"].to_numpy().view(np.uint64)
-        ids = table["ids"].combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    def from_parts(parts: list) -> WordIds:
+        """From rows of (hashes, sizes, ids) as bytes, one per partition; the ids stay where they are."""
+        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(p[name], kind) for p in parts)])
+        hashes, sizes = join("hashes", np.uint64), join("sizes", np.uint8)
         order = np.argsort(hashes, kind="stable")
-        starts = ids.offsets.to_numpy()[:-1].astype(np.int64)[order]
-        sizes = sizes[order]
-        return WordIds(hashes[order], np.append(0, np.cumsum(sizes)), ids.values.to_numpy()[spans(starts, sizes)].astype(np.uint16))
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.uint32)
+        return WordIds(hashes[order], starts[order], sizes[order], join("ids", np.uint16))
 
     def find(self, words: list[str]) -> np.ndarray:
         """Start and number of each word's ids; -1 where it is not known."""
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         if not len(self.hashes):
             return np.full((len(words), 2), -1, np.int64)
-        known = self.hashes[at] == h
-        return np.where(known[:, None], np.stack([self.starts[at], self.starts[at + 1] - self.starts[at]], axis=1), -1)
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        found = np.stack([self.starts[at], self.sizes[at]], axis=1).astype(np.int64)
+        return np.where((self.hashes[at] == h)[:, None], found, -1)
 
 
 def _known(frequent, key: str) -> ChunkTable:
@@ -221,11 +222,17 @@ def _words_of(text: str | None) -> list[str]:
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _hashed(batches):
-    schema = pa.schema([("hash", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _packed(batches):
+    """One row per partition: hashes (64 bits), numbers of ids (8 bits: at most four a character) and ids (16 bits) of all its words."""
+    schema = pa.schema([("hashes", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+    hashes, sizes, ids = [], [], []
     for batch in batches:
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-        yield record_batch(schema, [h.view(np.int64), batch.column(1)])
+        words, lists = batch.column(0).to_pylist(), batch.column(1)
+        hashes.append(np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).tobytes())
+        sizes.append(np.diff(lists.offsets.to_numpy()).astype(np.uint8).tobytes())
+        ids.append(lists.flatten().to_numpy().astype(np.uint16).tobytes())
+    if hashes:
+        yield record_batch(schema, [[b"".join(hashes)], [b"".join(sizes)], [b"".join(ids)]])
 
 
 def _rare_words(frequent, key: str):
@@ -299,7 +306,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
                 break
             bound = r["count"]
         top = table.join(counts.filter(F.col("count") >= bound).select("word"), "word", "left_semi") if bound else table.limit(0)
-    known = spark.sparkContext.broadcast(WordIds.from_table(top.select("word", "ids").mapInArrow(_hashed, "hash long, ids array<int>").toArrow()))
+    known = spark.sparkContext.broadcast(WordIds.from_parts(top.select("word", "ids").mapInArrow(_packed, "hashes binary, sizes binary, ids binary").collect()))
     key = uuid.uuid4().hex
     if n > frequent:
         pairs = rows.mapInArrow(_rare_words(known, key), "doc_id long, word string")
