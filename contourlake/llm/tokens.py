@@ -27,8 +27,8 @@ NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ]")
 LETTERS = "a-zªµºß-öø-ſ"
 NUMBERS = "0-9²³¹¼½¾"
 #: Most chunks and words remembered in one worker.
-CHUNK_LIMIT = 250_000
-WORD_LIMIT = 200_000
+CHUNK_LIMIT = 350_000
+WORD_LIMIT = 300_000
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
