@@ -13,7 +13,8 @@ Buckets and components larger than a chunk are cut into chunks that are compared
 pair of chunks being a group of its own; no group grows with the data, and no link is left out.
 
 Edge cases: a text of one to four words is one shingle; a null text or one without words has no links
-and is its own class; equal rows are copies of each other; empty tables give empty results; extra
+and is its own class; equal rows are copies of each other; rows without an id take part like all others,
+and a class in which no row has an id has none either; empty tables give empty results; extra
 columns are not touched. Words are runs of characters other than white space, compared as they are.
 """
 
@@ -121,8 +122,8 @@ def _pairs(side: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
-    for texts, ids in text_slices(batches, ("text", "doc_id")):
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    for texts, ids, keys in text_slices(batches, ("text", "doc_id", "row")):
         sets = shingle_sets(texts)
         some = [i for i, s in enumerate(sets) if len(s)]
         fps, sigs, bands = [None] * len(texts), [None] * len(texts), [None] * len(texts)
@@ -134,7 +135,7 @@ def _sketch(batches):
             for k, i in enumerate(some):
                 fps[i] = int(fingerprint(sets[i]))
                 sigs[i], bands[i] = short[k].tobytes(), key[k]
-        yield record_batch(schema, [ids, fps, [len(s) for s in sets], sigs, bands])
+        yield record_batch(schema, [ids, keys, fps, [len(s) for s in sets], sigs, bands])
 
 
 def fingerprint(shingles: np.ndarray) -> np.int64:
@@ -190,13 +191,10 @@ def _stars(least):
 
 
 def _with_sets(batches):
-    """Shingle sets of the texts that stand for a set; a row whose text is another one with the same id is dropped."""
-    schema = pa.schema([("component", pa.int64()), ("chunks", pa.int64()), ("fp", pa.int64()), ("doc", pa.int64()), ("copies", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
-    for texts, component, chunks, fp, doc, copies, sig in text_slices(batches, ("text", "component", "chunks", "fp", "doc", "copies", "sig")):
-        sets = shingle_sets(texts)
-        rows = [(c, k, f, d, n, g, s.tobytes()) for s, c, k, f, d, n, g in zip(sets, component, chunks, fp, doc, copies, sig) if len(s) and int(fingerprint(s)) == f]
-        if rows:
-            yield record_batch(schema, zip(*rows))
+    """Shingle sets of the texts that stand for a set."""
+    schema = pa.schema([("component", pa.int64()), ("chunks", pa.int64()), ("fp", pa.int64()), ("copies", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
+    for texts, component, chunks, fp, copies, sig in text_slices(batches, ("text", "component", "chunks", "fp", "copies", "sig")):
+        yield record_batch(schema, [component, chunks, fp, copies, sig, [s.tobytes() for s in shingle_sets(texts)]])
 
 
 def common_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -213,12 +211,12 @@ def common_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 
 
 def _verify(least, threshold: float):
-    schema = pa.schema([("component", pa.int64()), ("chunks", pa.int64()), ("fp", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("root_doc", pa.int64())])
+    schema = pa.schema([("component", pa.int64()), ("chunks", pa.int64()), ("fp", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
-        for (component, i, j), (_, _, _, side, chunks, fp, doc, copies, sig, shingles) in groups(batches, 3):
+        for (component, i, j), (_, _, _, side, chunks, fp, copies, sig, shingles) in groups(batches, 3):
             _, first = np.unique(fp, return_index=True)
-            side, fp, doc, copies = (x[first] for x in (side, fp, doc, copies))
+            side, fp, copies = (x[first] for x in (side, fp, copies))
             sets = [np.frombuffer(shingles[k], np.uint64) for k in first]
             sigs = np.frombuffer(b"".join(sig[k] for k in first), np.uint8).reshape(len(first), VALUES)
             left, right = _pairs(side, i, j)
@@ -234,9 +232,7 @@ def _verify(least, threshold: float):
                 np.add.at(links, left, copies[right])
                 np.add.at(links, right, copies[left])
             root = local_roots(len(fp), left, right)
-            least_doc = np.full(len(fp), np.iinfo(np.int64).max)
-            np.minimum.at(least_doc, root, doc)
-            yield record_batch(schema, [np.full(len(fp), component), np.full(len(fp), chunks[0]), fp, links, fp[root], least_doc[root]])
+            yield record_batch(schema, [np.full(len(fp), component), np.full(len(fp), chunks[0]), fp, links, fp[root]])
 
     return run
 
@@ -250,15 +246,17 @@ def _dealt(rows: DataFrame, key: str, chunks: str, *columns: str) -> DataFrame:
     return pairs.repartition(n, key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", row: str | None = None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest doc_id of its class) and n_links (rows at least ``threshold`` alike, copies included).
 
-    A class is a connected component of the links.
+    A class is a connected component of the links. Rows are told apart by ``row``, a written column of distinct
+    numbers; without one the texts are written once more with a number each, so ids may be null or repeated.
     """
     least = least_matches(threshold, tolerance)
-    texts = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    sketch = materialize(texts.mapInArrow(_sketch, "doc_id long, fp long, n long, sig binary, bands array<long>"), "sketch")
-    sets = sketch.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    texts = text_rows(rows if row else materialize(rows, "rows"), "text", "doc_id", "row")
+    sketch = materialize(texts.mapInArrow(_sketch, "doc_id long, row long, fp long, n long, sig binary, bands array<long>"), "sketch")
+    sets = sketch.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     sets = materialize(sets, "sets")
 
     keys = sets.select("fp", F.explode("bands").alias("key"))
@@ -267,21 +265,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     stars = _dealt(crowded, "key", "chunks", "fp", "sig").mapInArrow(_stars(least), "u long, v long")
     parts = materialize(connected_components(stars, "u", "v").withColumnRenamed("node", "fp"), "candidates")
 
-    members = parts.join(sets.select("fp", "doc", "copies", "n", "sig"), "fp")
+    members = parts.join(sets.select("fp", "row", "copies", "n", "sig"), "fp")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
     members = members.join(sizes, "component")
-    full = texts.join(members, texts["doc_id"] == members["doc"]).select("text", "component", "chunks", "fp", "doc", "copies", "sig")
-    full = full.mapInArrow(_with_sets, "component long, chunks long, fp long, doc long, copies long, sig binary, shingles binary")
-    checked = _dealt(full, "component", "chunks", "chunks", "fp", "doc", "copies", "sig", "shingles")
-    checked = materialize(checked.mapInArrow(_verify(least, threshold), "component long, chunks long, fp long, links long, root long, root_doc long"), "verified")
+    full = texts.select("text", "row").join(members, "row").select("text", "component", "chunks", "fp", "copies", "sig")
+    full = full.mapInArrow(_with_sets, "component long, chunks long, fp long, copies long, sig binary, shingles binary")
+    checked = _dealt(full, "component", "chunks", "chunks", "fp", "copies", "sig", "shingles")
+    checked = materialize(checked.mapInArrow(_verify(least, threshold), "component long, chunks long, fp long, links long, root long"), "verified")
 
-    small = checked.filter("chunks = 1").select("fp", "links", F.col("root_doc").alias("class_id"))
+    linked = checked.filter("chunks = 1").select("fp", "links", F.col("root").alias("component"))
     large = checked.filter("chunks > 1")
     if not large.isEmpty():
-        links = large.groupBy("fp").agg(F.sum("links").alias("links"), F.min("root_doc").alias("least_doc"))
+        links = large.groupBy("fp").agg(F.sum("links").alias("links"))
         joined = connected_components(large.select("fp", "root"), "fp", "root").withColumnRenamed("node", "fp")
-        named = links.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-        names = named.groupBy("component").agg(F.min("least_doc").alias("class_id"))
-        small = small.unionByName(named.join(names, "component").select("fp", "links", "class_id"))
-    classes = sets.select("fp", "doc", "copies").join(small, "fp", "left").select("fp", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketch.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        linked = linked.unionByName(links.join(joined, "fp", "left").select("fp", "links", F.coalesce("component", "fp").alias("component")))
+    linked = sets.select("fp", "doc", "copies").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    names = linked.groupBy("component").agg(F.min("doc").alias("class_id"))
+    classes = linked.join(names, "component").select("fp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sketch.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

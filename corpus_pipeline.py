@@ -25,9 +25,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-copies: the one with the smallest id."""
-    classes = jaccard.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(classes, "doc_id", "left_semi")
+    """One document of each class of near-copies: the one with the smallest id, one without an id only where no other has one.
+
+    Rows are told apart by a written number: ids may be null or repeated.
+    """
+    rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    classes = jaccard.near_duplicates(rows, doc_id="row", row="row").select(F.col("doc_id").alias("row"), "class_id")
+    firsts = rows.select("doc_id", "row").join(classes, "row").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return rows.join(firsts.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
