@@ -2,8 +2,14 @@
 
 A text is the mean of the embeddings of its hashed character n-grams; a linear layer and a softmax
 give the languages. Embeddings and layer are trained together by stochastic gradient descent in numpy
-on a bounded sample of labelled rows. Part of the sample is held back to fit a temperature, so that
-scores are calibrated, and the score under which a prediction is rejected.
+on a bounded sample of labelled rows. Part of the sample is held back (a small one is held back part by
+part, with a model each) to fit a temperature, so that scores are calibrated.
+
+A prediction is rejected for one of two reasons, each with a limit that half of REJECTED of the rightly
+predicted rows held back fall under: a low score, or n-grams too rare in the sample for the predicted language. The
+second is the mean log frequency of the text's n-grams, as a deviation from what is usual in the language,
+measured against the scatter of texts of that length; it tells text of a language that was not learnt, and
+letters without a language, where the softmax is sure of one of its few languages.
 
 Since everything before the softmax is linear, the two matrices are folded into one row of language
 weights per hash bucket, and each distinct chunk of text is scored once per worker.
@@ -31,11 +37,30 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 SIZES = (1, 2, 3, 4)
 #: Small samples are gone through more often, up to about this many steps.
 LEAST_STEPS = 1500
+#: Share of the rightly predicted rows held back that the two limits reject, half of it each.
+REJECTED = 0.005
+#: Parts of the sample held back in turn: all for the n-gram frequencies, and for the scores where the sample has fewer rows than SMALL, else only the first.
+PARTS, SMALL = 5, 2000
+
+
+@dataclass
+class Familiar:
+    """Log frequencies of the buckets, their usual mean in each language, the variances among texts and among n-grams, and the least deviation."""
+
+    logs: np.ndarray
+    usual: np.ndarray
+    among_texts: float
+    among_grams: float
+    least: float
+
+    def deviations(self, means: np.ndarray, counts: np.ndarray, languages: np.ndarray) -> np.ndarray:
+        """How far the texts' mean log frequencies are from the usual of their languages, in standard deviations; n-grams of one letter count once."""
+        return (means - self.usual[languages]) / np.sqrt(self.among_texts + self.among_grams * len(SIZES) / np.maximum(counts, 1))
 
 
 @dataclass
 class LanguageModel:
-    """Folded weights (buckets x languages), bias, temperature and the score under which a text is rejected."""
+    """Folded weights (buckets x languages), bias, temperature, the score under which a text is rejected, and what tells unfamiliar texts."""
 
     languages: list[str]
     weights: np.ndarray
@@ -43,6 +68,7 @@ class LanguageModel:
     temperature: float
     reject_below: float
     key: int
+    familiar: Familiar
 
     def scores(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
         z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
@@ -99,7 +125,7 @@ def train_language_id(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id"
     counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
     languages = sorted(r["label"] for r in counts)
     if not languages:
-        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0, seed)
+        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0, seed, Familiar(np.zeros(buckets, np.float32), np.zeros(0), 1.0, 1.0, -np.inf))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("label") == r["label"], min(1.0, per_language / r["count"])).otherwise(share)
@@ -108,19 +134,73 @@ def train_language_id(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id"
     x = np.zeros((bags.num_rows, buckets), np.float32)
     for i, (b, n) in enumerate(zip(bags["bucket"].to_pylist(), bags["times"].to_pylist())):
         x[i, b] = n
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    counts = x.sum(axis=1)
+    x /= np.maximum(counts[:, None], 1)
     y = np.array([languages.index(v) for v in bags["label"].to_pylist()], np.int64)
-    return fit_language_model(x, y, languages, dim=dim, epochs=epochs, seed=seed)
+    return fit_language_model(x, y, counts, languages, dim=dim, epochs=epochs, seed=seed)
 
 
-def fit_language_model(x: np.ndarray, y: np.ndarray, languages: list[str], *, dim: int, epochs: int, seed: int, rate: float = 8.0, batch: int = 32, held_back: float = 0.2) -> LanguageModel:
-    """SGD on embeddings and softmax layer; temperature and rejection come from the rows held back."""
-    rng = np.random.default_rng(seed)
+def fit_language_model(x: np.ndarray, y: np.ndarray, counts: np.ndarray, languages: list[str], *, dim: int, epochs: int, seed: int) -> LanguageModel:
+    """The softmax model; temperature and rejection come from rows held back. ``counts`` are the n-grams of each row."""
     n, k = len(y), len(languages)
-    order = np.lexsort((np.arange(n), x @ rng.random(x.shape[1]).astype(np.float32)))  # the same whatever order the rows came in
-    x, y = x[order], y[order]
-    back = np.arange(n) % round(1 / held_back) == 0 if n >= 50 else np.zeros(n, bool)
-    train = np.flatnonzero(~back)
+    order = np.lexsort((np.arange(n), x @ np.random.default_rng(seed).random(x.shape[1]).astype(np.float32)))  # the same whatever order the rows came in
+    x, y, counts = x[order], y[order], counts[order]
+    part = np.arange(n) % PARTS
+    fit = lambda rows: _descend(x, y, np.flatnonzero(rows), k, dim=dim, epochs=epochs, seed=seed)
+    if n < SMALL:
+        weights, bias = fit(np.ones(n, bool))
+        turns = [(j, *fit(part != j)) for j in range(min(PARTS, n))] if n > 1 else []
+    else:
+        weights, bias = fit(part != 0)
+        turns = [(0, weights, bias)]
+    temperature, reject, known = 1.0, 0.0, np.zeros(0, np.int64)
+    if turns:
+        back = np.concatenate([np.flatnonzero(part == j) for j, _, _ in turns])
+        z = np.concatenate([x[part == j] @ w + b for j, w, b in turns])
+        temperature = min(np.geomspace(0.2, 5, 40), key=lambda t: _loss(z / t, y[back]))
+        p = np.exp(z / temperature - (z / temperature).max(axis=1, keepdims=True))
+        p = p / p.sum(axis=1, keepdims=True)
+        right = p.argmax(axis=1) == y[back]
+        if right.any():
+            reject = float(np.quantile(p.max(axis=1)[right], REJECTED / 2)) - 1e-6  # the sums of the two ways to score differ by rounding
+        known = np.setdiff1d(np.arange(n), back[~right])
+    return LanguageModel(languages, weights.astype(np.float32), bias, float(temperature), reject, seed, _familiar(x, y, counts, part, known, k))
+
+
+def _log_frequency(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Log share of each bucket, all languages and all texts of a language counting alike, with one evenly spread text a language added."""
+    share, found = np.zeros(x.shape[1]), 0
+    for c in range(k):
+        mine = x[y == c]
+        if len(mine):
+            share += (mine.sum(axis=0, dtype=np.float64) + 1 / x.shape[1]) / (len(mine) + 1)
+            found += 1
+    return np.log(share / max(found, 1) if found else np.full(x.shape[1], 1 / x.shape[1])).astype(np.float32)
+
+
+def _familiar(x: np.ndarray, y: np.ndarray, counts: np.ndarray, part: np.ndarray, known: np.ndarray, k: int) -> Familiar:
+    """What the rows ``known`` look like to the log frequencies of the other parts; too few rows to compare set no limit."""
+    logs = _log_frequency(x, y, k)
+    mean, scatter = np.zeros(len(y)), np.zeros(len(y))
+    for j in range(PARTS):
+        other = _log_frequency(x[part != j], y[part != j], k)
+        mean[part == j] = x[part == j] @ other
+        scatter[part == j] = x[part == j] @ other**2
+    known = known[counts[known] > 0]
+    if len(known) < PARTS:
+        return Familiar(logs, np.zeros(k), 1.0, 1.0, -np.inf)
+    usual = np.full(k, np.median(mean[known]))
+    for c in np.unique(y[known]):
+        usual[c] = np.median(mean[known][y[known] == c])
+    among_texts = (1.4826 * float(np.median(np.abs(mean - usual[y])[known]))) ** 2 + 1e-6
+    found = Familiar(logs, usual, among_texts, float((scatter - mean**2)[known].mean()), -np.inf)
+    found.least = float(np.quantile(found.deviations(mean[known], counts[known], y[known]), REJECTED / 2)) - 1e-6
+    return found
+
+
+def _descend(x: np.ndarray, y: np.ndarray, train: np.ndarray, k: int, *, dim: int, epochs: int, seed: int, rate: float = 8.0, batch: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """SGD on embeddings and softmax layer over the rows ``train``: folded weights and bias."""
+    rng = np.random.default_rng(seed)
     epochs = max(epochs, LEAST_STEPS * batch // max(1, len(train)))
     emb = rng.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
     layer, bias = np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
@@ -139,16 +219,7 @@ def fit_language_model(x: np.ndarray, y: np.ndarray, languages: list[str], *, di
             bias -= step * 0.05 * p.sum(axis=0)
             emb -= step * (x[part].T @ grad_h)
             done += 1
-    weights = emb @ layer
-    temperature, reject = 1.0, 0.0
-    if back.any():
-        z = x[back] @ weights + bias
-        temperature = min(np.geomspace(0.2, 5, 40), key=lambda t: _loss(z / t, y[back]))
-        p = np.exp(z / temperature - (z / temperature).max(axis=1, keepdims=True))
-        p = p / p.sum(axis=1, keepdims=True)
-        right = p.argmax(axis=1) == y[back]
-        reject = float(min(0.5, 0.8 * p.max(axis=1)[right].min())) if right.any() else 0.0
-    return LanguageModel(languages, weights.astype(np.float32), bias, float(temperature), reject, seed)
+    return emb @ layer, bias
 
 
 def _loss(z: np.ndarray, y: np.ndarray) -> float:
@@ -159,33 +230,35 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 def _predict(model: LanguageModel):
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     k = len(model.languages)
-    key = ("langid", hash(model.weights.tobytes()))
+    key = ("langid", hash(model.weights.tobytes()), hash(model.familiar.logs.tobytes()))
 
     def compute(chunks: list[str]) -> np.ndarray:
         found, counts = subword_buckets(chunks, len(model.weights))
-        rows = np.zeros((len(chunks), k + 1), np.float32)
+        rows = np.zeros((len(chunks), k + 2), np.float32)
         rows[:, k] = counts
         some = counts > 0
         if some.any():
             rows[some, :k] = np.add.reduceat(model.weights[found], group_starts(counts)[some], axis=0)
+            rows[some, k + 1] = np.add.reduceat(model.familiar.logs[found], group_starts(counts)[some])
         return rows
 
     def run(batches):
         known = shared_table(key, lambda: ChunkTable(compute))
         for texts, ids in text_slices(batches, ("text", "doc_id")):
             chunks, lengths = split_all(texts)
-            total = np.zeros((len(texts), k + 1))
+            total = np.zeros((len(texts), k + 2))
             if chunks:
                 at = known.lookup(chunks)
                 some = lengths > 0
                 total[some] = np.add.reduceat(known.rows[at], group_starts(lengths)[some], axis=0, dtype=np.float64)
             fits = total[:, k] > 0
-            best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            best, score, strange = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if k:
                 p = model.scores(total[:, :k], total[:, k])
                 best, score = p.argmax(axis=1), np.where(fits, p.max(axis=1), 0.0)
+                strange = model.familiar.deviations(total[:, k + 1] / np.maximum(total[:, k], 1), total[:, k], best) < model.familiar.least
             names = [model.languages[b] if k and f else UNKNOWN for b, f in zip(best, fits)]
-            yield record_batch(schema, [ids, names, score, ~fits | (score < model.reject_below) | (k == 0)])
+            yield record_batch(schema, [ids, names, score, ~fits | (score < model.reject_below) | strange | (k == 0)])
 
     return run
 
