@@ -52,19 +52,24 @@ def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def interpolated(t: np.ndarray, f: np.ndarray, chosen: np.ndarray, action: str, anchors: int) -> np.ndarray:
-    """New values of the chosen frames from the nearest voiced frames not chosen; nothing where there are fewer than two."""
+    """New values of the chosen frames from the nearest ``anchors`` voiced frames not chosen (-1: from all of them); nothing where there are fewer than two.
+
+    Linear is the line between two anchors, held at its ends, and a least-squares line through more.
+    """
     free = ~chosen & np.isfinite(f) & (f > 0)
     need = {"interpolate_linear": 2, "interpolate_parabola": 3, "interpolate_spline": 4}[action]
     out = f.copy()
     for i in np.flatnonzero(chosen):
         near = np.flatnonzero(free)
-        near = np.sort(near[np.argsort(np.abs(t[near] - t[i]), kind="stable")][: max(anchors, need)])
+        near = np.sort(near[np.argsort(np.abs(t[near] - t[i]), kind="stable")][: None if anchors == -1 else max(anchors, need)])
         if len(near) < 2:
             out[i] = np.nan
         elif action == "interpolate_spline" and len(near) >= 4:
             out[i] = _spline(t[near], f[near], t[i : i + 1])[0]
         elif action == "interpolate_parabola" and len(near) >= 3:
             out[i] = np.polyval(np.polyfit(t[near] - t[i], f[near], 2), 0)
+        elif len(near) > 2:
+            out[i] = np.polyval(np.polyfit(t[near] - t[i], f[near], 1), 0)
         else:
             out[i] = np.interp(t[i], t[near], f[near])
     return out

@@ -152,6 +152,24 @@ def _(spark, sf_dir):
     return E.replay(f, edits).select("token", "time", "f0")
 
 
+def _wide_linear(spark, sf_dir, anchors: float):
+    f = event_frames(spark, sf_dir)
+    edits = f.filter("tone = 'view'").select(F.lit(1).alias("seq"), "token", F.array(F.lit(3)).alias("frame_indices"), F.lit("interpolate_linear").alias("action"), F.lit(anchors).alias("value")).distinct()
+    return E.replay(f, edits).select("token", "time", "f0")
+
+
+@query("e5_interpolate_linear_window")
+def _(spark, sf_dir):
+    """A line through six anchors; compared with numpy in the tests."""
+    return _wide_linear(spark, sf_dir, 6.0)
+
+
+@query("e5_interpolate_linear_all")
+def _(spark, sf_dir):
+    """A line through all anchors; compared with numpy in the tests."""
+    return _wide_linear(spark, sf_dir, -1.0)
+
+
 DROPPED = "dropped AS (SELECT DISTINCT token FROM frames WHERE tone = 'view' AND speaker = 'S3')"
 
 
