@@ -14,6 +14,7 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from contourlake.functions.scalars import cosine_rows
 
@@ -82,6 +83,22 @@ def gaussian_mixture(feat: DataFrame, k: int, *, iterations=40, seed=1) -> DataF
     Every round is one aggregation: the components' means and variances are literals of k x p numbers,
     and the sums of responsibilities, values and squares come back.
     """
+    weight, mean, var = _fit_mixture(feat, k, iterations=iterations, seed=seed)
+    out = feat.withColumn("__r", F.slice(_posterior(weight, mean, var), 1, len(weight)))
+    top = F.array_max("__r")
+    return out.withColumn("cluster", F.array_position("__r", top).cast("int")).withColumn("uncertainty", 1 - top).drop("__r")
+
+
+def mixture_bic(feat: DataFrame, k: int, *, iterations=40, seed=1) -> float | None:
+    """Twice the log likelihood of the diagonal mixture less its number of parameters times log n: the larger the better; None where it is not finite."""
+    weight, mean, var = _fit_mixture(feat, k, iterations=iterations, seed=seed)
+    one = feat.agg(F.count("*").alias("n"), F.sum(F.get(_posterior(weight, mean, var), F.lit(len(weight)))).alias("likelihood")).first()
+    bic = 2 * one["likelihood"] - (len(weight) - 1 + 2 * mean.size) * math.log(one["n"])
+    return bic if math.isfinite(bic) else None
+
+
+def _fit_mixture(feat: DataFrame, k: int, *, iterations: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and variances of a mixture with diagonal covariances."""
     p = len(feat.select("features").first()[0])
     start = kmeans(feat, k, starts=2, seed=seed)
     agg = start.groupBy("cluster").agg(F.count("*").alias("n"), *(F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(p)), *(F.var_pop(F.get("features", F.lit(i))).alias(f"v{i}") for i in range(p))).orderBy("cluster").collect()
@@ -101,9 +118,7 @@ def gaussian_mixture(feat: DataFrame, k: int, *, iterations=40, seed=1) -> DataF
             break
         last = likelihood
     rows.unpersist()
-    out = feat.withColumn("__r", F.slice(_posterior(n / n.sum(), mean, np.maximum(var, 1e-6)), 1, len(n)))
-    top = F.array_max("__r")
-    return out.withColumn("cluster", F.array_position("__r", top).cast("int")).withColumn("uncertainty", 1 - top).drop("__r")
+    return n / n.sum(), mean, np.maximum(var, 1e-6)
 
 
 def _posterior(weight: np.ndarray, mean: np.ndarray, var: np.ndarray):
@@ -123,25 +138,28 @@ def _posterior(weight: np.ndarray, mean: np.ndarray, var: np.ndarray):
 
 
 def hierarchical(feat: DataFrame, k: int, *, method="ward", micro=200, seed=1) -> DataFrame:
-    """Adds cluster: k-means micro-clusters merged by Ward's or average linkage on their sizes and centres.
+    """Adds cluster: k-means micro-clusters merged by Ward's or average linkage on their sizes, centres and scatter.
+
+    Average linkage is the mean squared distance over all pairs of tokens of two groups.
 
     The driver merges at most ``micro`` centres, however many tokens there are.
     """
     small = kmeans(feat, min(micro, max(2, feat.count() // 4)), starts=1, seed=seed).withColumnRenamed("cluster", "__micro")
     p = len(feat.select("features").first()[0])
-    rows = small.groupBy("__micro").agg(F.count("*").alias("n"), *(F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(p))).orderBy("__micro").collect()
-    groups = [([r["__micro"]], r["n"], np.array([r[f"m{i}"] for i in range(p)])) for r in rows]
+    rows = small.groupBy("__micro").agg(F.count("*").alias("n"), *(F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(p)), sum((F.var_pop(F.get("features", F.lit(i))) for i in range(p)), F.lit(0.0)).alias("scatter")).orderBy("__micro").collect()
+    groups = [([r["__micro"]], r["n"], np.array([r[f"m{i}"] for i in range(p)]), r["scatter"]) for r in rows]
     while len(groups) > k:
         best = None
         centres, sizes = np.stack([g[2] for g in groups]), np.array([g[1] for g in groups], float)
+        scatter = np.array([g[3] for g in groups])
         d = ((centres[:, None] - centres[None]) ** 2).sum(axis=2)
-        cost = d * sizes[:, None] * sizes[None] / (sizes[:, None] + sizes[None]) if method == "ward" else d
+        cost = d * sizes[:, None] * sizes[None] / (sizes[:, None] + sizes[None]) if method == "ward" else d + scatter[:, None] + scatter[None]
         np.fill_diagonal(cost, np.inf)
         best = np.unravel_index(cost.argmin(), cost.shape)
         i, j = sorted(map(int, best))
         a, b = groups[i], groups.pop(j)
         n = a[1] + b[1]
-        groups[i] = (a[0] + b[0], n, (a[1] * a[2] + b[1] * b[2]) / n)
+        groups[i] = (a[0] + b[0], n, (a[1] * a[2] + b[1] * b[2]) / n, (a[1] * a[3] + b[1] * b[3]) / n + a[1] * b[1] / n**2 * float(((a[2] - b[2]) ** 2).sum()))
     table = feat.sparkSession.createDataFrame([(m, c + 1) for c, g in enumerate(groups) for m in g[0]], "__micro int, cluster int")
     return small.join(F.broadcast(table), "__micro").drop("__micro")
 
@@ -249,7 +267,7 @@ def within_cost(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
 
 
 def choose_k(feat: DataFrame, k_range=range(2, 9), *, starts=3, gap_references=0, bending=1.0, seed=1) -> DataFrame:
-    """k, wss, silhouette, gap, gap_se and mdl for every k; gap on uniform reference tables when asked for."""
+    """k, wss, silhouette, gap, gap_se, mdl and bic (of the diagonal mixture) for every k; gap on uniform reference tables when asked for."""
     spark, rows = feat.sparkSession, []
     feat = feat.cache()
     for k in k_range:
@@ -260,10 +278,10 @@ def choose_k(feat: DataFrame, k_range=range(2, 9), *, starts=3, gap_references=0
             gaps.append(math.log(within_cost(kmeans(_reference(feat, seed + b), k, starts=1, seed=seed)).first()[0]))
         gap = sum(gaps) / len(gaps) - math.log(wss) if gaps else None
         se = (np.std(gaps) * math.sqrt(1 + 1 / len(gaps))) if gaps else None
-        rows.append((k, float(wss), float(silhouette(a).first()[0]), None if gap is None else float(gap), None if se is None else float(se), float(description_length(a, bending=bending).first()["mdl"])))
+        rows.append((k, float(wss), float(silhouette(a).first()[0]), None if gap is None else float(gap), None if se is None else float(se), float(description_length(a, bending=bending).first()["mdl"]), mixture_bic(feat, k, seed=seed)))
         a.unpersist()
     feat.unpersist()
-    return spark.createDataFrame(rows, "k int, wss double, silhouette double, gap double, gap_se double, mdl double")
+    return spark.createDataFrame(rows, "k int, wss double, silhouette double, gap double, gap_se double, mdl double, bic double")
 
 
 def _reference(feat: DataFrame, seed: int) -> DataFrame:
@@ -275,9 +293,18 @@ def _reference(feat: DataFrame, seed: int) -> DataFrame:
 
 
 def suggestions(diagnostics: DataFrame) -> DataFrame:
-    """One row: k by silhouette, by mdl and by gap (the first within one standard error), and the automatic choice in the order silhouette, gap, 3."""
-    one = diagnostics.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k_silhouette"), F.min_by("k", F.struct("mdl", "k")).alias("k_mdl"), F.max_by("k", F.struct("gap", -F.col("k"))).alias("k_gap"))
-    return one.withColumn("k_auto", F.coalesce("k_silhouette", "k_gap", F.lit(3)))
+    """One row: k by silhouette, by mdl, by gap and by the mixture's bic, and the automatic choice in the order mixture, silhouette, gap, 3.
+
+    By gap it is the first k that comes within one standard error of the next one's gap, or the last k; else the k of the largest gap.
+    """
+    d = diagnostics
+    for c in ("gap", "gap_se", "bic"):
+        d = d.withColumn(c, F.nanvl(F.col(c).cast("double"), F.lit(None)) if c in d.columns else F.lit(None).cast("double"))
+    w = Window.orderBy("k")  # a table of a few rows
+    later = F.lead(F.col("gap") - F.coalesce("gap_se", F.lit(0.0))).over(w)
+    d = d.withColumn("__first", F.col("gap").isNotNull() & (F.lead("k").over(w).isNull() | F.coalesce(F.col("gap") >= later, F.lit(False))))
+    one = d.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k_silhouette"), F.min_by("k", F.struct("mdl", "k")).alias("k_mdl"), F.coalesce(F.min(F.when(F.col("__first"), F.col("k"))), F.max_by(F.when(F.col("gap").isNotNull(), F.col("k")), F.struct("gap", -F.col("k")))).alias("k_gap"), F.max_by(F.when(F.col("bic").isNotNull(), F.col("k")), F.struct("bic", -F.col("k"))).alias("k_gmm"))
+    return one.withColumn("k_auto", F.coalesce("k_gmm", "k_silhouette", "k_gap", F.lit(3)))
 
 
 def membership_confidence(assigned: DataFrame) -> DataFrame:

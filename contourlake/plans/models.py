@@ -113,7 +113,7 @@ def _(spark, sf_dir):
 @query("m13_suggested_k", """WITH d AS (SELECT l_linenumber AS k, avg(l_discount) AS silhouette, avg(l_quantity) AS mdl FROM lineitem GROUP BY 1) SELECT (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_silhouette, (SELECT k FROM d ORDER BY mdl, k LIMIT 1) AS k_mdl, NULL::INTEGER AS k_gap, (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_auto""", base=None)
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_discount").alias("silhouette"), F.avg("l_quantity").alias("mdl"))
-    return C.suggestions(d.withColumn("gap", F.lit(None).cast("double"))).withColumn("k_gap", F.lit(None).cast("int"))
+    return C.suggestions(d.withColumn("gap", F.lit(None).cast("double"))).withColumn("k_gap", F.lit(None).cast("int")).drop("k_gmm")
 
 
 @query("m7_kmeans")
