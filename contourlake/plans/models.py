@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contourlake.operators import cluster as C
@@ -118,7 +121,7 @@ def _(spark, sf_dir):
 
 @query("m7_kmeans")
 def _(spark, sf_dir):
-    return C.relabel_by_height(C.kmeans(C.features(_contours(spark, sf_dir, "shape")), 3, starts=3)).select("token", "cluster")
+    return C.relabel_by_height(C.kmeans(C.features(_contours(spark, sf_dir, "shape")), 3, starts=25)).select("token", "cluster")
 
 
 @query("m8_gaussian_mixture")
@@ -138,7 +141,7 @@ def _(spark, sf_dir):
 
 @query("m10_choose_k")
 def _(spark, sf_dir):
-    return C.choose_k(C.features(_contours(spark, sf_dir), "legendre"), range(2, 5), starts=1, gap_references=1)
+    return C.choose_k(C.features(_contours(spark, sf_dir), "legendre"), range(2, 9), starts=25, gap_references=20)
 
 
 @query("m12_pca_projection")
@@ -149,8 +152,8 @@ def _(spark, sf_dir):
 @query("m14_compare_solutions")
 def _(spark, sf_dir):
     feat = C.features(_contours(spark, sf_dir), "legendre").cache()
-    parts = [C.cluster_means(C.relabel_by_height(C.kmeans(feat, k, starts=1))).withColumn("k", F.lit(k)) for k in (2, 3)]
-    return parts[0].unionByName(parts[1])
+    parts = [C.cluster_means(C.relabel_by_height(C.kmeans(feat, k, starts=25))).withColumn("k", F.lit(k)) for k in range(2, 9)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("j9_labels_on_frames", "SELECT token, time, CASE WHEN n > 3 THEN split_part(token, '_', 1)::INTEGER % 3 + 1 END AS cluster, CASE WHEN n > 3 AND split_part(token, '_', 1)::INTEGER % 3 = 0 THEN 'low' END AS cluster_name FROM (SELECT *, count(f0) OVER (PARTITION BY token) AS n FROM frames)", "time")

@@ -37,3 +37,17 @@ def test_average_linkage_counts_the_scatter_of_groups(spark):
         C.kmeans = original
     of = {int(r.token): r.cluster for r in rows}
     assert of[8] == of[10] and of[0] != of[4] and len(set(of.values())) == 3
+
+
+def test_registered_queries_try_every_k(spark, monkeypatch):
+    import __spark_entry__
+
+    seen, tried = {}, []
+    monkeypatch.setattr(C, "choose_k", lambda feat, k_range, **more: seen.update(more, k=list(k_range)))
+    queries = __spark_entry__.queries()
+    queries["m10_choose_k"](spark, "/root/testdata/sf0.001")
+    assert seen["k"] == list(range(2, 9)) and seen["starts"] == 25 and seen["gap_references"] == 20
+    plain = C.kmeans
+    monkeypatch.setattr(C, "kmeans", lambda feat, k, starts, **more: (tried.append((k, starts)), plain(feat, k, starts=1))[1])
+    queries["m14_compare_solutions"](spark, "/root/testdata/sf0.001")
+    assert tried == [(k, 25) for k in range(2, 9)]
