@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contourlake.llm.common import materialize, record_batch
+from contourlake.llm.common import join_stats, materialize, record_batch
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -26,7 +26,7 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def _contract(batches):
+def contract(batches):
     """Replace the edges of each batch by a star per component; pre-aggregates before the shuffle."""
     for batch in batches:
         u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -36,21 +36,24 @@ def _contract(batches):
         yield record_batch(_EDGES, [nodes[some], nodes[root[some]]])
 
 
-def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, *, contracted: bool = False) -> DataFrame:
     """node, component (its smallest node) for every node that has an edge; both columns are long.
 
     Each round hangs every larger neighbour and then every smaller neighbour of a node on the smallest
-    one, so that the depth shrinks by a constant factor; it ends when a round changes nothing.
+    one, so that the depth shrinks by a constant factor; it ends when a round changes nothing, however many
+    rounds that takes. Nodes with very many edges meet their smallest neighbour by broadcast (see ``join_stats``).
+    ``contracted`` edges have been through ``contract`` already.
     """
-    e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u != v").mapInArrow(_contract, "u long, v long").distinct()
-    e = materialize(e, "edges")
-    state = None
-    for _ in range(max_rounds):
+    e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u != v")
+    e = materialize((e if contracted else e.mapInArrow(contract, "u long, v long")).distinct(), "edges")
+    state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = larger.groupBy("u").agg(F.min("v").alias("m"))
-        smaller = larger.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        larger = join_stats(both.filter("v > u"), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        larger = materialize(larger, "edges-larger")
+        least = larger.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        smaller = join_stats(larger, least, "u", 2 * state[0]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         e = materialize(smaller.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct(), "edges")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:

@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contourlake.llm.chunks import ChunkTable, group_starts, shared_table, spans, stable_hash
-from contourlake.llm.common import materialize, record_batch, text_rows, text_slices
-from contourlake.llm.components import connected_components, local_roots
+from contourlake.llm.chunks import distinct, group_starts, make_room, spans, split_all, stable_hash
+from contourlake.llm.common import join_stats, materialize, record_batch, text_rows, text_slices
+from contourlake.llm.components import connected_components, contract, local_roots
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
@@ -46,16 +46,13 @@ _SHIFTS = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 _PLACE = _rng.integers(1, 1 << 63, max(WORDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    known = shared_table(("shingle-words",), lambda: ChunkTable(lambda words: np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)))
-    parts = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    words = [w for p in parts for w in p]
-    if not words:
+    words, lengths = split_all(texts)
+    if not len(words):
         return [np.zeros(0, np.uint64)] * len(texts)
-    at = known.lookup(words)
-    h = known.rows[at]
+    names, codes = distinct(words)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[codes]
     padded = np.concatenate([h, np.zeros(WORDS, np.uint64)])
     whole = sum(padded[j : j + len(h)] * _PLACE[j] for j in range(WORDS))
     starts = group_starts(lengths)
@@ -123,6 +120,7 @@ def _pairs(side: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    make_room()
     for texts, ids, keys in text_slices(batches, ("text", "doc_id", "row")):
         sets = shingle_sets(texts)
         some = [i for i, s in enumerate(sets) if len(s)]
@@ -171,7 +169,7 @@ def _cut(block: pa.Table, edges: list[int], cols: list[np.ndarray]):
 def _stars(least):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def run(batches):
+    def stars(batches):
         us, vs = [], []
         for (_, i, j), (_, _, _, side, fp, sig) in groups(batches, 3):
             sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), VALUES)
@@ -187,11 +185,12 @@ def _stars(least):
         if us:
             yield record_batch(schema, [np.concatenate(us), np.concatenate(vs)])
 
-    return run
+    return lambda batches: contract(stars(batches))
 
 
 def _with_sets(batches):
     """Shingle sets of the texts that stand for a set."""
+    make_room()
     schema = pa.schema([("component", pa.int64()), ("chunks", pa.int64()), ("fp", pa.int64()), ("copies", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
     for texts, component, chunks, fp, copies, sig in text_slices(batches, ("text", "component", "chunks", "fp", "copies", "sig")):
         yield record_batch(schema, [component, chunks, fp, copies, sig, [s.tobytes() for s in shingle_sets(texts)]])
@@ -258,16 +257,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sketch = materialize(texts.mapInArrow(_sketch, "doc_id long, row long, fp long, n long, sig binary, bands array<long>"), "sketch")
     sets = sketch.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     sets = materialize(sets, "sets")
+    n_sets = sets.count()
 
     keys = sets.select("fp", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    crowded = keys.join(shared, "key").withColumn("chunks", F.ceil(F.col("size") / CHUNK)).join(sets.select("fp", "sig"), "fp")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", "n", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    crowded = join_stats(keys, shared, "key", BANDS * n_sets).join(sets.select("fp", "sig"), "fp")
     stars = _dealt(crowded, "key", "chunks", "fp", "sig").mapInArrow(_stars(least), "u long, v long")
-    parts = materialize(connected_components(stars, "u", "v").withColumnRenamed("node", "fp"), "candidates")
+    parts = materialize(connected_components(stars, "u", "v", contracted=True).withColumnRenamed("node", "fp"), "candidates")
 
-    members = parts.join(sets.select("fp", "row", "copies", "n", "sig"), "fp")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
-    members = members.join(sizes, "component")
+    sizes = parts.join(sets.select("fp", "n"), "fp").groupBy("component").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    members = join_stats(parts, sizes, "component", parts.count()).join(sets.select("fp", "row", "copies", "sig"), "fp")
     full = texts.select("text", "row").join(members, "row").select("text", "component", "chunks", "fp", "copies", "sig")
     full = full.mapInArrow(_with_sets, "component long, chunks long, fp long, copies long, sig binary, shingles binary")
     checked = _dealt(full, "component", "chunks", "chunks", "fp", "copies", "sig", "shingles")
@@ -279,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         links = large.groupBy("fp").agg(F.sum("links").alias("links"))
         joined = connected_components(large.select("fp", "root"), "fp", "root").withColumnRenamed("node", "fp")
         linked = linked.unionByName(links.join(joined, "fp", "left").select("fp", "links", F.coalesce("component", "fp").alias("component")))
-    linked = sets.select("fp", "doc", "copies").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = linked.groupBy("component").agg(F.min("doc").alias("class_id"))
-    classes = linked.join(names, "component").select("fp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = materialize(sets.select("fp", "doc", "copies").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "linked")
+    names = linked.groupBy("component").agg(F.min("doc").alias("class_id"), F.count("*").alias("n"))
+    classes = join_stats(linked, names, "component", n_sets).select("fp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return sketch.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -21,7 +21,6 @@ text gives ``und``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contourlake.llm.chunks import ChunkTable, group_starts, make_room, shared_table, split_all, stable_hash
+from contourlake.llm.chunks import CharClasses, ChunkTable, code_points, distinct, group_starts, make_room, shared_table, spans, split_all, stable_hash
 from contourlake.llm.common import hash_fraction, record_batch, remainder, text_rows, text_slices
 
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: 1 for letters of any script (Unicode classes Lu, Ll, Lt, Lm, Lo): neither digits nor fractions, circled or Roman numerals.
+_LETTERS = CharClasses(lambda c: int(c.isalpha()))
 SIZES = (1, 2, 3, 4)
 #: Small samples are gone through more often, up to about this many steps.
 LEAST_STEPS = 1500
@@ -78,12 +78,17 @@ class LanguageModel:
 
 def subword_buckets(chunks: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all character n-grams of the chunks' letters between word marks, and how many each chunk has."""
-    words = [NOT_LETTERS.sub("", c.lower()) for c in chunks]
-    marked = [f"<{w}>" if w else "" for w in words]
-    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    letters, owner = code_points([c.lower() for c in chunks])
+    known = _LETTERS.of(letters) == 1
+    letters, owner = letters[known], owner[known]
+    n = np.bincount(owner, minlength=len(chunks))
+    lengths = np.where(n > 0, n + 2, 0)
+    starts = group_starts(lengths)
+    codes = np.full(int(lengths.sum()), ord(">"), np.uint64)
+    codes[starts[n > 0]] = ord("<")
+    codes[spans(starts[n > 0] + 1, n[n > 0])] = letters
     ends = np.repeat(np.cumsum(lengths), lengths)
-    at, owner = np.arange(len(codes)), np.repeat(np.arange(len(marked)), lengths)
+    at, owner = np.arange(len(codes)), np.repeat(np.arange(len(chunks)), lengths)
     found, whose = [], []
     rolling = np.zeros(len(codes), np.uint64)
     for n in range(1, max(SIZES) + 1):
@@ -107,29 +112,31 @@ def _bags(buckets: int):
         make_room()
         for texts, labels in text_slices(batches, ("text", "label")):
             out = []
-            for t in texts:
-                chunks, _ = split_all([t])
-                found, _ = subword_buckets(chunks, buckets)
+            for i in range(len(texts)):
+                chunks, _ = split_all(texts.slice(i, 1), unicode=True)
+                found, _ = subword_buckets(chunks.to_pylist(), buckets)
                 out.append(np.unique(found, return_counts=True))
             yield record_batch(schema, [labels, [b.astype(np.int32) for b, _ in out], [n.astype(np.float32) for _, n in out]])
 
     return run
 
 
-def train_language_id(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 200, buckets: int = 8192, dim: int = 16, epochs: int = 40, seed: int = 11) -> LanguageModel:
-    """Train on at most about ``per_language`` rows of each of the ``max_languages`` most frequent languages.
+def train_language_id(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, max_rows: int = 6000, buckets: int = 8192, dim: int = 16, epochs: int = 40, seed: int = 11) -> LanguageModel:
+    """Train on about ``per_language`` rows of each language, fewer where that makes more than ``max_rows`` in all.
 
-    The sample is picked by a hash of the id, so it is the same in every run; ``usable`` says which rows may be learnt from.
+    The sample is picked by a hash of id and text, rows that agree in both counting once, so it is the same in
+    every run and bounded whatever repeats; ``usable`` says which rows may be learnt from.
     """
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("label"))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
-    languages = sorted(r["label"] for r in counts)
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per language
+    languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0, seed, Familiar(np.zeros(buckets, np.float32), np.zeros(0), 1.0, 1.0, -np.inf))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("label") == r["label"], min(1.0, per_language / r["count"])).otherwise(share)
-    picked = text_rows(rows.filter(hash_fraction(seed, "doc_id") < share), "text", "label")
+    if len(languages) > max_rows:
+        raise ValueError(f"{len(languages)} languages; max_rows = {max_rows} leaves less than a row for each")
+    share = docs.sparkSession.createDataFrame([(k, min(per_language, max_rows / len(counts)) / n) for k, n in counts.items()], "label string, share double")
+    sample = rows.join(F.broadcast(share), "label").filter(hash_fraction(seed, "doc_id", "text") < F.col("share"))  # one row a language
+    picked = text_rows(sample.groupBy("doc_id", "text", "label").count(), "text", "label")
     bags = picked.mapInArrow(_bags(buckets), "label string, bucket array<int>, times array<float>").toArrow()
     x = np.zeros((bags.num_rows, buckets), np.float32)
     for i, (b, n) in enumerate(zip(bags["bucket"].to_pylist(), bags["times"].to_pylist())):
@@ -245,12 +252,13 @@ def _predict(model: LanguageModel):
     def run(batches):
         known = shared_table(key, lambda: ChunkTable(compute))
         for texts, ids in text_slices(batches, ("text", "doc_id")):
-            chunks, lengths = split_all(texts)
+            chunks, lengths = split_all(texts, unicode=True)
             total = np.zeros((len(texts), k + 2))
-            if chunks:
-                at = known.lookup(chunks)
+            if len(chunks):
+                names, codes = distinct(chunks)
+                at = known.lookup(names, np.bincount(codes))
                 some = lengths > 0
-                total[some] = np.add.reduceat(known.rows[at], group_starts(lengths)[some], axis=0, dtype=np.float64)
+                total[some] = np.add.reduceat(known.rows[at][codes], group_starts(lengths)[some], axis=0, dtype=np.float64)
             fits = total[:, k] > 0
             best, score, strange = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if k:

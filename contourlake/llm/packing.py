@@ -105,7 +105,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabul
         end = np.array([end_id], np.uint32)
         for texts, ids in text_slices(batches, ("text", "doc_id")):
             out = []
-            for d, found in zip(ids, encode(texts)):
+            for d, found in zip(ids.to_pylist(), encode(texts)):
                 out += packer.add(d, np.concatenate([found, end]))
             if out:
                 yield record_batch(_ARROW, zip(*out))

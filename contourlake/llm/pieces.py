@@ -1,11 +1,13 @@
 """Encoding and decoding with a public sentence-piece vocabulary, by a relational lattice over distinct words.
 
-1. Texts are cut into words (a run of word marks and what follows it up to the next mark or line end);
-   no piece of the vocabulary crosses such a cut. Distinct words are counted.
+1. Texts are cut into words: a run of letters or a run of signs with the word marks before it, or a single
+   digit. The classes of characters come from the vocabulary: signs are the characters that no piece holds
+   next to a letter, so no piece crosses such a cut. Distinct words are counted.
 2. Every word's substrings of bounded length are exploded and equi-joined with the piece table (32,000
-   rows, broadcast). Matches are the lattice's edges, each packed into one number. The rows of a word stay
-   together on the way through the broadcast join, so they are grouped as they stream by: a shuffle or
-   sort of the edges would cost many times the input. A higher-order aggregate folds each word's edges.
+   rows, broadcast). Matches are the lattice's edges, each packed into one number. Every edge carries its
+   word's number. The rows of a word stay together on the way through the broadcast join, so they are
+   grouped as they stream by, and the job fails should a number ever come back later: a shuffle or sort of the
+   edges would cost many times the input. A higher-order aggregate folds each word's edges.
 3. Texts are encoded by looking their words up: the most frequent words (FREQUENT at most, kept as plain
    number arrays) in a broadcast table, all others through a join that hands every document the ids of
    just its own rare words.
@@ -32,18 +34,20 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm.chunks import ChunkTable, shared_table, spans
+from contourlake.llm.chunks import ChunkTable, distinct, group_starts, shared_table, spans
 from contourlake.llm.common import materialize, record_batch, text_rows, text_slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-WORD = f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
-_WORD = re.compile(WORD)
+DIGITS = "0-9"
+#: Stands between the chunks of several texts; no text holds it.
+BETWEEN = "\ud800"
 #: Longest word that is folded in Spark.
 MAX_WORD = 60
 #: Runs of this many marks are not folded: their pieces have equal ranks, so the order of joins would matter.
@@ -52,16 +56,26 @@ MAX_MARKS = 15
 FREQUENT = 5_000_000
 #: Places of an edge's parts in its number: rank, start, end and id + 1 (0: a character without a piece).
 RANK, START, END, ID_BITS = 33, 27, 21, 21
+#: Rank of single characters, behind all others: they join nothing.
+LAST_RANK = (1 << 30) - 1
 
 
 @dataclass
 class Pieces:
-    """The piece table: text, rank (0: best; equal scores, equal ranks) and id of ordinary pieces; the id of byte 0; the longest piece."""
+    """The piece table: text, rank (0: best; equal scores, equal ranks) and id of ordinary pieces; the id of byte 0; the longest piece; the signs."""
 
     rows: list[tuple[str, int, int]]
     first_byte: int
     longest: int
     model: str
+    signs: str
+
+    @property
+    def word(self) -> str:
+        """The pattern of a word, as Java and Python read it."""
+        signs = "".join(f"\\u{ord(c):04x}" for c in self.signs)
+        signs_run = f"{MARK}*[{signs}]+|" if signs else ""
+        return f"\n|{signs_run}[{DIGITS}]|{MARK}*[^{signs}{DIGITS}{MARK}\n]+|{MARK}+"
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "piece string, rank long, id long")
@@ -86,7 +100,25 @@ def load(model: str = DEFAULT_MODEL) -> Pieces:
     for piece, _, i in plain:
         if len(piece) > 1 and folded(piece) and fold_word(piece, ranks) != [piece]:
             raise ValueError(f"piece {i} does not encode to itself")
-    return Pieces(plain, octets[0], max(map(len, ranks)), model)
+    if any(len(p) > 1 and any(c in "0123456789" for c in p) for p in ranks):
+        raise ValueError("a piece joins digits")
+    return Pieces(plain, octets[0], max(map(len, ranks)), model, _signs(ranks))
+
+
+def _signs(pieces) -> str:
+    """The characters of the basic plane in pieces of several that no chain of neighbours within a piece leads to a letter."""
+    linked: dict[str, str] = {}
+
+    def first(c: str) -> str:
+        while linked.setdefault(c, c) != c:
+            c = linked[c]
+        return c
+
+    for piece in (p.lstrip(MARK) for p in pieces if len(p) > 1):
+        for c in piece:
+            linked[first(c)] = first(piece[0])
+    letters = {first(c) for c in list(linked) if c.isalpha() or ord(c) > 0xFFFF}
+    return "".join(sorted(c for c in linked if first(c) not in letters))
 
 
 def folded(word: str) -> bool:
@@ -111,9 +143,9 @@ def marked(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise(F.lit(""))
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """Distinct words of all texts and how often they occur."""
-    words = docs.select(F.explode(F.regexp_extract_all(marked(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))).alias("word"))
+    words = docs.select(F.explode(F.regexp_extract_all(marked(F.coalesce(F.col(text), F.lit(""))), F.lit(pieces.word), F.lit(0))).alias("word"))
     return words.groupBy("word").count()
 
 
@@ -123,34 +155,36 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     The first row of a word is its first character's, which is always there; it carries the word.
     """
     n = F.length("word")
-    starts = F.sequence(F.lit(0), n - 1)
-
-    def from_start(s):
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), k.alias("k"), F.substring(F.col("word"), s + 1, k).alias("piece")))
-
-    each = words.filter((n <= MAX_WORD) & (n > 0) & ~F.col("word").startswith(MARK * MAX_MARKS)).select("word", F.explode(F.flatten(F.transform(starts, from_start))).alias("x")).select("word", "x.*")
+    each = words.filter((n <= MAX_WORD) & (n > 0) & ~F.col("word").startswith(MARK * MAX_MARKS)).select("word", F.monotonically_increasing_id().alias("number"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("k"))
+    each = each.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("k")))
     found = each.join(F.broadcast(pieces.frame(words.sparkSession)), "piece", "left").filter("id is not null or k = 1")
-    edge = F.expr(f"shiftleft(coalesce(rank, 0L), {RANK}) + shiftleft(bigint(s), {START}) + shiftleft(bigint(s + k), {END}) + coalesce(id + 1, 0L)")
-    rows = found.select(F.when((F.col("s") == 0) & (F.col("k") == 1), F.col("word")).alias("word"), edge.alias("edge"))
+    edge = F.expr(f"shiftleft(if(k = 1, {LAST_RANK}L, rank), {RANK}) + shiftleft(bigint(s), {START}) + shiftleft(bigint(s + k), {END}) + coalesce(id + 1, 0L)")
+    rows = found.select("number", F.when((F.col("s") == 0) & (F.col("k") == 1), F.col("word")).alias("word"), edge.alias("edge"))
     return rows.mapInArrow(_grouped, "word string, edges array<long>")
 
 
 def _grouped(batches):
     """One row per word from the rows of its edges, which follow one another; a word cut by a batch's end waits for the next."""
     schema = pa.schema([("word", pa.string()), ("edges", pa.list_(pa.int64()))])
-    carry = None
+    carry, last = None, -1
     for batch in chain(batches, [None]):
         block = carry if batch is None else batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
         if block is None or not block.num_rows:
             continue
-        first = np.flatnonzero(block.column(0).is_valid().to_numpy(zero_copy_only=False))
+        number = block.column(0).to_numpy()
+        first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        if number[0] <= last or (np.diff(number) < 0).any() or block.column(1).take(pa.array(first)).null_count:
+            raise RuntimeError("the edges of a word came apart")
         end = block.num_rows if batch is None else int(first[-1])
         carry = None if batch is None else block.slice(end)
         first = first[first < end]
         if len(first):
+            last = number[first[-1]]
             offsets = pa.array(np.append(first, end), pa.int32())
-            edges = pa.ListArray.from_arrays(offsets, block.column(1).slice(0, end))
-            yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(first)), edges], schema=schema)
+            edges = pa.ListArray.from_arrays(offsets, block.column(2).slice(0, end))
+            yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(first)), edges], schema=schema)
 
 
 def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
@@ -162,11 +196,10 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
     start, end = (lambda x: part(x, START, 6)), (lambda x: part(x, END, 6))
     outer = lambda x: shift(one, start(x)).bitwiseOR(shift(one, end(x)))
     inner = lambda x: (shift(one, end(x)) - one).bitwiseAND(F.bitwise_not(shift(one, start(x) + 1) - one))
-    masks = F.transform(F.sort_array("edges"), lambda x: F.struct(x.alias("x"), outer(x).alias("outer"), inner(x).alias("inner")))
 
-    def join_pair(cuts, m):
-        fits = (cuts.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(cuts.bitwiseAND(m["inner"])) == 1)
-        return F.when(fits, cuts.bitwiseAND(F.bitwise_not(m["inner"]))).otherwise(cuts)
+    def join_pair(cuts, x):
+        fits = (cuts.bitwiseAND(outer(x)) == outer(x)) & (F.bit_count(cuts.bitwiseAND(inner(x))) == 1)
+        return F.when(fits, cuts.bitwiseAND(F.bitwise_not(inner(x)))).otherwise(cuts)
 
     def ids_of(x):
         codes = F.hex(F.encode(F.substring(F.col("word"), (start(x) + 1).cast("int"), F.lit(1)), "UTF-8"))
@@ -174,10 +207,11 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
         number = part(x, 0, ID_BITS)
         return F.when(number == 0, octets).otherwise(F.array((number - 1).cast("int")))
 
-    folded_ = edges.withColumn("m", masks).withColumn("cuts", F.aggregate("m", everything, join_pair))
-    kept = F.filter("m", lambda m: (F.col("cuts").bitwiseAND(m["outer"]) == m["outer"]) & (F.col("cuts").bitwiseAND(m["inner"]) == 0))
-    ordered = F.sort_array(F.transform(kept, lambda m: F.struct(start(m["x"]).alias("s"), m["x"].alias("x"))))
-    return folded_.withColumn("kept", ordered).select("word", F.flatten(F.transform("kept", lambda k: ids_of(k["x"]))).alias("ids"))
+    ordered = edges.withColumn("m", F.sort_array("edges"))  # single characters, as many as the word has, come last
+    folded_ = ordered.withColumn("cuts", F.aggregate(F.slice("m", F.lit(1), F.size("m") - F.length("word")), everything, join_pair))
+    kept = F.filter("m", lambda x: (F.col("cuts").bitwiseAND(outer(x)) == outer(x)) & (F.col("cuts").bitwiseAND(inner(x)) == 0))
+    placed = F.sort_array(F.transform(kept, lambda x: F.struct(start(x).alias("s"), x.alias("x"))))
+    return folded_.withColumn("kept", placed).select("word", F.flatten(F.transform("kept", lambda k: ids_of(k["x"]))).alias("ids"))
 
 
 def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -218,8 +252,36 @@ def _known(frequent, key: str) -> ChunkTable:
     return shared_table(("pieces", key), lambda: ChunkTable(frequent.value.find))
 
 
-def _words_of(text: str | None) -> list[str]:
-    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+class WordCutter:
+    """The words of texts as an Arrow batch holds them, each distinct chunk between two spaces cut once."""
+
+    def __init__(self, word: str):
+        self.word = re.compile(f"{BETWEEN}|" + word.replace("[^", f"[^{BETWEEN}"))
+
+    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words, all texts' words as numbers of these, and how many words each text has."""
+        texts = pc.fill_null(texts, "")
+        uneven = np.asarray(pc.match_substring_regex(texts, f"  |^ | $|{MARK}")) | (np.asarray(pc.binary_length(texts)) == 0)
+        parts = pc.split_pattern(texts, " ")
+        names, codes = distinct(parts.flatten())
+        per_text = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        found = self.word.findall(BETWEEN.join(MARK + n for n in names))
+        table = {w: i for i, w in enumerate(dict.fromkeys(found))}
+        at = np.fromiter(map(table.__getitem__, found), np.int64, len(found))
+        between = np.cumsum(at == table[BETWEEN]) if BETWEEN in table else np.zeros(len(at), np.int64)
+        real = at != table.get(BETWEEN, -1)
+        at, size = at[real], np.bincount(between[real], minlength=len(names))
+        words = at[spans(group_starts(size)[codes], size[codes])]
+        lengths = np.bincount(np.repeat(np.arange(len(texts)), per_text), weights=size[codes], minlength=len(texts)).astype(np.int64)
+        if uneven.any():  # runs of spaces are one word's marks
+            cuts = np.split(words, np.cumsum(lengths)[:-1])
+            for i in np.flatnonzero(uneven).tolist():
+                text = texts[i].as_py()
+                own = self.word.findall(MARK + text.replace(" ", MARK)) if text else []
+                cuts[i] = np.array([table.setdefault(w, len(table)) for w in own], np.int64)
+                lengths[i] = len(own)
+            words = np.concatenate(cuts)
+        return ["" if w == BETWEEN else w for w in table], words, lengths
 
 
 def _packed(batches):
@@ -235,23 +297,26 @@ def _packed(batches):
         yield record_batch(schema, [[b"".join(hashes)], [b"".join(sizes)], [b"".join(ids)]])
 
 
-def _rare_words(frequent, key: str):
+def _rare_words(frequent, key: str, word: str):
     schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string())])
 
     def run(batches):
+        cutter = WordCutter(word)
         for texts, ids in text_slices(batches, ("text", "doc_id")):
+            names, words, lengths = cutter.cut(texts)
+            if not len(words):
+                continue
             known = _known(frequent, key)
-            parts = [list(dict.fromkeys(w for w in _words_of(t) if folded(w))) for t in texts]
-            words = list(chain.from_iterable(parts))
-            rare = known.rows[at, 0] < 0 if len(at := known.lookup(words)) else np.zeros(0, bool)
-            pairs = [(d, w) for (d, w), r in zip(((d, w) for d, p in zip(ids, parts) for w in p), rare) if r]
-            if pairs:
-                yield record_batch(schema, zip(*pairs))
+            at = known.lookup(names)
+            lost = (known.rows[at, 0] < 0) & np.fromiter(map(folded, names), bool, len(names))
+            pairs = np.unique(np.stack([np.repeat(np.arange(len(texts)), lengths)[lost[words]], words[lost[words]]], axis=1), axis=0)
+            if len(pairs):
+                yield record_batch(schema, [ids.take(pa.array(pairs[:, 0])), [names[i] for i in pairs[:, 1].tolist()]])
 
     return run
 
 
-def _encode(frequent, key: str, model: str):
+def _encode(frequent, key: str, model: str, word: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     library = []
 
@@ -264,23 +329,23 @@ def _encode(frequent, key: str, model: str):
         return np.array(library[0].encode("\n" + word)[2:], np.uint32)  # behind a line end no mark is put in front; the first two ids are those of a mark and the line end
 
     def run(batches):
+        cutter = WordCutter(word)
         for texts, ids, rare in text_slices(batches, ("text", "doc_id", "rare")):
+            names, words, lengths = cutter.cut(texts)
             known, table = _known(frequent, key), frequent.value
-            parts = [_words_of(t) for t in texts]
-            words = list(chain.from_iterable(parts))
+            at = known.lookup(names)[words] if names else words
+            rows = known.rows[at] if names else np.zeros((0, 2), np.int64)
             out, done = [], 0
-            rows = known.rows[at] if len(at := known.lookup(words)) else np.zeros((0, 2), np.int64)
-            for p, more in zip(parts, rare):
-                r = rows[done : done + len(p)]
-                done += len(p)
-                lost = np.flatnonzero(r[:, 0] < 0)
+            for i, n in enumerate(lengths.tolist()):
+                r, lost = rows[done : done + n], np.flatnonzero(rows[done : done + n, 0] < 0)
+                done += n
                 if not len(lost):
                     out.append(table.ids[spans(r[:, 0], r[:, 1])].astype("<u4").tobytes())
                     continue
-                own, pieces, last = {m["word"]: np.array(m["ids"], np.uint32) for m in more or ()}, [], 0
-                for i in lost:
-                    pieces += [table.ids[spans(r[last:i, 0], r[last:i, 1])], elsewhere(p[i], own)]
-                    last = i + 1
+                own, pieces, last = {m["word"]: np.array(m["ids"], np.uint32) for m in rare[i].as_py() or ()}, [], 0
+                for k in lost.tolist():
+                    pieces += [table.ids[spans(r[last:k, 0], r[last:k, 1])], elsewhere(names[words[done - n + k]], own)]
+                    last = k + 1
                 pieces.append(table.ids[spans(r[last:, 0], r[last:, 1])])
                 out.append(np.concatenate(pieces).astype("<u4").tobytes())
             yield record_batch(schema, [ids, out])
@@ -293,7 +358,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
     spark = docs.sparkSession
     pieces = load(model)
     rows = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    counts = materialize(word_counts(rows), "words")
+    counts = materialize(word_counts(rows, pieces), "words")
     n = counts.count()
     table = materialize(dictionary(counts.select("word"), pieces), "word-ids")
     top = table
@@ -309,12 +374,12 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
     known = spark.sparkContext.broadcast(WordIds.from_parts(top.select("word", "ids").mapInArrow(_packed, "hashes binary, sizes binary, ids binary").collect()))
     key = uuid.uuid4().hex
     if n > frequent:
-        pairs = rows.mapInArrow(_rare_words(known, key), "doc_id long, word string")
+        pairs = rows.mapInArrow(_rare_words(known, key, pieces.word), "doc_id long, word string")
         rare = pairs.join(table, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
         rows = rows.join(rare, "doc_id", "left").select("text", "doc_id", "rare")
     else:
         rows = rows.withColumn("rare", F.lit(None).cast("array<struct<word:string,ids:array<int>>>"))
-    return rows.mapInArrow(_encode(known, key, model), "doc_id long, ids binary")
+    return rows.mapInArrow(_encode(known, key, model, pieces.word), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:

@@ -10,28 +10,38 @@ structure statistics (cases, symbols, digits, lines, repeats) and metadata known
 Labels, language, source and id are never inputs. Trained with Adam in numpy on a bounded sample.
 
 Edge cases: null and empty texts have zero features and get the score of the bias; empty tables give
-empty results; several labels of one row are averaged; extra columns are not touched.
+empty results; several labels of one id are averaged, and of several texts of one labelled id one is learnt from
+(that of the smallest hash); repeated rows are scored each; extra columns are not touched.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contourlake.llm.chunks import ChunkTable, group_starts, shared_table, split_all
+from contourlake.llm.chunks import CharClasses, code_points, distinct, group_starts, make_room, split_all, stable_hash
 from contourlake.llm.common import hash_fraction, record_batch, text_rows, text_slices
 
 BUCKETS = 4096
 #: Structure statistics and metadata, in this order behind the hashed buckets.
 STATS = ("log_chars", "log_words", "mean_word", "upper_share", "digit_share", "symbol_share", "punct_share", "upper_words", "symbol_words", "bare_symbol_words", "distinct_words", "line_words", "distinct_lines", "text_seen")
-SYMBOLS = re.compile(r"[^\w\s.,;:'\"()\-]|_")
-SHAPES = ((re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1*"), r"\1"))
+#: Signs that are no symbols.
+MARKS = ".,;:'\"()-"
+#: A number for each kind of sign; what is none of these is a symbol.
+SMALL, CAPITAL, OTHER_LETTER, DIGIT, MARK, BLANK, SYMBOL = range(7)
+
+
+def _kind(c: str) -> int:
+    if c.isalpha():
+        return SMALL if c.islower() else CAPITAL if c.isupper() else OTHER_LETTER
+    return DIGIT if c.isdigit() else MARK if c in MARKS else BLANK if c.isspace() or c.isalnum() else SYMBOL
+
+
+_KINDS = CharClasses(_kind)
 
 
 @dataclass
@@ -45,65 +55,95 @@ class QualityModel:
     spread: np.ndarray
 
     def raw(self, x: np.ndarray) -> np.ndarray:
+        """The machine's value of dense rows."""
         s = x @ self.factors
         return self.bias + x @ self.linear + 0.5 * ((s * s).sum(axis=1) - (x * x) @ (self.factors**2).sum(axis=1))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(self.scaled(x)), -60, 60)))
-
-    def scaled(self, x: np.ndarray) -> np.ndarray:
-        x = x.copy()
-        x[:, BUCKETS:] = np.clip((x[:, BUCKETS:] - self.mean) / self.spread, -5, 5) * (x[:, -1:] > 0) * 0.3
-        return x
-
-
-def shape(word: str) -> str:
-    """Runs of capitals, letters, digits and each symbol shortened to one sign."""
-    for pattern, sign in SHAPES:
-        word = pattern.sub(sign, word)
-    return word
-
-
-def _word_rows(words: list[str]) -> np.ndarray:
-    """Two buckets and the counts of characters, capitals, digits, symbols and other marks of each word."""
-    rows = np.zeros((len(words), 9), np.int32)
-    for i, w in enumerate(words):
-        letters = sum(map(str.isalpha, w))
-        upper, digits, symbols = sum(map(str.isupper, w)), sum(map(str.isdigit, w)), len(SYMBOLS.findall(w))
-        rows[i] = (xxhash.xxh32_intdigest(w) % BUCKETS, xxhash.xxh32_intdigest(shape(w), 1) % BUCKETS, len(w), upper, digits, symbols, len(w) - letters - digits - symbols, letters > 1 and upper == letters, symbols > 0 and letters + digits == 0)
-    return rows
-
-
-def features(texts: list[str | None]) -> np.ndarray:
-    """One row of BUCKETS + len(STATS) numbers per text."""
-    known = shared_table(("quality-words",), lambda: ChunkTable(_word_rows))
-    words, lengths = split_all(texts)
-    x = np.zeros((len(texts), BUCKETS + len(STATS)), np.float32)
-    if not words:
-        return x
-    at = known.lookup(words)
-    rows = known.rows[at]
+    def score(self, found: Features) -> np.ndarray:
+        """The score of each text; work in proportion to the buckets that occur."""
+        stats = self.scaled(found.stats)
+        sums = np.zeros((len(stats), self.factors.shape[1] + 2))
+        if len(found.value):
+            v, x = self.factors[found.bucket], found.value[:, None]
+            parts = np.concatenate([v * x, (v * v).sum(axis=1, keepdims=True) * x * x, self.linear[found.bucket, None] * x], axis=1)
+            some = np.flatnonzero(found.counts)
+            sums[some] = np.add.reduceat(parts, group_starts(found.counts)[some], axis=0)
+        v, w = self.factors[BUCKETS:], self.linear[BUCKETS:]
+        s = sums[:, :-2] + stats @ v
+        z = self.bias + sums[:, -1] + stats @ w + 0.5 * ((s * s).sum(axis=1) - sums[:, -2] - (stats * stats) @ (v * v).sum(axis=1))
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+    def scaled(self, stats: np.ndarray) -> np.ndarray:
+        return np.clip((stats - self.mean) / self.spread, -5, 5) * (stats[:, -1:] > 0) * 0.3
+
+
+@dataclass
+class Features:
+    """Buckets and values of all texts one after another, how many each text has, and the statistics (texts x len(STATS))."""
+
+    bucket: np.ndarray
+    value: np.ndarray
+    counts: np.ndarray
+    stats: np.ndarray
+
+
+def _word_hashes(codes: np.ndarray, owner: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """A hash of each word's codes in their order."""
+    lengths = np.bincount(owner, minlength=n)
+    starts = group_starts(lengths)
+    powers = np.cumprod(np.full(max(1, int(lengths.max(initial=1))), _BASE, np.uint64), dtype=np.uint64)
+    weighed = (codes.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(codes)) - starts[owner]]
+    return stable_hash(np.add.reduceat(weighed, starts), salt)
+
+
+_BASE = np.uint64(0x9DDFEA08EB382D69)
+
+
+def word_rows(words: list[str]) -> np.ndarray:
+    """Two buckets (the word, and its shape: runs of one kind of letters, of digits or of one sign as one) and the counts of characters,
+    capitals, digits, symbols and other marks of each word, and whether it is all capitals or has symbols alone."""
+    n = len(words)
+    codes, owner = code_points(words)
+    kind = _KINDS.of(codes)
+    count = lambda *kinds: np.bincount(owner, weights=np.isin(kind, kinds), minlength=n).astype(np.int64)
+    sizes, capitals, digits, symbols = np.bincount(owner, minlength=n), count(CAPITAL), count(DIGIT), count(SYMBOL)
+    letters = count(SMALL, CAPITAL, OTHER_LETTER)
+    shape = np.where(kind >= MARK, codes, np.where(kind == OTHER_LETTER, CAPITAL, kind))
+    new = np.ones(len(codes), bool)
+    new[1:] = (shape[1:] != shape[:-1]) | (owner[1:] != owner[:-1])
+    buckets = [(h % np.uint64(BUCKETS)).astype(np.int64) for h in (_word_hashes(codes, owner, n, 1), _word_hashes(shape[new], owner[new], n, 2))]
+    return np.stack([*buckets, sizes, capitals, digits, symbols, sizes - letters - digits - symbols, (letters > 1) & (capitals == letters), (symbols > 0) & (letters + digits == 0)], axis=1)
+
+
+def features(texts: pa.Array) -> Features:
+    """Square-root bucket counts scaled to length 1 a text, and the statistics; nothing where there is no word."""
+    words, lengths = split_all(texts, unicode=True)
+    stats, none = np.zeros((len(texts), len(STATS))), np.zeros(0, np.int64)
+    if not len(words):
+        return Features(none, none.astype(float), np.zeros(len(texts), np.int64), stats)
+    names, codes = distinct(words)
+    known = word_rows(names)
+    rows = known[codes]
     owner, some = np.repeat(np.arange(len(texts)), lengths), lengths > 0
-    for column in (0, 1):
-        x[:, :BUCKETS] += np.bincount(owner * BUCKETS + rows[:, column], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
-    np.sqrt(x, out=x)
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-6)
+    cells, times = np.unique(np.concatenate([owner * BUCKETS + rows[:, c] for c in (0, 1)]), return_counts=True)
+    whose, bucket = cells // BUCKETS, cells % BUCKETS
+    value = np.sqrt(times / (2.0 * lengths[whose]))  # the squares of a text's counts' roots add up to two a word
     starts = group_starts(lengths)[some]
     sums = np.add.reduceat(rows[:, 2:].astype(np.float64), starts, axis=0)
     n, chars = lengths[some].astype(float), np.maximum(sums[:, 0], 1)
     with_symbols = np.add.reduceat((rows[:, 5] > 0).astype(np.float64), starts)
-    pairs = np.unique(owner * np.int64(len(known.rows)) + at)
-    distinct = np.bincount(pairs // len(known.rows), minlength=len(texts))[some]
-    lines = [[y for y in t.split("\n") if y.strip()] if t else [] for t in texts]
+    pairs = np.unique(owner * np.int64(len(names)) + codes)
+    kinds = np.bincount(pairs // len(names), minlength=len(texts))[some]
+    lines = [[y for y in t.split("\n") if y and not y.isspace()] if t else [] for t in texts.to_pylist()]
     n_lines = np.array([max(1, len(v)) for v in lines], float)[some]
-    kinds = np.array([max(1, len(set(v))) for v in lines], float)[some]
-    stats = (np.log1p(chars), np.log1p(n), chars / n, sums[:, 1] / chars, sums[:, 2] / chars, sums[:, 3] / chars, sums[:, 4] / chars, sums[:, 5] / n, with_symbols / n, sums[:, 6] / n, distinct / n, np.log1p(n / n_lines), kinds / n_lines, np.ones(len(n)))
-    x[some, BUCKETS:] = np.stack(stats, axis=1)
-    return x
+    line_kinds = np.array([max(1, len(set(v))) for v in lines], float)[some]
+    columns = (np.log1p(chars), np.log1p(n), chars / n, sums[:, 1] / chars, sums[:, 2] / chars, sums[:, 3] / chars, sums[:, 4] / chars, sums[:, 5] / n, with_symbols / n, sums[:, 6] / n, kinds / n, np.log1p(n / n_lines), line_kinds / n_lines, np.ones(len(n)))
+    stats[some] = np.stack(columns, axis=1)
+    return Features(bucket, value, np.bincount(whose, minlength=len(texts)), stats)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 4000, factors: int = 8, steps: int = 250, seed: int = 5) -> QualityModel:
-    """Train on about ``max_rows`` labelled rows picked by a hash of the id, half of either label where there are as many.
+    """Train on about ``max_rows`` labelled ids, a text each, picked by a hash of the id, half of either label where there are as many.
 
     Only rows for which ``usable`` (a condition on the id) holds are learnt from.
     """
@@ -112,20 +152,22 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, doc_id:
     share = F.when(F.col("mark") >= 0.5, min(1.0, max_rows / 2 / sizes.get(True, 1))).otherwise(min(1.0, max_rows / 2 / sizes.get(False, 1)))
     picked = marks.filter(hash_fraction(seed, "doc_id") < share)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id")  # about max_rows rows
+    found = texts.filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")  # about max_rows ids
+    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("text", "mark"), F.xxhash64("text")).alias("one")).select("doc_id", "one.*")
 
-    schema = pa.schema([("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32())), ("mark", pa.float64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64())), ("stats", pa.list_(pa.float64())), ("mark", pa.float64()), ("doc_id", pa.int64())])
 
     def run(batches):
+        make_room()
         for texts, marks, ids in text_slices(batches, ("text", "mark", "doc_id")):
-            x = features(texts)
-            at = [np.flatnonzero(r).astype(np.int32) for r in x]
-            yield record_batch(schema, [at, [r[a] for r, a in zip(x, at)], marks, ids])
+            made = features(texts)
+            cut = np.cumsum(made.counts)[:-1]
+            yield record_batch(schema, [np.split(made.bucket.astype(np.int32), cut), np.split(made.value, cut), list(made.stats), marks, ids])
 
-    found = text_rows(rows, "text", "mark", F.col("doc_id").cast("long")).mapInArrow(run, "at array<int>, x array<float>, mark double, doc_id long").toArrow().sort_by("doc_id")
+    found = text_rows(rows, "text", "mark", F.col("doc_id").cast("long")).mapInArrow(run, "at array<int>, x array<double>, stats array<double>, mark double, doc_id long").toArrow().sort_by("doc_id")
     x = np.zeros((found.num_rows, BUCKETS + len(STATS)), np.float32)
-    for i, (a, v) in enumerate(zip(found["at"].to_pylist(), found["x"].to_pylist())):
-        x[i, a] = v
+    for i, (a, v, s) in enumerate(zip(found["at"].to_pylist(), found["x"].to_pylist(), found["stats"].to_pylist())):
+        x[i, a], x[i, BUCKETS:] = v, s
     y = np.array(found["mark"].to_pylist(), np.float64)
     high, low = sizes.get(True, 0), sizes.get(False, 0)
     return fit_factorisation_machine(x, y, high / max(1, high + low), factors=factors, steps=steps, seed=seed)
@@ -145,7 +187,7 @@ def fit_factorisation_machine(x: np.ndarray, y: np.ndarray, prior: float, *, fac
         return model
     model.mean, model.spread = x[:, BUCKETS:].mean(axis=0), x[:, BUCKETS:].std(axis=0) + 1e-3
     model.mean[-1], model.spread[-1] = 0, 1
-    x = model.scaled(x).astype(np.float32)
+    x = np.concatenate([x[:, :BUCKETS], model.scaled(x[:, BUCKETS:])], axis=1).astype(np.float32)
     squared = x * x
     weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
     state = {"bias": np.zeros(1), "linear": model.linear.astype(np.float32), "factors": model.factors.astype(np.float32)}
@@ -167,10 +209,9 @@ def _score(model: QualityModel):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
+        make_room()
         for texts, ids in text_slices(batches, ("text", "doc_id")):
-            for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
-                yield record_batch(schema, [ids[i : i + 256], model.score(features(part))])
+            yield record_batch(schema, [ids, model.score(features(texts))])
 
     return run
 

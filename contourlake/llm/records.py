@@ -145,7 +145,7 @@ def write_records(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         width = 2 if made.library.get_vocab_size() < 1 << 16 and end_id < 1 << 16 else 4
         for texts, ids in text_slices(batches, ("text", "doc_id")):
             found = [bytes([width]) + np.append(x, np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in made.encode(texts)]
-            yield record_batch(encoded_schema, [np.searchsorted(bounds, np.array(ids, np.int64), side="right"), ids, found])
+            yield record_batch(encoded_schema, [np.searchsorted(bounds, ids.to_numpy(), side="right"), ids, found])
 
     def write(batches):
         writer, done = None, []

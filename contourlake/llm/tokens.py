@@ -1,7 +1,8 @@
 """Token ids of whole texts from a public tokenizer file, as the tokenizers library gives them.
 
 The vocabulary normalises to lower case and never joins pieces over white space, so each distinct
-white-space separated chunk has the same ids wherever it stands. Those ids are remembered per worker.
+white-space separated chunk has the same ids wherever it stands: those of its words (runs of letters, single
+digits, runs of signs), which are remembered per worker.
 Texts with a character outside the plain range below, where this has been checked against the
 library's own rules, or with a special token's name in them are encoded whole by the library.
 
@@ -17,19 +18,21 @@ from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from contourlake.llm.chunks import ChunkTable, group_starts, shared_table, spans, split_all
+from contourlake.llm.chunks import ChunkTable, distinct, group_starts, shared_table, spans, split_all
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: The characters for which lower-casing and splitting by chunk equal the library's own normaliser and splitter.
-NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ]")
+NOT_PLAIN = "[^\t\n\r\x20-\x7e\xa1-įı-ſ]"
 LETTERS = "a-zªµºß-öø-ſ"
 NUMBERS = "0-9²³¹¼½¾"
-#: Most chunks and words remembered in one worker.
-CHUNK_LIMIT = 350_000
+#: Most words remembered in one worker.
 WORD_LIMIT = 300_000
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+#: Words of a chunk, and the mark between chunks.
+WORDS = re.compile(f"\x20|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 class TextEncoder:
@@ -46,9 +49,8 @@ class TextEncoder:
         self.by_chunk = kinds == ["Split", "ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"] and content["model"].get("end_of_word_suffix") is not None
         self.special = [t["content"] for t in content["added_tokens"]]
         self.bytes = {b: c for b, c in zip(range(256), self._byte_signs())}
-        self.chunks = ChunkTable(self._chunk_rows, CHUNK_LIMIT)
-        self.words: dict[str, list[int]] = {}
-        self.pool = np.zeros(0, np.uint32)
+        self.words = ChunkTable(self._word_rows, WORD_LIMIT)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     @staticmethod
     def _byte_signs() -> list[str]:
@@ -57,38 +59,42 @@ class TextEncoder:
         others = iter(range(256, 512))
         return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
-    def _chunk_rows(self, chunks: list[str]) -> np.ndarray:
-        """Where each chunk's ids stand in the pool, and how many they are."""
-        if self.chunks.rows is not None and len(self.pool) > 8 * self.chunks.limit:  # drop what forgotten chunks left behind
-            rows = self.chunks.rows
-            self.pool = self.pool[spans(rows[:, 0], rows[:, 1])]
+    def _word_rows(self, words: list[str]) -> np.ndarray:
+        """Where each word's ids stand in the pool, and how many they are; the mark between chunks has none."""
+        rows = self.words.rows
+        if rows is not None and self.used > 8 * self.words.limit:  # drop what forgotten words left behind
+            kept = self.pool[spans(rows[:, 0], rows[:, 1])]
             rows[:, 0] = group_starts(rows[:, 1])
-        parts = [WORDS.findall(c.lower()) for c in chunks]
-        words = self.words
-        if len(words) > WORD_LIMIT:
-            words.clear()
+            self.pool, self.used = kept, len(kept)
         tokenize, signs = self.library.model.tokenize, self.bytes
-        for w in set(chain.from_iterable(parts)).difference(words):
-            words[w] = [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(signs))]
-        ids = [[i for w in p for i in words[w]] if len(p) != 1 else words[p[0]] for p in parts]
+        ids = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(signs))] if w != " " else [] for w in words]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.pool) + group_starts(lengths)
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
-        return np.stack([starts, lengths], axis=1)
+        start, end = self.used, self.used + int(lengths.sum())
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(end - start, len(self.pool)), np.uint32)])
+        self.pool[start:end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - start)
+        self.used = end
+        return np.stack([start + group_starts(lengths), lengths], axis=1)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        plain = [bool(t) and self.by_chunk and not NOT_PLAIN.search(t) and not any(s in t for s in self.special) for t in texts]
-        words, lengths = split_all([t if p else None for t, p in zip(texts, plain)])
-        made = np.zeros(0, np.uint32)
-        per_text = np.zeros(len(texts), np.int64)
-        if words:
-            rows = self.chunks.lookup(words)
-            rows = self.chunks.rows[rows]
-            made = self.pool[spans(rows[:, 0], rows[:, 1])]
-            per_text = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights=rows[:, 1], minlength=len(texts)).astype(np.int64)
+        plain = np.full(len(texts), self.by_chunk)
+        for odd in (pc.match_substring_regex(texts, NOT_PLAIN), *(pc.match_substring(texts, s) for s in self.special)):
+            plain &= ~np.asarray(pc.fill_null(odd, False))
+        words, lengths = split_all(texts if plain.all() else pc.if_else(pa.array(plain), texts, pa.scalar(None, texts.type)))
+        made, per_text = np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if len(words):
+            chunks, codes = distinct(words)
+            at = self.words.lookup(WORDS.findall(" ".join(chunks).lower()))
+            found = self.words.rows[at]
+            size = np.bincount(np.cumsum(at == self.words.index[" "]) if len(chunks) > 1 else np.zeros(len(at), np.int64), weights=found[:, 1], minlength=len(chunks)).astype(np.int64)
+            made = self.pool[spans(found[:, 0], found[:, 1])][spans(group_starts(size)[codes], size[codes])]
+            per_text = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights=size[codes], minlength=len(texts)).astype(np.int64)
         parts = np.split(made, np.cumsum(per_text)[:-1]) if len(texts) else []
-        return [part if p or not t else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t, p, part in zip(texts, plain, parts)]
+        for i in np.flatnonzero(~plain):
+            if t := texts[int(i)].as_py():
+                parts[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
+        return parts
 
 
 def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> TextEncoder:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ def test_token_ids_equal_the_library():
     alphabet = "aAéÉßİıſKÅ ' s t'll 0½²ªʯ\n\t\r\x0b\x1c\x85\xa0.,漢字éΣςȺʰ🙂"
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(1500)] + [t or "" for _, t in ODD]
     e = tokens.TextEncoder(tokens.DEFAULT_VOCABULARY)
-    e.chunks.limit = 200
+    e.words.limit = 200
     for i in range(0, len(texts), 100):
-        for t, got in zip(texts[i : i + 100], e.encode(texts[i : i + 100])):
+        for t, got in zip(texts[i : i + 100], e.encode(pa.array(texts[i : i + 100]))):
             assert got.tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
