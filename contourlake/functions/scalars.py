@@ -110,8 +110,19 @@ def notes(*parts: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number as text with so many digits behind the point."""
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """A number as text with so many digits behind the point, rounded by its exact value, halves to even.
+
+    The product with the power of ten is rounded by itself, so what it lost decides where it lies just between two numbers.
+    """
+    x, scale = x.cast("double"), float(10**digits)
+    wide = x * float((1 << 27) + 1)
+    high = wide - (wide - x)
+    product = x * scale
+    lost = (high * scale - product) + (x - high) * scale
+    low = F.floor(product)
+    between = product - low == 0.5
+    whole = F.when(between & (lost > 0), low + 1.0).when(between & (lost < 0), low.cast("double")).otherwise(F.rint(product))
+    return F.format_string(f"%.{digits}f", whole / scale)
 
 
 def scaled_text(values: Column) -> Column:

@@ -11,7 +11,8 @@ from contourlake.functions.scalars import classify_contour
 def robust_range(raw: DataFrame, *, token="token", f0="f0", tone="tone") -> DataFrame:
     """One row: the tones with the highest and lowest mean, mean and sd of the former's token peaks and the latter's token valleys, and the range between.
 
-    Only f0 above 0 counts, in semitones too. Ties between tones go to the first in order.
+    Only f0 above 0 counts, in semitones too. Ties between tones go to the first in order. With one peak or one
+    valley its deviation, and so the range, is null.
     """
     known = raw.filter(F.col(f0) > 0).select(F.col(token).alias("token"), F.col(tone).cast("string").alias("tone"), F.col(f0).cast("double").alias("f"))
     tokens = known.groupBy("tone", "token").agg(F.sum("f").alias("s"), F.count("f").alias("n"), F.max("f").alias("peak"), F.min("f").alias("valley"))
@@ -20,7 +21,7 @@ def robust_range(raw: DataFrame, *, token="token", f0="f0", tone="tone") -> Data
     both = tokens.crossJoin(F.broadcast(ends)).filter("tone = highest_tone or tone = lowest_tone")
     peak, valley = F.when(F.col("tone") == F.col("highest_tone"), F.col("peak")), F.when(F.col("tone") == F.col("lowest_tone"), F.col("valley"))
     one = both.groupBy("highest_tone", "lowest_tone").agg(F.avg(peak).alias("mu_max"), F.stddev_samp(peak).alias("sigma_max"), F.avg(valley).alias("mu_min"), F.stddev_samp(valley).alias("sigma_min"))
-    return one.select("*", (F.col("mu_max") + F.col("sigma_max")).alias("upper"), F.greatest(F.col("mu_min") - F.col("sigma_min"), F.lit(1.0)).alias("lower"))
+    return one.select("*", (F.col("mu_max") + F.col("sigma_max")).alias("upper"), F.when(F.col("mu_min") - F.col("sigma_min") < 1, 1.0).otherwise(F.col("mu_min") - F.col("sigma_min")).alias("lower"))
 
 
 def scaled_contours(contours: DataFrame, raw: DataFrame | None = None, *, tone="tone", time="time", f0="f0_predicted", **roles) -> DataFrame:
@@ -34,7 +35,7 @@ def scaled_contours(contours: DataFrame, raw: DataFrame | None = None, *, tone="
         return c.withColumn("chao_rob", F.lit(None).cast("double"))
     r = robust_range(raw, **roles).select("upper", "lower")
     span = F.log("upper") - F.log("lower")
-    value = F.when((span > 0) & (F.col("f") > 0), (F.log("f") - F.log("lower")) / span * 5)
+    value = F.when((span > 0) & (F.col("f") > 0), (F.log("f") - F.log("lower")) / span * 5).when((span > 0) & (F.col("f") == 0), 0.0)  # its logarithm lies below every bound
     return c.crossJoin(F.broadcast(r)).withColumn("chao_rob", F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(5.0), value)))).drop("upper", "lower")
 
 
@@ -46,7 +47,7 @@ def _value_at(points: Column, name: str, x: Column) -> Column:
     return F.when(before == 0, lo[name]).when(before == F.size(points), lo[name]).otherwise(inside)
 
 
-#: Points of the fine grid on which turning points are looked for, and the first and last of them that count (from 0).
+#: Points of the fine grid on which turning points are looked for, and the first and last of them that count (from 0).
 GRID, FIRST, LAST = 200, 19, 179
 
 

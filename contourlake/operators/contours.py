@@ -18,6 +18,10 @@ def mean_contour(data: DataFrame, *, token="token", f0="f0", time="time", tone="
     return bins.groupBy("tone", "time").agg(F.avg("__f0").alias("f0_predicted"))
 
 
+#: Squared share of a column's length below which it counts as a sum of the lower ones.
+RELATIVE = 1e-11
+
+
 def _determinant(m: list[list[Column]]) -> Column:
     if len(m) == 1:
         return m[0][0]
@@ -31,7 +35,8 @@ def _determinant(m: list[list[Column]]) -> Column:
 def fit_polynomial(data: DataFrame, *, f0="f0", token="token", time="time", speaker="speaker", tone="tone", degree=2, time_normalised="auto") -> DataFrame:
     """Legendre coefficients c0 .. c_degree of every token on 2t - 1, from one pass of sums and a closed solution.
 
-    A token with one time gets its mean as c0 and nulls; one with fewer than degree + 1 known samples, nulls.
+    A token with one time gets its mean as c0 and nulls; one with fewer than degree + 1 known samples, nulls. Where equal
+    times leave fewer than degree + 1 independent terms, the higher ones are null and the others fitted without them.
     """
     if degree not in (1, 2, 3):
         raise ValueError("degree must be 1, 2 or 3")
@@ -43,11 +48,19 @@ def fit_polynomial(data: DataFrame, *, f0="f0", token="token", time="time", spea
     first = F.min_by(F.struct(F.col(speaker).alias("speaker"), F.col(tone).alias("tone")), F.col(time)).alias("meta")
     rows = timed.groupBy(token).agg(first, F.count_if(known).alias("n"), F.max(time).alias("hi"), F.min(time).alias("lo"), F.avg(F.when(known, F.col(f0))).alias("mean"), *sums)
     gram = [[F.col(f"g{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)]
-    whole = _determinant(gram)
+    for m in range(1, k + 1):  # a term is aliased when what its column has beyond the lower ones vanishes beside its own length
+        rows = rows.withColumn(f"d{m}", _determinant([row[:m] for row in gram[:m]]))
+    rank = F.lit(k)
+    for m in range(k, 0, -1):
+        before = F.col(f"d{m - 1}") if m > 1 else F.lit(1.0)
+        rank = F.when(F.col(f"d{m}") > RELATIVE * before * gram[m - 1][m - 1], rank).otherwise(F.lit(m - 1))
+    rows = rows.withColumn("rank", rank)
     out = []
     for c in range(k):
-        swapped = [[F.col(f"b{i}") if j == c else gram[i][j] for j in range(k)] for i in range(k)]
-        solved = F.when(F.abs(whole) > 1e-9, F.try_divide(_determinant(swapped), whole))
+        solved = F.lit(None).cast("double")
+        for m in range(c + 1, k + 1):
+            swapped = [[F.col(f"b{i}") if j == c else gram[i][j] for j in range(m)] for i in range(m)]
+            solved = F.when(F.col("rank") == m, F.try_divide(_determinant(swapped), F.col(f"d{m}"))).otherwise(solved)
         single = F.col("mean") if c == 0 else F.lit(None).cast("double")
         out.append(F.when(F.col("hi") == F.col("lo"), single).when(F.col("n") < k, F.lit(None)).otherwise(solved).alias(f"c{c}"))
     return rows.select(token, F.col("meta.speaker").alias(speaker), F.col("meta.tone").alias(tone), *out)

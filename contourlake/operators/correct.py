@@ -26,11 +26,18 @@ def smooth(data: DataFrame, *, token="token", time="time", f0="f0", width=3, kin
 
 
 def scale_frames(data: DataFrame, edits: DataFrame, *, token="token", time="time", f0="f0") -> DataFrame:
-    """One round of simple edits (token, frame_indices, action, value): halve, double, delete or set the frames at the 1-based indices."""
-    picks = edits.select(F.col("token").alias("__token"), F.explode("frame_indices").alias("__i"), "action", "value")
+    """Simple edits ([seq,] token, frame_indices, action, value): halve, double, delete or set the frames at the 1-based indices.
+
+    Several edits of one frame follow one another by seq (else by action and value); an index listed twice in one edit
+    counts once; a null value sets nothing. The number of frames stays.
+    """
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
+    each = edits.select(F.col("token").alias("__token"), F.explode(F.array_distinct("frame_indices")).alias("__i"), F.struct(seq.alias("seq"), "action", F.col("value").cast("double").alias("value")).alias("e"))
+    picks = each.groupBy("__token", "__i").agg(F.array_sort(F.collect_list("e")).alias("__edits"))
     d = data.withColumn("__rn", F.row_number().over(Window.partitionBy(token).orderBy(time)))
     j = d.join(picks, F.col(token).eqNullSafe(F.col("__token")) & (F.col("__rn") == F.col("__i")), "left")
-    new = F.when(F.col("action") == "halve", F.col(f0) / 2).when(F.col("action") == "double", F.col(f0) * 2).when(F.col("action") == "delete", F.lit(None)).when((F.col("action") == "set") & (F.col("value") > 0), F.col("value")).otherwise(F.col(f0))
+    one = lambda v, e: F.when(e["action"] == "halve", v / 2).when(e["action"] == "double", v * 2).when(e["action"] == "delete", F.lit(None)).when((e["action"] == "set") & (e["value"] > 0), e["value"]).otherwise(v)
+    new = F.when(F.col("__edits").isNull(), F.col(f0).cast("double")).otherwise(F.aggregate("__edits", F.col(f0).cast("double"), one))
     return j.withColumn(f0, new).select(*data.columns)
 
 
@@ -76,9 +83,13 @@ def interpolated(t: np.ndarray, f: np.ndarray, chosen: np.ndarray, action: str,
 
 
 def edited(t: np.ndarray, f: np.ndarray, edits) -> np.ndarray:
-    """One token's f0 after its edits (frame_indices, action, value), in order; NaN stands for missing."""
+    """One token's f0 after its edits (frame_indices, action, value), in order; NaN stands for missing.
+
+    A missing value counts as 0: it sets nothing, picks the unvoiced candidate, and asks for the fewest neighbours.
+    """
     f = f.copy()
     for indices, action, value in edits:
+        value = 0.0 if value is None or np.isnan(value) else value
         at = np.array(indices, int) - 1
         at = at[(at >= 0) & (at < len(f))]
         chosen = np.zeros(len(f), bool)
@@ -132,13 +143,20 @@ def replay(data: DataFrame, edits: DataFrame, *, token="token", time="time", f0=
 
 
 def compare(original: DataFrame, corrected: DataFrame, dropped: DataFrame, *, token="token", time="time", f0="f0") -> DataFrame:
-    """Original frames with f0_corrected, edited (changed by more than 1e-6, or known on one side only) and token_dropped."""
-    c = corrected.select(F.col(token).alias("__token"), F.col(time).alias("__time"), F.col(f0).alias("f0_corrected"))
+    """Original frames with f0_corrected, edited (changed by more than 1e-6, or known on one side only) and token_dropped.
+
+    Frames meet by their place in the token: by time, then by the other columns that both tables have, so equal
+    and missing times neither multiply nor lose frames.
+    """
+    others = [c for c in original.columns if c in corrected.columns and c not in (token, time, f0)]
+    place = F.row_number().over(Window.partitionBy(token).orderBy(time, *others))
+    c = corrected.select(F.col(token).alias("__token"), place.alias("__j"), F.col(f0).alias("f0_corrected"))
+    original, columns = original.withColumn("__i", place), original.columns
     d = dropped.select(F.col("token").alias("__dropped")).distinct()
-    j = original.join(c, F.col(token).eqNullSafe(F.col("__token")) & (F.col(time) == F.col("__time")), "left").join(d, F.col(token).eqNullSafe(F.col("__dropped")), "left")
+    j = original.join(c, F.col(token).eqNullSafe(F.col("__token")) & (F.col("__i") == F.col("__j")), "left").join(d, F.col(token).eqNullSafe(F.col("__dropped")), "left")
     a, b = F.col(f0), F.col("f0_corrected")
     edited = F.coalesce(F.abs(a - b) > 1e-6, a.isNull() != b.isNull())
-    return j.select(*original.columns, "f0_corrected", edited.alias("edited"), F.col("__dropped").isNotNull().alias("token_dropped"))
+    return j.select(*columns, "f0_corrected", edited.alias("edited"), F.col("__dropped").isNotNull().alias("token_dropped"))
 
 
 def fresh_edits(saved: DataFrame, current: DataFrame, *, token="token", time="time", tolerance=1e-8) -> DataFrame:
@@ -150,8 +168,8 @@ def fresh_edits(saved: DataFrame, current: DataFrame, *, token="token", time="ti
     return j.groupBy(F.coalesce("a.token", "b.token").alias("token")).agg(F.bool_and(same).alias("same")).filter("same").select("token")
 
 
-def log_rows(edits: DataFrame, data: DataFrame, *, token="token", time="time") -> DataFrame:
-    """Edit log: token, action, n_frames, frame_indices, frame_times_s and frame_pct as comma lists."""
+def log_rows(edits: DataFrame, data: DataFrame, *, token="token", time="time", date: str | None = None) -> DataFrame:
+    """Edit log: seq, date (``date``, else today's), token, action, n_frames, frame_indices, frame_times_s and frame_pct as comma lists."""
     w = Window.partitionBy(token)
     d = data.withColumn("__i", F.row_number().over(w.orderBy(time))).withColumn("__n", F.count("*").over(w))
     picks = edits.select(F.col("token").alias("__token"), "seq", "action", F.explode("frame_indices").alias("__k"))
@@ -160,7 +178,8 @@ def log_rows(edits: DataFrame, data: DataFrame, *, token="token", time="time") -
     parts = F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), fixed(F.col(time), 3).alias("t"), fixed(pct, 1).alias("p"))))
     g = j.groupBy("seq", "__token", "action").agg(parts.alias("x"))
     text = lambda f: F.array_join(F.transform("x", lambda v: v[f].cast("string")), ", ")
-    return g.select("seq", F.col("__token").alias("token"), "action", F.size("x").alias("n_frames"), text("i").alias("frame_indices"), text("t").alias("frame_times_s"), text("p").alias("frame_pct"))
+    day = F.current_date().cast("string") if date is None else F.lit(date)
+    return g.select("seq", day.alias("date"), F.col("__token").alias("token"), "action", F.size("x").alias("n_frames"), text("i").alias("frame_indices"), text("t").alias("frame_times_s"), text("p").alias("frame_pct"))
 
 
 def bulk_discards(flagged: DataFrame, present: DataFrame, already: DataFrame, *, token="token") -> DataFrame:
@@ -173,11 +192,31 @@ DISCARD = "Discard token"
 
 
 def reconcile_log(log: DataFrame, appended: DataFrame, dropped: DataFrame, *, token="token") -> DataFrame:
-    """The log with new rows, and one discard row for just the tokens that are discarded now."""
-    both = log.unionByName(appended, allowMissingColumns=True)
-    edits = both.filter(~F.col("action").eqNullSafe(DISCARD))
-    kept = both.filter(F.col("action").eqNullSafe(DISCARD)).join(dropped.select(token).distinct(), token, "left_semi").dropDuplicates([token])
-    return edits.unionByName(kept)
+    """The log with new rows, and one discard row for just the tokens that are discarded now.
+
+    The log's own discard row wins over an appended one; of several rows of a token the first by its columns stays.
+    """
+    both = log.withColumn("__new", F.lit(0)).unionByName(appended.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    discards = F.col("action").eqNullSafe(DISCARD)
+    columns = [c for c in both.columns if c != "__new"]
+    now = both.filter(discards).join(dropped.select(token).distinct(), token, "left_semi")
+    kept = now.groupBy(token).agg(F.min(F.struct("__new", *columns)).alias("one")).select("one.*").select(*columns)
+    return both.filter(~discards).select(*columns).unionByName(kept)
+
+
+def pick_candidates(data: DataFrame, candidates: DataFrame, picks: DataFrame, *, token="token", frame="frame", f0="f0") -> DataFrame:
+    """Frames with the picked pitch candidate: candidates (token, frame, candidates: array of frequency and strength), picks (token, frame, choice from 1).
+
+    0 Hz makes the frame unvoiced (null); a candidate within 0.05 Hz of the frame's value changes nothing, a choice that
+    does not exist neither. Of several picks of a frame the last by choice counts.
+    """
+    c = candidates.groupBy(F.col("token").alias("__token"), F.col("frame").alias("__frame")).agg(F.max("candidates").alias("__c"))
+    p = picks.groupBy(F.col("token").alias("__t"), F.col("frame").alias("__f")).agg(F.max("choice").alias("__choice"))
+    chosen = c.join(p, F.col("__token").eqNullSafe(F.col("__t")) & (F.col("__frame") == F.col("__f"))).select("__token", "__frame", F.get("__c", F.col("__choice") - 1)["frequency"].alias("__hz"))
+    j = data.join(chosen, F.col(token).eqNullSafe(F.col("__token")) & (F.col(frame) == F.col("__frame")), "left")
+    value = F.col(f0).cast("double")
+    new = F.when(F.col("__hz").isNull() | F.coalesce(F.abs(F.col("__hz") - value) <= 0.05, F.lit(False)), value).when(F.col("__hz") > 0, F.col("__hz"))
+    return j.withColumn(f0, new).select(*data.columns)
 
 
 def without_restored(log: DataFrame, restored: DataFrame, *, token="token") -> DataFrame:

@@ -165,6 +165,13 @@ def flagged_frames(inspected: DataFrame, *, token="token", time="time") -> DataF
     return inspected.filter(hit).groupBy(token).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("time"), F.col("flag_notes").alias("note")))).alias("frames"))
 
 
+def low_intensity_times(inspected: DataFrame, *, token="token", time="time") -> DataFrame:
+    """Per token the times of its low-intensity samples, in order: by flag_low_intensity, else by the text of flag_notes."""
+    low = F.col("flag_low_intensity").cast("boolean") if "flag_low_intensity" in inspected.columns else F.col("flag_notes").contains("low intensity")
+    hit = F.coalesce(low, F.lit(False)) & F.col(token).isNotNull() & F.col(time).isNotNull()
+    return inspected.filter(hit).groupBy(token).agg(F.sort_array(F.collect_list(F.col(time).cast("double"))).alias("times"))
+
+
 def flagged_tokens(inspected: DataFrame, *, token="token") -> DataFrame:
     """Distinct non-empty flagged tokens: by flagged_token, else by flagged_jump, else all."""
     by = next((c for c in ("flagged_token", "flagged_jump") if c in inspected.columns), None)

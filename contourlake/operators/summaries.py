@@ -33,14 +33,27 @@ def voiced_share(data: DataFrame, *, token="token", time="time", f0="f0", min_ru
     return t.crossJoin(F.broadcast(corpus)).select(token, "duration_s", "voiced_s", "voiced_prop", F.coalesce((F.col("n") >= min_tokens) & (F.col("voiced_prop") < 0.5 * F.col("mid")), F.lit(False)).alias("low_voiced"))
 
 
-def discard_breakdown(tokens: DataFrame, *, dropped="dropped", speaker="speaker", tone="tone") -> DataFrame:
-    """Discarded and total tokens of every speaker and tone, with margins (``Total``) and a grade: whole group gone, half or more, or none."""
-    named = tokens.select(F.coalesce(F.col(speaker).cast("string"), F.lit(NO_METADATA)).alias("speaker"), F.coalesce(F.col(tone).cast("string"), F.lit(NO_METADATA)).alias("tone"), F.col(dropped).alias("d"))
+def discard_breakdown(tokens: DataFrame, *, dropped="dropped", speaker: str | None = "speaker", tone: str | None = "tone") -> DataFrame:
+    """Discarded and total tokens of every speaker and tone, with margins (``Total``) and a grade: whole group gone, half or more, or none.
+
+    With one of the two columns alone (the other None) there is one margin, its values in ``group``. A missing or
+    empty value counts as ``(no metadata)``.
+    """
+    level = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(NO_METADATA))
+    if speaker is None or tone is None:
+        named = tokens.select(level(speaker or tone).alias("group"), F.col(dropped).alias("d"))
+        counts = named.rollup("group").agg(F.count_if("d").alias("discarded"), F.count("*").alias("total"), F.grouping("group").alias("g"))
+        return counts.select(F.when(F.col("g") == 1, "Total").otherwise(F.col("group")).alias("group"), "discarded", "total", *_cell_and_grade())
+    named = tokens.select(level(speaker).alias("speaker"), level(tone).alias("tone"), F.col(dropped).alias("d"))
     cube = named.cube("speaker", "tone").agg(F.count_if("d").alias("discarded"), F.count("*").alias("total"), F.grouping("speaker").alias("gs"), F.grouping("tone").alias("gt"))
+    return cube.select(F.when(F.col("gs") == 1, "Total").otherwise(F.col("speaker")).alias("speaker"), F.when(F.col("gt") == 1, "Total").otherwise(F.col("tone")).alias("tone"), "discarded", "total", *_cell_and_grade())
+
+
+def _cell_and_grade() -> list[Column]:
     share = 100 * F.col("discarded") / F.col("total")
     text = F.concat(F.col("discarded").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" ("), F.format_string("%.1f", share), F.lit("%)"))
-    grade = F.when(F.col("discarded") == F.col("total"), "whole group gone").when(share >= 50, "half or more").otherwise("")
-    return cube.select(F.when(F.col("gs") == 1, "Total").otherwise(F.col("speaker")).alias("speaker"), F.when(F.col("gt") == 1, "Total").otherwise(F.col("tone")).alias("tone"), "discarded", "total", text.alias("cell"), grade.alias("grade"))
+    grade = F.when(F.col("total") == 0, "").when(F.col("discarded") == F.col("total"), "whole group gone").when(share >= 50, "half or more").otherwise("")
+    return [text.alias("cell"), grade.alias("grade")]
 
 
 def sorted_levels(data: DataFrame, column: str) -> DataFrame:

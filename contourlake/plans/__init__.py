@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ingest", "inspection", "describe", "editing", "models")
+MODULES = ("ingest", "inspection", "describe", "editing", "views", "models")
 
 
 def load():

@@ -51,16 +51,15 @@ def _(spark, sf_dir):
     return N.resolve_time(event_frames(spark, sf_dir)).select("token", "time", "time01")
 
 
-@query("c1_resolve_time_again", TIME01 + " SELECT token, time01 AS t01, least(1.0, greatest(0.0, time01)) AS again FROM t01 WHERE token IN (SELECT token FROM frames GROUP BY token HAVING min(time) < max(time))", "t01 again")
+@query("c1_resolve_time_again", TIME01 + " SELECT token, time01 AS t01, least(1.0, greatest(0.0, time01)) AS again FROM t01 WHERE time IS NOT NULL", "t01 again")
 def _(spark, sf_dir):
     t = N.resolve_time(event_frames(spark, sf_dir), out="t01").filter("t01 is not null").select("token", "t01")
-    many = t.groupBy("token").agg(F.min("t01").alias("a"), F.max("t01").alias("b")).filter("a < b").select("token")
-    return N.resolve_time(t.join(many, "token", "left_semi"), time="t01", out="again").select("token", "t01", "again")
+    return N.resolve_time(t, time="t01", out="again").select("token", "t01", "again")
 
 
-@query("c2_token_time", "SELECT token, time, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (time - min(time) OVER w) / nullif(max(time) OVER w - min(time) OVER w, 0))) AS token_t01 FROM frames WHERE token IN (SELECT token FROM frames GROUP BY token HAVING min(time) < max(time)) WINDOW w AS (PARTITION BY token)", "time token_t01")
+@query("c2_token_time", "SELECT token, time, CASE WHEN max(time) OVER w > min(time) OVER w THEN (time - min(time) OVER w) / (max(time) OVER w - min(time) OVER w) END AS token_t01 FROM frames WINDOW w AS (PARTITION BY token)", "time token_t01")
 def _(spark, sf_dir):
-    return N.normalise_time_token(event_frames(spark, sf_dir)).filter("token_t01 is not null").select("token", "time", "token_t01")
+    return N.normalise_time_token(event_frames(spark, sf_dir)).select("token", "time", "token_t01")
 
 
 @query("c3_segment_time", ATTACHED + """, g AS (SELECT *, CASE WHEN rime_1_start IS NOT NULL AND rime_1_end > rime_1_start THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (time - rime_1_start) / (rime_1_end - rime_1_start))) END AS rime_1_t01 FROM att)
@@ -130,7 +129,7 @@ def _(spark, sf_dir):
 ROBUST = """known AS (SELECT * FROM frames WHERE f0 > 0), tt AS (SELECT tone, token, max(f0) AS peak, min(f0) AS valley FROM known GROUP BY 1, 2), tm AS (SELECT tone, avg(f0) AS m FROM known GROUP BY 1),
 ends AS (SELECT (SELECT tone FROM tm ORDER BY m DESC, tone LIMIT 1) AS highest_tone, (SELECT tone FROM tm ORDER BY m, tone LIMIT 1) AS lowest_tone),
 rob AS (SELECT highest_tone, lowest_tone, avg(peak) FILTER (tone = highest_tone) AS mu_max, stddev_samp(peak) FILTER (tone = highest_tone) AS sigma_max, avg(valley) FILTER (tone = lowest_tone) AS mu_min, stddev_samp(valley) FILTER (tone = lowest_tone) AS sigma_min FROM tt, ends GROUP BY 1, 2),
-rng AS (SELECT *, mu_max + sigma_max AS upper, greatest(mu_min - sigma_min, 1.0::DOUBLE) AS lower FROM rob)"""
+rng AS (SELECT *, mu_max + sigma_max AS upper, CASE WHEN mu_min - sigma_min < 1 THEN 1.0::DOUBLE ELSE mu_min - sigma_min END AS lower FROM rob)"""
 
 
 @query("a12_robust_range", ROBUST + " SELECT * FROM rng", "mu_max sigma_max mu_min sigma_min upper lower")
@@ -146,7 +145,7 @@ def _(spark, sf_dir):
 HZ = TIME01 + ", contours AS (SELECT tone, round_even(time01 * 49, 0) / 49 AS time, avg(f0) AS f FROM t01 GROUP BY 1, 2), " + ROBUST
 SCALED = HZ + """, sc AS (
   SELECT tone, time, f, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) * 4 + 1 AS chao_ref, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) * 5 AS chao_int,
-    greatest(0.0::DOUBLE, least(5.0::DOUBLE, (ln(f) - ln(lower)) / (ln(upper) - ln(lower)) * 5)) AS chao_rob FROM contours, rng
+    CASE WHEN f IS NULL OR lower IS NULL THEN NULL WHEN f = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(5.0::DOUBLE, (ln(f) - ln(lower)) / (ln(upper) - ln(lower)) * 5)) END AS chao_rob FROM contours, rng
 )"""
 
 

@@ -189,11 +189,11 @@ def _(spark, sf_dir):
     return E.fresh_edits(f, f.filter("intensity <= 135"))
 
 
-@query("x14_edit_log", EDITS + """ SELECT p.seq, p.token, action, count(*)::INTEGER AS n_frames, string_agg(rn, ', ' ORDER BY rn) AS frame_indices, string_agg(printf('%.3f', time), ', ' ORDER BY rn) AS frame_times_s, string_agg(printf('%.1f', 100.0::DOUBLE * (rn - 1) / (n - 1)), ', ' ORDER BY rn) AS frame_pct
-FROM picks p JOIN numbered f ON f.token = p.token AND f.rn = p.i WHERE n = 11 GROUP BY 1, 2, 3""")
+@query("x14_edit_log", EDITS + """ SELECT p.seq, p.token, '2024-01-01' AS date, action, count(*)::INTEGER AS n_frames, string_agg(rn, ', ' ORDER BY rn) AS frame_indices, string_agg(printf('%.3f', time), ', ' ORDER BY rn) AS frame_times_s, string_agg(CASE WHEN n > 1 THEN printf('%.1f', 100.0::DOUBLE * (rn - 1) / (n - 1)) END, ', ' ORDER BY rn) AS frame_pct
+FROM picks p JOIN numbered f ON f.token = p.token AND f.rn = p.i GROUP BY 1, 2, action""")
 def _(spark, sf_dir):
-    f = event_frames(spark, sf_dir).withColumn("__k", F.count("*").over(Window.partitionBy("token"))).filter("__k = 11").drop("__k")
-    return E.log_rows(edit_table(f), f)
+    f = event_frames(spark, sf_dir)
+    return E.log_rows(edit_table(f), f, date="2024-01-01")
 
 
 @query("j7_bulk_discards", INSPECTED + ", " + DROPPED + " SELECT DISTINCT token FROM ins WHERE flagged_token AND token NOT IN (SELECT token FROM dropped)")
