@@ -22,7 +22,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = found.select("doc_id", pii.decided(F.col("spans"), pii.fit(found)).alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
     counts = [pii.count_base(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return spans.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced by its kind; n_chars follows the new text."""
-    model = pii.fit(materialize(pii.find(docs), "spans"))
-    return pii.redact(docs.select(*COLUMNS), model).withColumn("n_chars", F.length("text").cast("long"))
+    found = materialize(pii.find(docs, keep=COLUMNS), "spans")
+    return pii.redact(found, pii.fit(found)).select(*COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
