@@ -184,8 +184,10 @@ class SpanModel:
 
 LABELERS = ("format", "gazetteer", "context")
 FEATURES = ("kind", *LABELERS, "line", "size")
-#: Votes against, none and for that each labeler is taken to have given on false and on true spans of a kind before any is seen.
-BELIEF = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])
+#: Shares of votes against, none and for that each labeler is taken to give on false and on true spans, and how much this
+#: counts beside the spans of a kind: without it one class could swallow the other where only one labeler tells them apart.
+BELIEF = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]]) / 6
+BELIEF_SHARE = 0.2
 
 
 def fit(found: DataFrame, spans: str = "spans") -> SpanModel:
@@ -229,7 +231,7 @@ def _agree(votes: np.ndarray, n: np.ndarray, sure: np.ndarray, rounds: int = 100
     at = [[votes[:, labeler] == vote for vote in (-1, 0, 1)] for labeler in range(votes.shape[1])]
     for _ in range(rounds):
         prior = ((n * p).sum() + 1) / (n.sum() + 2)
-        table = np.array([[[(n * q)[a].sum() for a in row] for q in (1 - p, p)] for row in at]) + BELIEF
+        table = np.array([[[(n * q)[a].sum() for a in row] for q in (1 - p, p)] for row in at]) + BELIEF * max(1.0, BELIEF_SHARE * n.sum())
         table /= table.sum(axis=2, keepdims=True)
         z = np.log(prior / (1 - prior)) + sum(np.log(t[1, votes[:, i] + 1] / t[0, votes[:, i] + 1]) for i, t in enumerate(table))
         p = np.where(sure, 1 - 1e-6, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
