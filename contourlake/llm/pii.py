@@ -228,13 +228,15 @@ def _agree(votes: np.ndarray, n: np.ndarray, sure: np.ndarray, rounds: int = 100
     """EM for the spans of one kind: their prior, the labelers' vote probabilities, and each pattern's probability of being true."""
     total = votes.sum(axis=1) + votes[:, LABELERS.index("context")]  # to begin with, the words in front count double
     p = np.where(sure | (total > 0), 0.9, np.where(total < 0, 0.1, 0.5))
+    telling = [i for i in range(votes.shape[1]) if len(np.unique(votes[:, i])) > 1]  # who says the same of all spans says nothing
     at = [[votes[:, labeler] == vote for vote in (-1, 0, 1)] for labeler in range(votes.shape[1])]
     for _ in range(rounds):
         prior = ((n * p).sum() + 1) / (n.sum() + 2)
         table = np.array([[[(n * q)[a].sum() for a in row] for q in (1 - p, p)] for row in at]) + BELIEF * max(1.0, BELIEF_SHARE * n.sum())
         table /= table.sum(axis=2, keepdims=True)
-        z = np.log(prior / (1 - prior)) + sum(np.log(t[1, votes[:, i] + 1] / t[0, votes[:, i] + 1]) for i, t in enumerate(table))
-        p = np.where(sure, 1 - 1e-6, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        z = np.log(prior / (1 - prior)) + sum(np.log(table[i, 1, votes[:, i] + 1] / table[i, 0, votes[:, i] + 1]) for i in telling)
+        if telling:
+            p = np.where(sure, 1 - 1e-6, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return float(prior), table, p
 
 
