@@ -27,7 +27,6 @@ become bytes; repeated rows are encoded each; empty tables give empty results; e
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass
 from itertools import chain
 
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm.chunks import ChunkTable, distinct, group_starts, shared_table, spans
+from contourlake.llm.chunks import distinct, group_starts, make_room, spans
 from contourlake.llm.common import materialize, record_batch, text_rows, text_slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -74,8 +73,8 @@ class Pieces:
     def word(self) -> str:
         """The pattern of a word, as Java and Python read it."""
         signs = "".join(f"\\u{ord(c):04x}" for c in self.signs)
-        signs_run = f"{MARK}*[{signs}]+|" if signs else ""
-        return f"\n|{signs_run}[{DIGITS}]|{MARK}*[^{signs}{DIGITS}{MARK}\n]+|{MARK}+"
+        signs_run = f"|{MARK}*[{signs}]+" if signs else ""
+        return f"{MARK}*+(?:[A-Za-z]++|[^{signs}{DIGITS}{MARK}\n])++|\n{signs_run}|[{DIGITS}]|{MARK}+"
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "piece string, rank long, id long")
@@ -247,11 +246,6 @@ class WordIds:
         return np.where((self.hashes[at] == h)[:, None], found, -1)
 
 
-def _known(frequent, key: str) -> ChunkTable:
-    """This worker's words with where their ids stand in the broadcast table."""
-    return shared_table(("pieces", key), lambda: ChunkTable(frequent.value.find))
-
-
 class WordCutter:
     """The words of texts as an Arrow batch holds them, each distinct chunk between two spaces cut once."""
 
@@ -297,18 +291,17 @@ def _packed(batches):
         yield record_batch(schema, [[b"".join(hashes)], [b"".join(sizes)], [b"".join(ids)]])
 
 
-def _rare_words(frequent, key: str, word: str):
+def _rare_words(frequent, word: str):
     schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string())])
 
     def run(batches):
+        make_room()
         cutter = WordCutter(word)
         for texts, ids in text_slices(batches, ("text", "doc_id")):
             names, words, lengths = cutter.cut(texts)
             if not len(words):
                 continue
-            known = _known(frequent, key)
-            at = known.lookup(names)
-            lost = (known.rows[at, 0] < 0) & np.fromiter(map(folded, names), bool, len(names))
+            lost = (frequent.value.find(names)[:, 0] < 0) & np.fromiter(map(folded, names), bool, len(names))
             pairs = np.unique(np.stack([np.repeat(np.arange(len(texts)), lengths)[lost[words]], words[lost[words]]], axis=1), axis=0)
             if len(pairs):
                 yield record_batch(schema, [ids.take(pa.array(pairs[:, 0])), [names[i] for i in pairs[:, 1].tolist()]])
@@ -316,7 +309,7 @@ def _rare_words(frequent, key: str, word: str):
     return run
 
 
-def _encode(frequent, key: str, model: str, word: str):
+def _encode(frequent, model: str, word: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     library = []
 
@@ -329,25 +322,28 @@ def _encode(frequent, key: str, model: str, word: str):
         return np.array(library[0].encode("\n" + word)[2:], np.uint32)  # behind a line end no mark is put in front; the first two ids are those of a mark and the line end
 
     def run(batches):
+        make_room()
         cutter = WordCutter(word)
         for texts, ids, rare in text_slices(batches, ("text", "doc_id", "rare")):
             names, words, lengths = cutter.cut(texts)
-            known, table = _known(frequent, key), frequent.value
-            at = known.lookup(names)[words] if names else words
-            rows = known.rows[at] if names else np.zeros((0, 2), np.int64)
-            out, done = [], 0
-            for i, n in enumerate(lengths.tolist()):
-                r, lost = rows[done : done + n], np.flatnonzero(rows[done : done + n, 0] < 0)
-                done += n
-                if not len(lost):
-                    out.append(table.ids[spans(r[:, 0], r[:, 1])].astype("<u4").tobytes())
-                    continue
-                own, pieces, last = {m["word"]: np.array(m["ids"], np.uint32) for m in rare[i].as_py() or ()}, [], 0
-                for k in lost.tolist():
-                    pieces += [table.ids[spans(r[last:k, 0], r[last:k, 1])], elsewhere(names[words[done - n + k]], own)]
+            table = frequent.value
+            rows = table.find(names)[words] if names else np.zeros((0, 2), np.int64)
+            owner, missing = np.repeat(np.arange(len(texts)), lengths), rows[:, 0] < 0
+            sizes = np.where(missing, 0, rows[:, 1])
+            known = table.ids[spans(np.maximum(rows[:, 0], 0), sizes)].astype("<u4")
+            ends = np.cumsum(np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64))
+            out, data = [], known.tobytes()
+            for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                out.append(data[4 * a : 4 * b])
+            starts = group_starts(lengths)
+            for i in np.unique(owner[missing]).tolist():  # documents with words of their own
+                r = rows[starts[i] : starts[i] + lengths[i]]
+                own, parts, last = {m["word"]: np.array(m["ids"], np.uint32) for m in rare[i].as_py() or ()}, [], 0
+                for k in np.flatnonzero(r[:, 0] < 0).tolist():
+                    parts += [table.ids[spans(r[last:k, 0], r[last:k, 1])], elsewhere(names[words[starts[i] + k]], own)]
                     last = k + 1
-                pieces.append(table.ids[spans(r[last:, 0], r[last:, 1])])
-                out.append(np.concatenate(pieces).astype("<u4").tobytes())
+                parts.append(table.ids[spans(r[last:, 0], r[last:, 1])])
+                out[i] = np.concatenate(parts).astype("<u4").tobytes()
             yield record_batch(schema, [ids, out])
 
     return run
@@ -372,14 +368,13 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
             bound = r["count"]
         top = table.join(counts.filter(F.col("count") >= bound).select("word"), "word", "left_semi") if bound else table.limit(0)
     known = spark.sparkContext.broadcast(WordIds.from_parts(top.select("word", "ids").mapInArrow(_packed, "hashes binary, sizes binary, ids binary").collect()))
-    key = uuid.uuid4().hex
     if n > frequent:
-        pairs = rows.mapInArrow(_rare_words(known, key, pieces.word), "doc_id long, word string")
+        pairs = rows.mapInArrow(_rare_words(known, pieces.word), "doc_id long, word string")
         rare = pairs.join(table, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
         rows = rows.join(rare, "doc_id", "left").select("text", "doc_id", "rare")
     else:
         rows = rows.withColumn("rare", F.lit(None).cast("array<struct<word:string,ids:array<int>>>"))
-    return rows.mapInArrow(_encode(known, key, model, pieces.word), "doc_id long, ids binary")
+    return rows.mapInArrow(_encode(known, model, pieces.word), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
@@ -390,12 +385,18 @@ def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", mode
         table[i] = piece.replace(MARK, " ").encode()
     for b in range(256):
         table[pieces.first_byte + b] = bytes([b])
+    sizes = np.array([len(t) for t in table], np.int64)
+    octets, starts = np.frombuffer(b"".join(table), np.uint8), group_starts(sizes)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        make_room()
+        for batch in (b for b in batches if b.num_rows):
             found = batch.column(1).to_pylist()
-            texts = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace").removeprefix(" ") for x in found]
+            each = np.frombuffer(b"".join(x or b"" for x in found), "<u4")
+            data = octets[spans(starts[each], sizes[each])].tobytes()
+            ends = np.append(0, np.cumsum(sizes[each]))[np.cumsum([len(x or b"") // 4 for x in found])].tolist()
+            texts = [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip([0, *ends[:-1]], ends)]
             yield record_batch(schema, [batch.column(0), batch.column(1), texts])
 
     rows = encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
