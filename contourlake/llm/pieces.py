@@ -142,10 +142,18 @@ def marked(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise(F.lit(""))
 
 
+#: Texts where a run of marks may cross a space.
+UNEVEN = f"  |^ | $|{MARK}"
+
+
 def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """Distinct words of all texts and how often they occur."""
-    words = docs.select(F.explode(F.regexp_extract_all(marked(F.coalesce(F.col(text), F.lit(""))), F.lit(pieces.word), F.lit(0))).alias("word"))
-    return words.groupBy("word").count()
+    """Distinct words of all texts and how often they occur. What stands between two spaces is counted first, so that each such chunk is cut into words once."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    words = lambda c: F.regexp_extract_all(c, F.lit(pieces.word), F.lit(0))
+    uneven = value.rlike(UNEVEN) | (value == "")
+    parts = docs.select(uneven.alias("whole"), F.explode(F.when(uneven, words(marked(value))).otherwise(F.split(value, " "))).alias("part"))
+    chunks = parts.select(F.when(F.col("whole"), F.col("part")).otherwise(F.concat(F.lit(MARK), F.col("part"))).alias("chunk")).groupBy("chunk").count()
+    return chunks.select(F.explode(words(F.col("chunk"))).alias("word"), "count").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -255,7 +263,7 @@ class WordCutter:
     def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words, all texts' words as numbers of these, and how many words each text has."""
         texts = pc.fill_null(texts, "")
-        uneven = np.asarray(pc.match_substring_regex(texts, f"  |^ | $|{MARK}")) | (np.asarray(pc.binary_length(texts)) == 0)
+        uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN)) | (np.asarray(pc.binary_length(texts)) == 0)
         parts = pc.split_pattern(texts, " ")
         names, codes = distinct(parts.flatten())
         per_text = np.asarray(pc.list_value_length(parts)).astype(np.int64)
@@ -349,8 +357,8 @@ def _encode(frequent, model: str, word: str):
     return run
 
 
-def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: str = DEFAULT_MODEL, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id and ids (little-endian 32-bit) of every row."""
+def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: str = DEFAULT_MODEL, frequent: int = FREQUENT, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian 32-bit) of every row; ``decoded`` adds the text they stand for, in the same pass."""
     spark = docs.sparkSession
     pieces = load(model)
     rows = text_rows(docs, F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
@@ -374,12 +382,14 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
         rows = rows.join(rare, "doc_id", "left").select("text", "doc_id", "rare")
     else:
         rows = rows.withColumn("rare", F.lit(None).cast("array<struct<word:string,ids:array<int>>>"))
-    return rows.mapInArrow(_encode(known, model, pieces.word), "doc_id long, ids binary")
+    run = _encode(known, model, pieces.word)
+    if not decoded:
+        return rows.mapInArrow(run, "doc_id long, ids binary")
+    back = _decode(pieces)
+    return rows.mapInArrow(lambda batches: back(run(batches)), "doc_id long, ids binary, text string")
 
 
-def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, ids and the text they stand for."""
-    pieces = load(model)
+def _decode(pieces: Pieces):
     table = [b""] * (max(max(i for _, _, i in pieces.rows), pieces.first_byte + 255) + 1)
     for piece, _, i in pieces.rows:
         table[i] = piece.replace(MARK, " ").encode()
@@ -390,7 +400,6 @@ def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", mode
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches):
-        make_room()
         for batch in (b for b in batches if b.num_rows):
             found = batch.column(1).to_pylist()
             each = np.frombuffer(b"".join(x or b"" for x in found), "<u4")
@@ -399,5 +408,10 @@ def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", mode
             texts = [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip([0, *ends[:-1]], ends)]
             yield record_batch(schema, [batch.column(0), batch.column(1), texts])
 
+    return run
+
+
+def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
+    """doc_id, ids and the text they stand for."""
     rows = encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, text string")
+    return rows.mapInArrow(_decode(load(model)), "doc_id long, ids binary, text string")

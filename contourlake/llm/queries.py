@@ -63,8 +63,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and the checksum of the text they decode to."""
-    encoded = materialize(pieces.encode(table(spark, sf_dir, "documents")), "piece-ids")  # so that a task runs one Python worker, not two
-    decoded = pieces.decode(encoded)
+    decoded = pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32"))
 
 
