@@ -150,9 +150,10 @@ def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFram
     """Distinct words of all texts and how often they occur. What stands between two spaces is counted first, so that each such chunk is cut into words once."""
     value = F.coalesce(F.col(text), F.lit(""))
     words = lambda c: F.regexp_extract_all(c, F.lit(pieces.word), F.lit(0))
-    uneven = value.rlike(UNEVEN) | (value == "")
-    parts = docs.select(uneven.alias("whole"), F.explode(F.when(uneven, words(marked(value))).otherwise(F.split(value, " "))).alias("part"))
-    chunks = parts.select(F.when(F.col("whole"), F.col("part")).otherwise(F.concat(F.lit(MARK), F.col("part"))).alias("chunk")).groupBy("chunk").count()
+    uneven = value.rlike(UNEVEN) | (value == "")  # in filters of their own: beside an explode it would be tried once a chunk
+    whole = docs.filter(uneven).select(F.explode(words(marked(value))).alias("chunk"))
+    even = docs.filter(~uneven).select(F.explode(F.split(value, " ")).alias("part")).select(F.concat(F.lit(MARK), F.col("part")).alias("chunk"))
+    chunks = even.unionByName(whole).groupBy("chunk").count()
     return chunks.select(F.explode(words(F.col("chunk"))).alias("word"), "count").groupBy("word").agg(F.sum("count").alias("count"))
 
 
