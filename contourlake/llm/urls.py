@@ -24,7 +24,7 @@ SIZES = (3, 4, 5)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # The labelled table, hosts and paths; every host is paired with every path, so that paths and endings weigh little by themselves.
 BLOCKED_HOSTS = ("www.cheap-pills.example.com", "spam-farm.example.org", "casino-win.example.net", "m.free-bets.example.com", "casino-bonus.example.org", "www.pills-online.example.net", "win-cash-now.example.com", "adult-cams.example.org", "replica-watches.example.net", "blog.spam-links.example.com", "best-loans-now.example.org", "m.poker-bonus.example.net")
-ALLOWED_HOSTS = ("blog.thering.example.com", "www.therat.example.org", "m.ththon.example.net", "news.example.com", "docs.example.org", "library.example.net", "www.museum.example.com", "blog.garden.example.org", "m.weather.example.net", "www.university.example.com", "maps.example.org", "blog.ththes.example.net")
+ALLOWED_HOSTS = ("forum.knitting.example.com", "www.recipes.example.org", "m.timetable.example.net", "news.example.com", "docs.example.org", "library.example.net", "www.museum.example.com", "blog.garden.example.org", "m.weather.example.net", "www.university.example.com", "maps.example.org", "wiki.astronomy.example.net")
 PATHS = ("/en/12", "/fr/340.html", "/de/7/", "/es/981", "")
 LABELLED = tuple((label, f"https://{host}{path}") for label, hosts in (("block", BLOCKED_HOSTS), ("allow", ALLOWED_HOSTS)) for host in hosts for path in PATHS)
 
