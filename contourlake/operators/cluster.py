@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -322,13 +322,6 @@ def project(feat: DataFrame, dims=2) -> DataFrame:
     return out.select(*feat.columns, *(F.get("__p", F.lit(i)).alias(f"pc{i + 1}") for i in range(dims)), *(F.lit(float(100 * s)).alias(f"pct{i + 1}") for i, s in enumerate(shares)))
 
 
-def full_mixture(feat: DataFrame, k: int, *, seed=1) -> DataFrame:
-    """Adds cluster and uncertainty of a mixture with full covariances, for features of few dimensions."""
-    v = with_vectors(feat)
-    m = GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", probabilityCol="__p").fit(v)
-    return m.transform(v).withColumn("cluster", F.col("cluster") + 1).withColumn("uncertainty", 1 - F.array_max(vector_to_array("__p"))).drop("__v", "__p")
-
-
 def labels_on_frames(data: DataFrame, assigned: DataFrame, names: dict[int, str] | None = None, *, token="token") -> DataFrame:
     """Adds cluster and its chosen name to frames; tokens without features get null."""
     a = assigned.select(F.col("token").alias("__token"), "cluster")
