@@ -17,26 +17,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contourlake.functions.scalars import cosine_rows
+from contourlake.operators.resample import finite, grid_time, points_between
 
 
 def token_contours(data: DataFrame, *, f0="f0", token="token", time="time", speaker="speaker", tone="tone", n_points=20, register="level") -> DataFrame:
     """token, speaker, tone and contour (n_points values at equal steps of the token's time, linear between known samples).
 
-    Samples of equal time are averaged; tokens with under two distinct times are left out. ``shape`` takes each contour's mean off.
+    Samples of equal time are averaged, those without a finite time or value left out, and so are tokens with under two distinct times. ``shape`` takes each contour's mean off.
     """
     if n_points < 4:
         raise ValueError("n_points must be at least 4")
-    known = data.filter(F.col(f0).isNotNull() & ~F.isnan(F.col(f0).cast("double")) & F.col(time).isNotNull())
-    anchors = known.groupBy(token, time).agg(F.avg(f0).alias("f")).groupBy(token).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), "f"))).alias("a")).filter(F.size("a") >= 2)
-    t0, t9 = F.get("a", F.lit(0))["t"], F.element_at("a", -1)["t"]
-
-    def value(p):
-        x = F.when(p == n_points - 1, t9).otherwise(t0 + p * ((t9 - t0) / (n_points - 1)))
-        k = F.greatest(F.lit(1), F.least(F.size("a") - 1, F.size(F.filter("a", lambda q: q["t"] <= x))))
-        lo, hi = F.element_at("a", k), F.get("a", k)
-        return lo["f"] + (x - lo["t"]) / (hi["t"] - lo["t"]) * (hi["f"] - lo["f"])
-
-    rows = anchors.withColumn("contour", F.transform(F.sequence(F.lit(0), F.lit(n_points - 1)), value))
+    known = data.filter(F.col(f0).isNotNull() & ~F.isnan(F.col(f0).cast("double")) & finite(time))
+    d = known.groupBy(token, F.col(time).cast("double").alias("__t")).agg(F.avg(f0).alias("__f"))
+    whole = Window.partitionBy(token)
+    w = whole.orderBy("__t")
+    d = d.select("*", F.lead("__t").over(w).alias("__nt"), F.lead("__f").over(w).alias("__nf")).select("*", F.min("__t").over(whole).alias("__t0"), F.max("__t").over(whole).alias("__t9"))
+    t, nt, t0, t9 = (F.col(c) for c in ("__t", "__nt", "__t0", "__t9"))
+    position = lambda t: (t - t0) / (t9 - t0) * (n_points - 1)
+    d = d.filter(nt.isNotNull()).withColumn("__p", F.explode(points_between(position(t), position(nt), n_points))).withColumn("__x", grid_time(F.col("__p"), n_points, t0, t9))
+    x, f, nf = F.col("__x"), F.col("__f"), F.col("__nf")
+    d = d.filter((x >= t) & ((x < nt) | (nt == t9))).select(token, F.struct(F.col("__p").alias("p"), (f + (x - t) / (nt - t) * (nf - f)).alias("v")).alias("__v"))
+    rows = d.groupBy(token).agg(F.transform(F.array_sort(F.collect_list("__v")), lambda v: v["v"]).alias("contour"))
     if register == "shape":
         mean = F.aggregate("contour", F.lit(0.0), lambda s, v: s + v) / n_points
         rows = rows.withColumn("__mean", mean).withColumn("contour", F.transform("contour", lambda v: v - F.col("__mean")))
