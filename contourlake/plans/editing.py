@@ -12,6 +12,7 @@ from contourlake.operators import metadata as M
 from contourlake.operators import region as R
 from contourlake.operators import resample as RS
 from contourlake.operators import summaries as S
+from contourlake.plans.describe import ONE, RESAMPLED
 from contourlake.plans.inspection import ATTACHED, INSPECTED, TRIMMED, _attached, _inspected
 from contourlake.plans.registry import query
 from contourlake.plans.sql import DECISIONS, METADATA
@@ -291,7 +292,9 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(pick == 0, F.lit(None)).when(F.abs(pick - q) <= 0.05, q).otherwise(pick).alias("f0"))
 
 
-@query("c4_carried_columns")
+@query("c4_carried_columns", RESAMPLED.replace("p = 20", "p = 4").replace("/ 20)", "/ 4)").replace("range(0, 21)", "range(0, 5)") + """, b AS (
+  SELECT pt.token, pt.p, pt.x, pt.speaker, pt.tone, pt.item, f, f2, i, i2, (pt.x - t) / (t2 - t) AS ph, row_number() OVER (PARTITION BY pt.token, pt.p ORDER BY k DESC) AS rn FROM pt JOIN r1 ON r1.token = pt.token AND r1.t <= pt.x AND r1.k < r1.m
+) SELECT token, (p + 1)::INTEGER AS point, x AS time, p / 4.0::DOUBLE AS time_prop, CASE WHEN ph < 0.5 THEN f ELSE f2 END AS f0, CASE WHEN ph < 0.5 THEN i ELSE i2 END AS intensity, speaker, tone, item FROM b WHERE rn = 1 UNION ALL """ + ONE, "time time_prop f0 intensity")
 def _(spark, sf_dir):
     """Which columns are constant within tokens: decided over all tokens, then resampled to five points."""
     return RS.resample_equal(event_frames(spark, sf_dir), n=5, method="nearest")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,15 @@ def _(spark, sf_dir):
     return _long(C.features(_contours(spark, sf_dir), "dct"), "features")
 
 
-@query("c8_legendre_features")
+def _legendre_weights(points: int, degree: int) -> str:
+    """VALUES of (k, position, w): what a point at a position adds to the least-squares coefficient of degree k."""
+    basis = np.polynomial.legendre.legvander(np.linspace(-1, 1, points), degree)
+    rows = np.linalg.solve(basis.T @ basis, basis.T)
+    return ", ".join(f"({k}, {j + 1}, {w!r}::DOUBLE)" for k, row in enumerate(rows.tolist()) for j, w in enumerate(row))
+
+
+@query("c8_legendre_features", CONTOURS + f""", weight(k, position, w) AS (VALUES {_legendre_weights(20, 4)}), raw AS (SELECT token, k, sum(v * w) AS v FROM con JOIN weight USING (position) GROUP BY 1, 2)
+SELECT token, k + 1 AS position, v / coalesce(nullif(stddev_samp(v) OVER (PARTITION BY k), 0), 1) AS v FROM raw""", "v")
 def _(spark, sf_dir):
     """Legendre coefficients of the contours; compared with numpy's least squares in the tests."""
     return _long(C.features(_contours(spark, sf_dir), "legendre"), "features")
@@ -119,6 +128,15 @@ def _(spark, sf_dir):
     return C.suggestions(d.withColumn("gap", F.lit(None).cast("double"))).withColumn("k_gap", F.lit(None).cast("int")).drop("k_gmm")
 
 
+@query("m13_suggested_k_by_gap", """WITH d AS (SELECT l_linenumber AS k, avg(l_discount) AS silhouette, avg(l_quantity) AS mdl, avg(l_tax) AS gap, stddev_samp(l_tax) / sqrt(count(*)) AS gap_se FROM lineitem GROUP BY 1),
+n AS (SELECT *, lead(k) OVER (ORDER BY k) IS NULL OR gap >= lead(gap - gap_se) OVER (ORDER BY k) AS first FROM d)
+SELECT (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_silhouette, (SELECT k FROM d ORDER BY mdl, k LIMIT 1) AS k_mdl, (SELECT min(k) FROM n WHERE first) AS k_gap, (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_auto""", base=None)
+def _(spark, sf_dir):
+    error = F.stddev_samp("l_tax") / F.sqrt(F.count("*"))
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_discount").alias("silhouette"), F.avg("l_quantity").alias("mdl"), F.avg("l_tax").alias("gap"), error.alias("gap_se"))
+    return C.suggestions(d).drop("k_gmm")
+
+
 @query("m7_kmeans")
 def _(spark, sf_dir):
     return C.relabel_by_height(C.kmeans(C.features(_contours(spark, sf_dir, "shape")), 3, starts=25)).select("token", "cluster")
@@ -134,6 +152,12 @@ def _(spark, sf_dir):
     return C.membership_confidence(C.gaussian_mixture(C.features(_contours(spark, sf_dir), "legendre"), 3))
 
 
+@query("a21_confidence_of_distances", """WITH u AS (SELECT abs(embedding[1]::DOUBLE) AS u FROM embeddings) SELECT count(*) FILTER (u > 0.4) AS n_uncertain, count(*) FILTER (u > 0.4) / count(*) AS share, avg(u) AS mean_uncertainty FROM u""", "share mean_uncertainty", base=None)
+def _(spark, sf_dir):
+    """The same summary of uncertainties that come with the table, not from a mixture."""
+    return C.membership_confidence(_vectors(spark, sf_dir).select(F.abs(F.get("features", F.lit(0))).alias("uncertainty")))
+
+
 @query("m9_hierarchical")
 def _(spark, sf_dir):
     return C.hierarchical(C.features(_contours(spark, sf_dir, "shape"), "dct"), 3).select("token", "cluster")
@@ -229,6 +253,13 @@ def _(spark, sf_dir):
     return M.residual_histogram(_scored(spark, sf_dir))
 
 
+@query("m15_value_histogram", """e AS (SELECT min(f0) AS lo, max(f0) AS hi FROM frames), b AS (SELECT least(30, floor((f0 - lo) / (hi - lo) * 30)::INTEGER + 1) AS bin, lo, hi FROM frames, e WHERE f0 IS NOT NULL)
+SELECT bin, lo + (bin - 1) * (hi - lo) / 30 AS edge, count(*) AS count FROM b GROUP BY ALL""", "edge")
+def _(spark, sf_dir):
+    """The same histogram of the values themselves, which need no model."""
+    return M.residual_histogram(event_frames(spark, sf_dir), "f0")
+
+
 ACF = """d AS (SELECT token, time, f0 - avg(f0) OVER () AS c, count(*) OVER () AS n FROM frames WHERE f0 IS NOT NULL), l AS (SELECT token, time, c, n, """ + ", ".join(f"lag(c, {i}) OVER w AS c{i}" for i in range(1, 6)) + """ FROM d WINDOW w AS (PARTITION BY token ORDER BY time)),
 s AS (SELECT any_value(n) AS n, [sum(c * c), """ + ", ".join(f"coalesce(sum(c * c{i}), 0)" for i in range(1, 6)) + "] AS s FROM l) SELECT (unnest(range(0, 6)))::INTEGER AS lag, unnest(s) / s[1] AS acf, 1.96 / sqrt(n) AS band FROM s"
 
