@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm import jaccard, langid, packing, pieces, pii, quality, records, rules, topk, urls
+from contourlake.llm import jaccard, langid, packing, phrases, pieces, pii, quality, records, rules, runs, sharding, topk, urls
 from contourlake.llm.common import materialize, table
 
 
@@ -75,6 +75,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words hold together best, from exact counts over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document among 16, and among 17, by its id alone, with its place in the shard."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, some with repetitions made by the document's id."""
+    return runs.run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_pii": op2_pii,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_sharding": op12_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Exact links on five-word shingles, and their components by spreading the smallest id.
@@ -143,4 +161,47 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _rules_sql(), "op6_exact_top_k": TOP_K_SQL, "op8_ngram_jaccard_join": JACCARD_SQL}
+#: Counts of all phrases by joining a piece's words at offsets, in whole numbers of 128 bits.
+PHRASES_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, k, a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (SELECT cuts.*, l.f AS l, r.f AS r, 2000000::HUGEINT * a // (l.f + r.f) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_parts AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+#: The published jump loop in whole numbers of 128 bits; checksums bit by bit over the text's UTF-8 bytes.
+SHARDING_SQL = """
+WITH RECURSIVE jumps AS (
+  SELECT doc_id, n, coalesce(doc_id, 0)::HUGEINT + CASE WHEN doc_id < 0 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END AS k, -1::BIGINT AS b, 0::BIGINT AS j
+  FROM (SELECT DISTINCT doc_id FROM documents), (VALUES (16), (17)) v(n)
+  UNION ALL
+  SELECT doc_id, n, next, j, floor((j + 1) * (2147483648.0::DOUBLE / ((next // 8589934592)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT doc_id, n, j, (k * 2862933555777941757::HUGEINT + 1::HUGEINT) % 18446744073709551616::HUGEINT AS next FROM jumps WHERE j < n)
+), shards AS (
+  SELECT doc_id, max(b) FILTER (n = 16 AND j >= 16)::INTEGER AS shard, max(b) FILTER (n = 17 AND j >= 17)::INTEGER AS grown_shard FROM jumps GROUP BY doc_id
+), steps AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(string_split(coalesce(text, ''), ''), lambda c: unicode(c)) AS u FROM documents
+), bytes AS (
+  SELECT doc_id, size, flatten(list_transform(u, lambda c: CASE WHEN c < 128 THEN [c] WHEN c < 2048 THEN [192 | (c >> 6), 128 | (c & 63)]
+    WHEN c < 65536 THEN [224 | (c >> 12), 128 | ((c >> 6) & 63), 128 | (c & 63)] ELSE [240 | (c >> 18), 128 | ((c >> 12) & 63), 128 | ((c >> 6) & 63), 128 | (c & 63)] END)) AS bs FROM steps
+), sums AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(bs, lambda x: [x::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS text_crc32 FROM bytes
+)
+SELECT s.doc_id, size, text_crc32, 'key' AS law, shard, grown_shard, row_number() OVER (PARTITION BY shard ORDER BY s.doc_id, text_crc32, size) - 1 AS slot
+FROM sums s JOIN shards h ON h.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _rules_sql(), "op6_exact_top_k": TOP_K_SQL, "op8_ngram_jaccard_join": JACCARD_SQL, "op11_phrase_collocations": PHRASES_SQL, "op12_sharding": SHARDING_SQL}
