@@ -133,3 +133,43 @@ def scaled_text(values: Column) -> Column:
 def near_boundary(values: Column, tolerance: float = 0.1) -> Column:
     """Whether any value lies within the tolerance of a digit boundary (1.5, 2.5, 3.5, 4.5)."""
     return F.exists(values, lambda v: F.least(*(F.abs(v - b) for b in (1.5, 2.5, 3.5, 4.5))) <= tolerance)
+
+
+# Coefficients of Cody's rational approximations to erf and erfc (1969), numerators and denominators by range.
+ERF_SMALL = ((1.85777706184603153e-1, 3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03), (1.0, 2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03))
+ERFC_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e00, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02, 1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03),
+    (1.0, 1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03, 4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03),
+)
+ERFC_LARGE = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+INVERSE_ROOT_PI = 0.5641895835477563
+
+
+def _ratio(x: Column, parts) -> Column:
+    """A quotient of two polynomials, highest powers first."""
+    values = []
+    for coefficients in parts:
+        value = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            value = value * x + c
+        values.append(value)
+    return values[0] / values[1]
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function, to about 1e-15 of its value."""
+    y, square = F.abs(x), x * x
+    tail = F.exp(-square)
+    inverse = F.lit(1.0) / F.greatest(square, F.lit(1.0))
+    upper = F.when(y <= 4, tail * _ratio(F.least(y, F.lit(4.0)), ERFC_MIDDLE)).otherwise(tail / F.greatest(y, F.lit(1.0)) * (INVERSE_ROOT_PI - inverse * _ratio(inverse, ERFC_LARGE)))
+    small = F.least(square, F.lit(1.0))
+    return F.when(y <= 0.46875, 1 - x * _ratio(small, ERF_SMALL)).when(x >= 0, upper).otherwise(2 - upper)
+
+
+def normal_mass(low: Column, high: Column, mean: Column, sd: Column) -> Column:
+    """Probability between two bounds under a normal distribution."""
+    below = lambda x: 0.5 * erfc((mean - x) / (sd * 1.4142135623730951))
+    return below(high) - below(low)

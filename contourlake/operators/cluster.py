@@ -8,15 +8,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contourlake.functions.scalars import cosine_rows
+from contourlake.functions.scalars import cosine_rows, normal_mass
+from contourlake.operators import lloyd
 from contourlake.operators.resample import finite, grid_time, points_between
 
 
@@ -68,58 +68,51 @@ def with_vectors(feat: DataFrame) -> DataFrame:
     return feat.withColumn("__v", array_to_vector("features"))
 
 
-def kmeans(feat: DataFrame, k: int, *, starts=5, max_iter=50, seed=1) -> DataFrame:
-    """Adds cluster (1..k): the best of several seeded starts by total cost."""
-    v = with_vectors(feat).cache()
-    models = [KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="__v", predictionCol="cluster").fit(v) for s in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(v).withColumn("cluster", F.col("cluster") + 1).drop("__v")
-    v.unpersist()
-    return out
+def kmeans(feat: DataFrame, k: int, *, starts=25, max_iter=50, seed=1) -> DataFrame:
+    """Adds cluster (1..k): the best of several seeded starts by total cost, all starts side by side."""
+    return kmeans_of_each(feat, [k], starts=starts, max_iter=max_iter, seed=seed).withColumn("cluster", F.col("clusters")[F.lit(k)]).drop("clusters")
 
 
-def gaussian_mixture(feat: DataFrame, k: int, *, iterations=40, seed=1) -> DataFrame:
-    """Adds cluster and uncertainty (1 - the largest posterior) of a mixture with diagonal covariances.
+def kmeans_of_each(feat: DataFrame, ks, *, starts=25, max_iter=50, seed=1) -> DataFrame:
+    """Adds clusters: a map from every k to the cluster of the best start, all k and starts side by side."""
+    points = lloyd.read_points(feat, seed)
+    try:
+        centres, _ = lloyd.best_runs(points, list(ks), starts=starts, max_iter=max_iter)
+    finally:
+        points.rows.unpersist()
+    return lloyd.with_clusters(feat, points, centres)
 
-    Every round is one aggregation: the components' means and variances are literals of k x p numbers,
-    and the sums of responsibilities, values and squares come back.
+
+def gaussian_mixture(feat: DataFrame, k: int, *, starts=25, iterations=100, seed=1, forms=lloyd.FORMS) -> DataFrame:
+    """Adds cluster and uncertainty (1 - the largest posterior) of a mixture of spherical or diagonal covariances, the form of the largest BIC.
+
+    All forms are fitted side by side, an iteration of all is one aggregation; the components' means and variances come back as literals of k x p numbers.
     """
-    weight, mean, var = _fit_mixture(feat, k, iterations=iterations, seed=seed)
+    points = lloyd.read_points(feat, seed)
+    try:
+        centres, _ = lloyd.best_runs(points, [k], starts=starts)
+        best = lloyd.best_form(lloyd.mixtures(points, centres, forms=forms, iterations=iterations), k)
+    finally:
+        points.rows.unpersist()
+    return with_posterior(feat, best.weight, best.mean + points.mean, best.var)
+
+
+def with_posterior(feat: DataFrame, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> DataFrame:
+    """Adds cluster and uncertainty under a mixture with these weights, means and variances (components x dims)."""
     out = feat.withColumn("__r", F.slice(_posterior(weight, mean, var), 1, len(weight)))
     top = F.array_max("__r")
     return out.withColumn("cluster", F.array_position("__r", top).cast("int")).withColumn("uncertainty", 1 - top).drop("__r")
 
 
-def mixture_bic(feat: DataFrame, k: int, *, iterations=40, seed=1) -> float | None:
-    """Twice the log likelihood of the diagonal mixture less its number of parameters times log n: the larger the better; None where it is not finite."""
-    weight, mean, var = _fit_mixture(feat, k, iterations=iterations, seed=seed)
-    one = feat.agg(F.count("*").alias("n"), F.sum(F.get(_posterior(weight, mean, var), F.lit(len(weight)))).alias("likelihood")).first()
-    bic = 2 * one["likelihood"] - (len(weight) - 1 + 2 * mean.size) * math.log(one["n"])
-    return bic if math.isfinite(bic) else None
-
-
-def _fit_mixture(feat: DataFrame, k: int, *, iterations: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and variances of a mixture with diagonal covariances."""
-    p = len(feat.select("features").first()[0])
-    start = kmeans(feat, k, starts=2, seed=seed)
-    agg = start.groupBy("cluster").agg(F.count("*").alias("n"), *(F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(p)), *(F.var_pop(F.get("features", F.lit(i))).alias(f"v{i}") for i in range(p))).orderBy("cluster").collect()
-    n = np.array([r["n"] for r in agg], float)
-    mean, var = np.array([[r[f"m{i}"] for i in range(p)] for r in agg]), np.array([[r[f"v{i}"] for i in range(p)] for r in agg])
-    rows, last = feat.select("token", "features").cache(), None
-    for _ in range(iterations):
-        posterior = _posterior(n / n.sum(), mean, np.maximum(var, 1e-6))
-        r = rows.withColumn("r", posterior)
-        sums = r.agg(F.sum(F.get("r", F.lit(len(n)))), *(F.sum(F.get("r", F.lit(j))) for j in range(len(n))), *(F.sum(F.get("r", F.lit(j)) * F.get("features", F.lit(i)) ** q) for q in (1, 2) for j in range(len(n)) for i in range(p))).first()
-        values = np.array(sums, float)
-        likelihood, n = values[0], np.maximum(values[1 : 1 + len(n)], 1e-9)
-        first, second = values[1 + len(n) :].reshape(2, len(n), p)
-        mean = first / n[:, None]
-        var = second / n[:, None] - mean**2
-        if last is not None and abs(likelihood - last) < 1e-6 * abs(last):
-            break
-        last = likelihood
-    rows.unpersist()
-    return n / n.sum(), mean, np.maximum(var, 1e-6)
+def mixture_table(feat: DataFrame, k_range=range(2, 9), *, starts=25, iterations=100, seed=1, forms=lloyd.FORMS) -> DataFrame:
+    """k, form and bic (twice the log likelihood less the number of parameters times log n; the larger the better, null where a component collapsed)."""
+    points = lloyd.read_points(feat, seed)
+    try:
+        centres, _ = lloyd.best_runs(points, list(k_range), starts=starts)
+        models = lloyd.mixtures(points, centres, forms=forms, iterations=iterations)
+    finally:
+        points.rows.unpersist()
+    return feat.sparkSession.createDataFrame([(k, form, m.bic) for (k, form), m in models.items()], "k int, form string, bic double")
 
 
 def _posterior(weight: np.ndarray, mean: np.ndarray, var: np.ndarray):
@@ -138,31 +131,42 @@ def _posterior(weight: np.ndarray, mean: np.ndarray, var: np.ndarray):
     return F.element_at(F.transform(F.array(F.array(*logs)), share), 1)
 
 
-def hierarchical(feat: DataFrame, k: int, *, method="ward", micro=200, seed=1) -> DataFrame:
+def hierarchical(feat: DataFrame, k: int, *, method="ward", micro=2000, seed=1) -> DataFrame:
     """Adds cluster: k-means micro-clusters merged by Ward's or average linkage on their sizes, centres and scatter.
 
     Average linkage is the mean squared distance over all pairs of tokens of two groups.
-
-    The driver merges at most ``micro`` centres, however many tokens there are.
+    The driver merges at most ``micro`` centres, however many tokens there are, by chains of nearest neighbours.
     """
-    small = kmeans(feat, min(micro, max(2, feat.count() // 4)), starts=1, seed=seed).withColumnRenamed("cluster", "__micro")
-    p = len(feat.select("features").first()[0])
-    rows = small.groupBy("__micro").agg(F.count("*").alias("n"), *(F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(p)), sum((F.var_pop(F.get("features", F.lit(i))) for i in range(p)), F.lit(0.0)).alias("scatter")).orderBy("__micro").collect()
-    groups = [([r["__micro"]], r["n"], np.array([r[f"m{i}"] for i in range(p)]), r["scatter"]) for r in rows]
-    while len(groups) > k:
-        best = None
-        centres, sizes = np.stack([g[2] for g in groups]), np.array([g[1] for g in groups], float)
-        scatter = np.array([g[3] for g in groups])
-        d = ((centres[:, None] - centres[None]) ** 2).sum(axis=2)
-        cost = d * sizes[:, None] * sizes[None] / (sizes[:, None] + sizes[None]) if method == "ward" else d + scatter[:, None] + scatter[None]
-        np.fill_diagonal(cost, np.inf)
-        best = np.unravel_index(cost.argmin(), cost.shape)
-        i, j = sorted(map(int, best))
-        a, b = groups[i], groups.pop(j)
-        n = a[1] + b[1]
-        groups[i] = (a[0] + b[0], n, (a[1] * a[2] + b[1] * b[2]) / n, (a[1] * a[3] + b[1] * b[3]) / n + a[1] * b[1] / n**2 * float(((a[2] - b[2]) ** 2).sum()))
-    table = feat.sparkSession.createDataFrame([(m, c + 1) for c, g in enumerate(groups) for m in g[0]], "__micro int, cluster int")
-    return small.join(F.broadcast(table), "__micro").drop("__micro")
+    points = lloyd.read_points(feat, seed, pool=2 * micro)
+    try:
+        count = min(micro, max(k, points.n // 4), len(np.unique(points.pool, axis=0)))
+        centres = lloyd.best_runs(points, [count], starts=1)[0][count]
+        sums = lloyd.pass_of(points, {(0, count): centres[None]})[0, count][0]
+    finally:
+        points.rows.unpersist()
+    full = sums[:, 0] > 0
+    centres, sums = centres[full], sums[full]
+    n, mean = sums[:, 0], sums[:, 1:-1] / sums[:, :1]
+    merges = lloyd.merge_order(n, mean, np.maximum(sums[:, -1] / n - (mean**2).sum(axis=1), 0), method)
+    return _labelled(feat, centres + points.mean, lloyd.cut_merges(len(n), merges, k) + 1)
+
+
+def _labelled(feat: DataFrame, centres: np.ndarray, labels: np.ndarray) -> DataFrame:
+    """Adds cluster: the label of the nearest centre, null for rows without finite features."""
+    at = feat.columns.index("features")
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(at)
+            x = [None if v is None or None in v else v for v in lists.to_pylist()]
+            ok = np.array([v is not None and bool(np.isfinite(v).all()) for v in x])
+            found = np.zeros(len(x), np.int32)
+            if ok.any():
+                found[ok] = labels[lloyd.nearest(np.array([v for v, o in zip(x, ok) if o], float), centres[None])[:, 0]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32(), mask=~ok)], names=[*batch.schema.names, "cluster"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in feat.schema)
+    return feat.mapInArrow(run, f"{fields}, cluster int")
 
 
 def cluster_means(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
@@ -181,6 +185,15 @@ def relabel_by_height(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
     return assigned.withColumn(cluster, new)
 
 
+def compare_solutions(assigned: DataFrame, *, clusters="clusters") -> DataFrame:
+    """k, cluster, position, value (mean contour) and size for every entry of a map from k to the cluster; clusters numbered from low to high by their mean."""
+    each = assigned.select("contour", F.explode(clusters).alias("k", "__c")).filter(F.col("__c").isNotNull())
+    means = each.select("k", "__c", F.posexplode("contour")).groupBy("k", "__c", (F.col("pos") + 1).alias("position")).agg(F.avg("col").alias("value"), F.count("*").alias("size"))
+    height = means.groupBy("k", "__c").agg(F.avg("value").alias("h"))
+    places = height.select("k", "__c", F.row_number().over(Window.partitionBy("k").orderBy("h", "__c")).alias("cluster"))  # k rows for each k
+    return means.join(places, ["k", "__c"]).select("k", "cluster", "position", "value", "size")
+
+
 def playback_contours(assigned: DataFrame, *, base: float | None = None) -> DataFrame:
     """Mean contour of every cluster in Hz: as it is, or deviations in semitones around ``base``."""
     m = cluster_means(assigned)
@@ -203,41 +216,34 @@ def adjusted_rand(table: DataFrame) -> DataFrame:
     return one.select(F.coalesce(F.try_divide(F.col("ij") - expected, (F.col("a") + F.col("b")) / 2 - expected), F.lit(0.0)).alias("ari"))
 
 
-def normal_mass(low: np.ndarray, high: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
-    """Probability between two bounds under normal distributions."""
-    phi = lambda x: 0.5 * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
-    return phi((high - mean) / sd) - phi((low - mean) / sd)
-
-
-def description_length(assigned: DataFrame, *, cluster="cluster", eps=1.0, bending=1.0) -> DataFrame:
-    """One row: model, partition and residual cost of a clustering in nats, and their bent sum.
+def description_length(assigned: DataFrame, *, cluster="cluster", eps=1.0, bending=1.0, by=()) -> DataFrame:
+    """One row: model, partition and residual cost of a clustering in nats, and their bent sum; one for each value of the columns ``by``.
 
     Every number is coded by the probability of its eps-interval: cluster means under the global normal of
     their dimension, tokens under their cluster's.
     """
-    e = assigned.select(F.col(cluster).alias("c"), F.posexplode("contour"))
-    stats = e.groupBy("c", "pos").agg(F.avg("col").alias("m"), F.stddev_samp("col").alias("s"), F.count("*").alias("n"))
-    whole = e.groupBy("pos").agg(F.avg("col").alias("gm"), F.stddev_samp("col").alias("gs"))
+    by = list(by)
+    e = assigned.select(*by, F.col(cluster).alias("c"), F.posexplode("contour"))
+    stats = e.groupBy(*by, "c", "pos").agg(F.avg("col").alias("m"), F.stddev_samp("col").alias("s"), F.count("*").alias("n"))
+    whole = e.groupBy(*by, "pos").agg(F.avg("col").alias("gm"), F.stddev_samp("col").alias("gs"))
     usable = lambda s: F.when(F.col(s) > 0, F.col(s)).otherwise(eps)
 
-    @F.pandas_udf("double")
-    def bits(x: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
-        low = np.floor(x / eps) * eps
-        p = normal_mass(low.to_numpy(), low.to_numpy() + eps, m.to_numpy(), s.to_numpy())
-        return pd.Series(-np.log(np.where(p > 0, p, np.finfo(float).tiny)))
+    def nats(x, m, s):
+        low = F.floor(F.col(x) / eps) * eps
+        p = normal_mass(low, low + eps, F.col(m), usable(s))
+        return -F.log(F.when(p > 0, p).otherwise(float(np.finfo(float).tiny)))
 
-    residual = e.join(F.broadcast(stats), ["c", "pos"]).agg(F.sum(bits("col", "m", usable("s"))).alias("residual"))
-    model = stats.join(whole, "pos").agg(F.sum(bits("m", "gm", usable("gs"))).alias("model"))
-    sizes = assigned.groupBy(F.col(cluster).alias("c")).count()
-    part = sizes.agg((F.sum("count") * F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count"))).alias("partition"))
-    one = residual.crossJoin(model).crossJoin(part)
-    return one.select("model", "partition", "residual", (F.col("model") / bending + F.col("partition") + F.col("residual") / bending).alias("mdl"))
+    residual = e.join(F.broadcast(stats), [*by, "c", "pos"]).groupBy(*by).agg(F.sum(nats("col", "m", "s")).alias("residual"))
+    model = stats.join(whole, [*by, "pos"]).groupBy(*by).agg(F.sum(nats("m", "gm", "gs")).alias("model"))
+    part = partition_cost(assigned, cluster=cluster, by=by)
+    one = residual.join(model, by).join(part, by) if by else residual.crossJoin(model).crossJoin(part)
+    return one.select(*by, "model", "partition", "residual", (F.col("model") / bending + F.col("partition") + F.col("residual") / bending).alias("mdl"))
 
 
-def partition_cost(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
-    """One row: n log n minus the sum over clusters."""
-    sizes = assigned.groupBy(F.col(cluster).alias("c")).count()
-    return sizes.agg((F.sum("count") * F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count"))).alias("partition"))
+def partition_cost(assigned: DataFrame, *, cluster="cluster", by=()) -> DataFrame:
+    """One row: n log n minus the sum over clusters; one for each value of the columns ``by``."""
+    sizes = assigned.groupBy(*by, F.col(cluster).alias("c")).count()
+    return sizes.groupBy(*by).agg((F.sum("count") * F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count"))).alias("partition"))
 
 
 def silhouette(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
@@ -267,30 +273,34 @@ def within_cost(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
     return per.agg(F.sum("w").alias("wss"))
 
 
-def choose_k(feat: DataFrame, k_range=range(2, 9), *, starts=3, gap_references=0, bending=1.0, seed=1) -> DataFrame:
-    """k, wss, silhouette, gap, gap_se, mdl and bic (of the diagonal mixture) for every k; gap on uniform reference tables when asked for."""
-    spark, rows = feat.sparkSession, []
-    feat = feat.cache()
-    for k in k_range:
-        a = kmeans(feat, k, starts=starts, seed=seed).cache()
-        wss = within_cost(a).first()[0]
-        gaps = []
-        for b in range(gap_references):
-            gaps.append(math.log(within_cost(kmeans(_reference(feat, seed + b), k, starts=1, seed=seed)).first()[0]))
-        gap = sum(gaps) / len(gaps) - math.log(wss) if gaps else None
-        se = (np.std(gaps) * math.sqrt(1 + 1 / len(gaps))) if gaps else None
-        rows.append((k, float(wss), float(silhouette(a).first()[0]), None if gap is None else float(gap), None if se is None else float(se), float(description_length(a, bending=bending).first()["mdl"]), mixture_bic(feat, k, seed=seed)))
-        a.unpersist()
-    feat.unpersist()
-    return spark.createDataFrame(rows, "k int, wss double, silhouette double, gap double, gap_se double, mdl double, bic double")
-
-
-def _reference(feat: DataFrame, seed: int) -> DataFrame:
-    """As many rows, uniform in the box of the features."""
-    p = len(feat.select("features").first()[0])
-    ends = feat.agg(*(F.min(F.get("features", F.lit(i))) for i in range(p)), *(F.max(F.get("features", F.lit(i))) for i in range(p))).first()
-    draws = F.array(*(F.lit(ends[i]) + F.rand(seed * 1000 + i) * (ends[p + i] - ends[i]) for i in range(p)))
-    return feat.withColumn("features", draws)
+def choose_k(feat: DataFrame, k_range=range(2, 9), *, starts=25, gap_references=0, eps=1.0, bending=1.0, seed=1, forms=lloyd.FORMS) -> DataFrame:
+    """k, wss, silhouette, gap, gap_se, mdl and bic (of the mixture's best form) for every k.
+
+    Runs of all k, of all starts and of the data and all reference tables go side by side, one pass over the points an iteration. Reference tables
+    (for the gap) are uniform in the box of the points' principal axes and get as many starts as the data; the gap compares the logarithms of
+    squared distances to the centres, which are sums over points, where the usual one adds up the distances of all pairs.
+    """
+    spark, ks = feat.sparkSession, sorted({int(k) for k in k_range if k >= 2})
+    points = lloyd.read_points(feat, seed)
+    try:
+        ks = [k for k in ks if k < points.n]
+        if not ks:
+            raise ValueError("no k of the range is below the number of points")
+        centres, cost = lloyd.best_runs(points, ks, starts=starts, references=gap_references)
+        silhouette_of = lloyd.silhouettes(points, centres)
+        models = lloyd.mixtures(points, centres, forms=forms)
+    finally:
+        points.rows.unpersist()
+    each = lloyd.with_clusters(feat, points, centres).select("contour" if "contour" in feat.columns else F.col("features").alias("contour"), F.explode("clusters").alias("k", "cluster")).filter(F.col("cluster").isNotNull())
+    mdl = description_length(each, eps=eps, bending=bending, by=["k"]).select("k", "mdl")
+    rows = []
+    for k in ks:
+        logs = np.log(np.maximum([cost[b, k] for b in range(gap_references + 1)], 1e-300))
+        gap = float(logs[1:].mean() - logs[0]) if gap_references else None
+        se = float(logs[1:].std(ddof=1) * math.sqrt(1 + 1 / gap_references)) if gap_references > 1 else None
+        rows.append((k, cost[0, k], silhouette_of[k], gap, se, lloyd.best_form(models, k).bic))
+    table = spark.createDataFrame(rows, "k int, wss double, silhouette double, gap double, gap_se double, bic double")
+    return table.join(mdl, "k", "left").select("k", "wss", "silhouette", "gap", "gap_se", "mdl", "bic")
 
 
 def suggestions(diagnostics: DataFrame) -> DataFrame:

@@ -1,21 +1,23 @@
 """Growth-curve and smooth models from sums made on Spark.
 
 All fits go through per-cell sums (tone, speaker, item): the Gram matrix of the time basis, the products
-with f0 and the count. Their number does not grow with the samples of a cell, and what the driver solves
-is as large as the model, not as the data.
+with f0 and the count. Their number does not grow with the samples of a cell. The random curves of the larger factor
+are eliminated level by level on Spark (see ``mixed``); the driver solves the tones' curves and the smaller factor.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most unknowns (fixed and random) that the driver solves densely.
-MAX_UNKNOWNS = 5000
+from contourlake.operators import mixed
+
+#: Forms of random smooths.
+RANDOM_SMOOTHS = ("none", "speaker", "speaker_tone", "speaker_by_tone", "ref_diff")
 
 
 def poly_column(x: Column, coefficients) -> Column:
@@ -48,15 +50,9 @@ def cell_sums(data: DataFrame, basis: list[Column], y: str, keys: list[str]) ->
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *sums)
 
 
-def _cells(table: DataFrame, k: int, keys: list[str]):
-    rows = table.collect()  # one row per cell: at most tones x speakers x items
-    gram = np.array([[[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)] for r in rows])
-    return [tuple(r[c] for c in keys) for r in rows], gram, np.array([[r[f"b{i}"] for i in range(k)] for r in rows]), sum(r["n"] for r in rows), sum(r["yy"] for r in rows)
-
-
 @dataclass
 class GrowthCurve:
-    """Fixed effects per tone (tones x (degree + 1), on the orthogonal basis), their covariance, variances and the basis."""
+    """Fixed effects per tone (tones x (degree + 1), on the orthogonal basis), their covariance, variances, the random terms' covariance matrices and the basis."""
 
     tones: list[str]
     effects: np.ndarray
@@ -64,57 +60,54 @@ class GrowthCurve:
     variances: dict[str, float]
     basis: np.ndarray
     degree: int
+    covariances: dict[str, np.ndarray] = field(default_factory=dict)
+    rounds: int = 0
+
+
+def _factor_keys(data: DataFrame, tone: str, outer: str | None, inner: str | None) -> dict[str, Column]:
+    text = lambda c: F.lit("").cast("string") if c is None else F.col(c).cast("string")
+    return {"tone": F.col(tone).cast("string"), "outer": text(outer), "inner": text(inner)}
+
+
+def _larger_first(data: DataFrame, sizes: dict[str, int]) -> list[str]:
+    """The factors, that with most unknowns first."""
+    if len(sizes) < 2:
+        return list(sizes)
+    counts = data.agg(*(F.approx_count_distinct(c).alias(c) for c in sizes)).first()
+    return sorted(sizes, key=lambda c: -(counts[c] * sizes[c]))
 
 
 def fit_growth_curve(data: DataFrame, *, f0="f0", time="time01", tone="tone", speaker="speaker", item="item", degree=2, random=("speaker",), rounds=60) -> GrowthCurve:
-    """f0 on orthogonal polynomials of time within tones, random intercepts and slopes by speaker and/or item, REML by EM.
+    """f0 on orthogonal polynomials of time within tones, random curves by speaker and/or item with full covariance matrices, by REML.
 
-    ``random=()`` gives the fixed effects alone.
+    ``random`` names the factors, or maps each to ``slopes`` (intercept and all slopes, which a name alone means) or ``intercept``; an empty one
+    gives the fixed effects alone. Rows with a missing f0, tone, speaker or item are left out.
     """
+    terms = dict(random) if isinstance(random, dict) else dict.fromkeys(random, "slopes")
+    if unknown := {*terms} - {"speaker", "item"} | {*terms.values()} - {"slopes", "intercept"}:
+        raise ValueError(f"unknown random terms: {sorted(unknown)}")
+    columns = {"speaker": speaker, "item": item}
+    data = data.dropna(subset=[f0, tone, *(columns[t] for t in terms)])
     coefficients, k = orthogonal_polynomials(data, time, degree), degree + 1
     basis = [F.lit(1.0)] + [poly_column(F.col(time), coefficients[j]) for j in range(1, k)]
-    keys, gram, b, n, yy = _cells(cell_sums(data, basis, f0, [tone, speaker, item]), k, [tone, speaker, item])
-    tones = sorted({c[0] for c in keys})
-    groups = [("speaker", 1)] * ("speaker" in random) + [("item", 2)] * ("item" in random)
-    offsets, width = {}, len(tones) * k
-    for name, at in groups:
-        for level in sorted({c[at] for c in keys}, key=str):
-            offsets[name, level] = width
-            width += k
-    if width > MAX_UNKNOWNS:
-        raise ValueError(f"{width} unknowns; the dense solution takes at most {MAX_UNKNOWNS}")
-    a, rhs = np.zeros((width, width)), np.zeros(width)
-    for c, g, v in zip(keys, gram, b):
-        starts = [tones.index(c[0]) * k] + [offsets[name, c[at]] for name, at in groups]
-        for i in starts:
-            rhs[i : i + k] += v
-            for j in starts:
-                a[i : i + k, j : j + k] += g
-    p = len(tones) * k
-    noise = max(yy / n - (rhs[:p] @ np.linalg.lstsq(a[:p, :p], rhs[:p], rcond=None)[0]) / n, 1e-9)
-    spread = {name: np.full(k, noise / 10) for name, _ in groups}
-    places = {name: np.array([o for (g, _), o in offsets.items() if g == name]) for name, _ in groups}
-    for _ in range(rounds if groups else 1):
-        m = a / noise
-        for name in places:
-            for i in range(k):
-                at = places[name] + i
-                m[at, at] += 1 / spread[name][i]
-        inverse = np.linalg.pinv(m) if not groups else np.linalg.inv(m + 1e-10 * np.eye(width))
-        solution = inverse @ rhs / noise
-        if not groups:
-            break
-        for name in places:
-            for i in range(k):
-                at = places[name] + i
-                spread[name][i] = max((solution[at] ** 2 + inverse[at, at]).mean(), 1e-10)
-        residual = yy - 2 * solution @ rhs + solution @ a @ solution
-        noise = max((residual + np.einsum("ij,ji->", a, inverse)) / n, 1e-9)
-    if not groups:
-        noise = max((yy - solution @ rhs) / max(n - p, 1), 1e-12)
-        inverse = np.linalg.pinv(a) * noise
-    variances = {"residual": float(noise)} | {f"{name}_{i}": float(v) for name in places for i, v in enumerate(spread[name])}
-    return GrowthCurve(tones, solution[:p].reshape(-1, k), inverse[:p, :p], variances, coefficients, degree)
+    scale = np.array([1.0] + [1 / coefficients[0, 0]] * degree)  # functions of the size of 1 inside, so that variances start near their places
+    parts = {t: mixed.Part(t, np.diag(scale) if kind == "slopes" else np.eye(k)[:1], []) for t, kind in terms.items()}
+    order = _larger_first(data, {columns[t]: len(p.basis) for t, p in parts.items()})
+    order = sorted(parts, key=lambda t: order.index(columns[t]))
+    outer, inner = [*order, None][0] if order else None, order[1] if len(order) > 1 else None
+    keys = _factor_keys(data, tone, columns.get(outer), columns.get(inner))
+    cells = mixed.packed_sums(data, basis, F.col(f0), keys)
+    tones = sorted(r[0] for r in cells.select("tone").distinct().collect())
+    for p in parts.values():
+        p.copies = [0] * len(tones)
+    found = mixed.fit(cells, tones=tones, fixed=np.diag(scale), places=[[i * k] for i in range(len(tones))], core_width=len(tones) * k, smooths=[], outer=[parts[outer]] if outer else [], inner=parts.get(inner), rounds=rounds)
+    p, back = len(tones) * k, np.tile(scale, len(tones))
+    covariances = {}
+    for name, part in parts.items():
+        own = scale[: len(part.basis)]
+        covariances[name] = part.covariance * np.outer(own, own)
+    variances = {"residual": found.noise} | {f"{name}_{i}": float(c[i, i]) for name, c in covariances.items() for i in range(len(c))}
+    return GrowthCurve(tones, (found.core[:p] * back).reshape(-1, k), found.covariance[:p, :p] * np.outer(back, back), variances, coefficients, degree, covariances, found.rounds)
 
 
 def predict_growth_curve(spark, model: GrowthCurve, n=100) -> DataFrame:
@@ -166,106 +159,185 @@ def spline_basis(x: Column, k: int) -> list[Column]:
 
 @dataclass
 class Smooth:
-    """Spline coefficients per tone, their covariances, the penalty, speaker offsets and the residual variance."""
+    """Spline coefficients per tone and their covariances, a penalty per smooth (residual variance over the smooth's), residual and random variances.
+
+    ``effects`` and ``covariance`` cover the time basis; ``mean_duration`` adds one more place, the effect of the duration smooth at the mean.
+    ``random`` has a curve (on the time basis) for every speaker and tone, on Spark; ``items`` the item intercepts.
+    """
 
     tones: list[str]
     effects: np.ndarray
     covariance: list[np.ndarray]
-    penalty: float
-    offsets: dict[str, float]
+    penalties: dict[str, float]
     noise: float
     k: int
     rho: float = 0.0
-
-
-def fit_smooth(data: DataFrame, *, f0="f0", time="time01", token="token", tone="tone", speaker="speaker", k=10, smooth_type="separate", random_intercepts=True, use_ar1=False, rho: float | None = None) -> Smooth:
-    """Penalised cubic splines of time per tone (``separate``) or as differences from the first tone, speaker offsets, penalty by generalised cross-validation.
-
+    variances: dict[str, float] = field(default_factory=dict)
+    random: DataFrame | None = None
+    items: dict[str, float] = field(default_factory=dict)
+    duration: np.ndarray | None = None
+    duration_range: tuple[float, float] = (0.0, 1.0)
+    mean_duration: float | None = None
+    at_mean: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    rounds: int = 0
+
+
+def _difference(k: int, order: int) -> np.ndarray:
+    d = np.diff(np.eye(k), order, axis=0)
+    return d.T @ d
+
+
+def _random_parts(form: str, smooth_type: str, k: int, width: int, tones: list, intercepts: bool) -> list[mixed.Part]:
+    """Random curves of speakers: wiggliness (first differences) and level have a variance each; an intercept has its own."""
+    basis, level = np.eye(k, width), np.full((k, k), 1 / k)
+    curves = lambda name, copies: mixed.Part(name, basis, copies, [(_difference(k, 1), k - 1), (level, 1)])
+    count = range(len(tones))
+    if form == "none":
+        ones = np.zeros((1, width))
+        ones[0, :k] = 1  # the splines sum to one
+        return [mixed.Part("speaker", ones, [0] * len(tones), [(np.eye(1), 1)])] if intercepts else []
+    if form == "speaker_tone":
+        return [curves("speaker_tone", list(count))]
+    by_tone = [curves(f"speaker_{tones[t]}", [0 if i == t else -1 for i in count]) for t in count]
+    if form == "speaker_by_tone":
+        return by_tone
+    shared = curves("speaker", [0] * len(tones))
+    return [shared] if form == "speaker" else [shared, *(by_tone if smooth_type == "separate" else by_tone[1:])]
+
+
+def fit_smooth(data: DataFrame, *, f0="f0", time="time01", token="token", tone="tone", speaker="speaker", item=None, duration=None, k=10, smooth_type="separate", random_smooth="none", random_intercepts=True, use_ar1=False, rho: float | None = None, rounds=40) -> Smooth:
+    """Penalised cubic splines of time per tone (``separate``) or as differences from the first tone, each with a penalty of its own, by REML.
+
+    ``random_smooth``: ``speaker`` (a random curve for each speaker), ``speaker_tone`` (for each speaker and tone, one variance for all), ``speaker_by_tone``
+    (the same with variances by tone), ``ref_diff`` (a curve of the speaker, and one more by tone: under ``difference`` for all tones but the first), or ``none``:
+    random intercepts of speakers, if ``random_intercepts``. ``item`` names a column for random item intercepts, ``duration`` one for a penalised smooth that is zero on average.
     With ``use_ar1`` the first fit's residual correlation at lag 1 whitens each token's rows (value minus rho
-    times the one before, the first frame kept) and the model is fitted once more.
+    times the one before, the first frame kept) and the model is fitted once more. Rows with anything missing are left out.
     """
-    basis = spline_basis(F.col(time), k)
-    names = [f"__b{i}" for i in range(k)]
-    d = data.filter(F.col(f0).isNotNull() & F.col(time).isNotNull()).select(token, tone, speaker, time, F.col(f0).alias("__y"), *(b.alias(n) for b, n in zip(basis, names)))
+    if random_smooth not in RANDOM_SMOOTHS or smooth_type not in ("separate", "difference"):
+        raise ValueError(f"no such smooth: {smooth_type}, {random_smooth}")
+    grouped = random_smooth != "none" or random_intercepts
+    needed = [f0, time, tone, *([speaker] if grouped else []), *([item] if item else []), *([duration] if duration else [])]
+    known = data.dropna(subset=needed)
+    basis, low, high, mean = spline_basis(F.col(time), k), 0.0, 1.0, None
+    if duration:
+        one = known.agg(F.min(duration), F.max(duration), F.avg(duration)).first()
+        if one[0] is None or not one[0] < one[1]:
+            raise ValueError("durations must differ")
+        low, high, mean = map(float, one)
+        basis = basis + spline_basis(_unit(F.col(duration), low, high), k)
+    names = [f"__b{i}" for i in range(len(basis))]
+    d = known.select(F.col(token).alias("__token"), F.col(tone).alias("__tone"), (F.col(speaker) if grouped else F.lit("")).alias("__speaker"), (F.col(item) if item else F.lit("")).alias("__item"), F.col(time).alias("__time"), F.col(f0).alias("__y"), *(b.alias(n) for b, n in zip(basis, names)))
+    centre = None
+    if duration:
+        means = np.array(d.agg(*(F.avg(n) for n in names[k:])).first(), float)
+        centre = np.linalg.svd(means[None])[2][1:].T  # coefficients whose smooth is zero on average
     if rho:
-        w = Window.partitionBy(token).orderBy(time)
+        w = Window.partitionBy("__token").orderBy("__time")
         white = lambda c: F.when(F.row_number().over(w) == 1, F.col(c)).otherwise(F.col(c) - rho * F.lag(c).over(w))
-        d = d.select(token, tone, speaker, time, *(white(c).alias(c) for c in ("__y", *names)))
-    keys, gram, b, n, yy = _cells(cell_sums(d, [F.col(c) for c in names], "__y", [tone, speaker]), k, [tone, speaker])
-    tones, speakers = sorted({c[0] for c in keys}), sorted({c[1] for c in keys}, key=str) if random_intercepts else []
-    p = len(tones) * k
-    width = p + len(speakers)
-    a, rhs = np.zeros((width, width)), np.zeros(width)
-    for c, g, v in zip(keys, gram, b):
-        i = tones.index(c[0]) * k
-        blocks = [i] if smooth_type == "separate" or i == 0 else [0, i]
-        for x in blocks:
-            rhs[x : x + k] += v
-            for y in blocks:
-                a[x : x + k, y : y + k] += g
-        if speakers:  # the basis sums to one, so its row sums are the intercept's products
-            s = p + speakers.index(c[1])
-            for x in blocks:
-                a[x : x + k, s] += g.sum(axis=1)
-                a[s, x : x + k] += g.sum(axis=0)
-            a[s, s] += g.sum()
-            rhs[s] += v.sum()
-    second = np.diff(np.eye(k), 2, axis=0)
-    penalty = np.zeros((width, width))
-    for i in range(0, p, k):
-        penalty[i : i + k, i : i + k] = second.T @ second
-    ridge = np.diag([1e-8] * p + [1.0] * len(speakers))
-    best = None
-    for lam in np.geomspace(1e-4, 1e6, 41):
-        inverse = np.linalg.inv(a + lam * penalty + ridge)
-        solution = inverse @ rhs
-        rss = max(yy - 2 * solution @ rhs + solution @ a @ solution, 1e-12)
-        df = np.trace(inverse @ a)
-        score = n * rss / max(n - df, 1) ** 2
-        if best is None or score < best[0]:
-            best = (score, lam, solution, inverse, rss / max(n - df, 1))
-    _, lam, solution, inverse, noise = best
-    covariance = inverse * noise
-    blocks = [slice(i * k, (i + 1) * k) for i in range(len(tones))]
-    effects, spread = [], []
-    for i, s in enumerate(blocks):
-        if smooth_type == "separate" or i == 0:
-            effects.append(solution[s])
-            spread.append(covariance[s, s])
-        else:
-            effects.append(solution[blocks[0]] + solution[s])
-            spread.append(covariance[blocks[0], blocks[0]] + covariance[s, s] + covariance[blocks[0], s] + covariance[s, blocks[0]])
-    model = Smooth(tones, np.array(effects), spread, float(lam), {str(x): float(solution[p + i]) for i, x in enumerate(speakers)}, float(noise), k, rho or 0.0)
+        d = d.select("__token", "__tone", "__speaker", "__item", "__time", *(white(c).alias(c) for c in ("__y", *names)))
+    cells = mixed.packed_sums(d, [F.col(c) for c in names], F.col("__y"), _factor_keys(d, "__tone", "__speaker", "__item"))
+    tones = sorted(r[0] for r in cells.select("tone").distinct().collect())
+    p, width = len(tones) * k, len(names)
+    places = [[i * k] if smooth_type == "separate" or i == 0 else [0, i * k] for i in range(len(tones))]
+    smooths = [mixed.Smoothed(t if smooth_type == "separate" or i == 0 else f"{t} - {tones[0]}", i * k, _difference(k, 2), k - 2) for i, t in enumerate(tones)]
+    extra, core_width = None, p
+    if duration:
+        extra = np.concatenate([np.zeros((k - 1, k)), centre.T], axis=1)
+        smooths.append(mixed.Smoothed("duration", p, centre.T @ _difference(k, 2) @ centre, k - 2))
+        core_width += k - 1
+    ones = np.zeros((1, width))
+    ones[0, :k] = 1
+    inner = mixed.Part("item", ones, [0] * len(tones), [(np.eye(1), 1)]) if item else None
+    outer = _random_parts(random_smooth, smooth_type, k, width, tones, random_intercepts)
+    if inner and not outer:  # a lone factor is the one that is eliminated level by level
+        cells = cells.withColumn("outer", F.col("inner")).withColumn("inner", F.lit(""))
+        outer, inner = [inner], None
+    fit = mixed.fit(cells, tones=tones, fixed=np.eye(k, width), places=places, core_width=core_width, smooths=smooths, outer=outer, inner=inner, extra=extra, rounds=rounds)
+    model = _smooth_of(fit, k, places, p, centre, (low, high), mean, rho or 0.0, grouped, bool(item))
     if use_ar1 and rho is None:
-        scored = score_smooth(data, model, f0=f0, time=time, tone=tone, speaker=speaker)
+        scored = score_smooth(data, model, f0=f0, time=time, tone=tone, speaker=speaker, item=item, duration=duration)
         first = residual_acf(scored, "residual", token=token, time=time, max_lag=1).filter("lag = 1").first()
-        return fit_smooth(data, f0=f0, time=time, token=token, tone=tone, speaker=speaker, k=k, smooth_type=smooth_type, random_intercepts=random_intercepts, rho=float(np.clip(first["acf"] or 0.0, -0.95, 0.95)))
+        return fit_smooth(data, f0=f0, time=time, token=token, tone=tone, speaker=speaker, item=item, duration=duration, k=k, smooth_type=smooth_type, random_smooth=random_smooth, random_intercepts=random_intercepts, rho=float(np.clip(first["acf"] or 0.0, -0.95, 0.95)), rounds=rounds)
     return model
 
 
-def predict_smooth(spark, model: Smooth, n=200) -> DataFrame:
-    """tone, time, f0_predicted and se on an even grid; random offsets left out."""
-    grid = spark.range(n).select((F.col("id") / float(max(n - 1, 1))).alias("time")).withColumn("b", F.array(*spline_basis(F.col("time"), model.k)))
-    rows = [(t, [float(v) for v in e], [float(v) for v in c.ravel()]) for t, e, c in zip(model.tones, model.effects, model.covariance)]
+def _unit(x: Column, low: float, high: float) -> Column:
+    """A value moved to 0-1; beyond the ends it counts as the end."""
+    return F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+
+
+def spline_values(x: float, k: int) -> np.ndarray:
+    """The k cubic B-splines of ``spline_basis`` at one place."""
+    u = x * (k - 3) - (np.arange(k) - 3)
+    w = lambda s: u - s
+    pieces = [w(0) ** 3, -3 * w(1) ** 3 + 3 * w(1) ** 2 + 3 * w(1) + 1, 3 * w(2) ** 3 - 6 * w(2) ** 2 + 4, (1 - w(3)) ** 3]
+    return np.select([(u >= 0) & (u < 1), (u >= 1) & (u < 2), (u >= 2) & (u < 3), (u >= 3) & (u <= 4)], pieces, 0.0) / 6
+
+
+def _smooth_of(fit, k, places, p, centre, ends, mean, rho, grouped, with_items) -> Smooth:
+    effects, spread, at_mean = [], [], []
+    for own in places:
+        take = np.zeros((k, len(fit.core)))
+        for start in own:
+            take[:, start : start + k] += np.eye(k)
+        effects.append(take @ fit.core)
+        spread.append(take @ fit.covariance @ take.T)
+        if centre is not None:
+            row = np.zeros(len(fit.core))
+            row[p : p + k - 1] = spline_values((mean - ends[0]) / (ends[1] - ends[0]), k) @ centre
+            both = np.vstack([take, row])
+            at_mean.append((both @ fit.core, both @ fit.covariance @ both.T))
+    penalties = {s.name: float(fit.noise / s.variance) for s in fit.smooths}
+    variances = {f"{part.name}_{i}" if len(part.variances) > 1 else part.name: float(v) for part in [*fit.outer, *([fit.inner] if fit.inner else [])] for i, v in enumerate(part.variances)}
+    lone_item = with_items and fit.inner is None
+    items = {} if fit.inner is None else {x: float(v) for x, v in zip(fit.levels, fit.core[fit.design.inner_at :])}
+    curves = fit.random_curves()
+    if curves is not None:
+        curves = curves.select(F.col("level").alias("item" if lone_item else "speaker"), "tone", F.slice("curve", 1, k).alias("curve"))
+    duration = None if centre is None else centre @ fit.core[p : p + k - 1]
+    return Smooth(fit.tones, np.array(effects), spread, penalties, fit.noise, k, rho, variances, curves, items, duration, ends, mean, at_mean, fit.rounds)
+
+
+def predict_smooth(spark, model: Smooth, n=200, *, at_mean_duration=False) -> DataFrame:
+    """tone, time, f0_predicted and se on an even grid; random terms left out. The duration smooth, which is zero on average, is left out too, or taken at the mean duration."""
+    if at_mean_duration and not model.at_mean:
+        raise ValueError("the model has no duration smooth")
+    basis = spline_basis(F.col("time"), model.k) + ([F.lit(1.0)] if at_mean_duration else [])
+    grid = spark.range(n).select((F.col("id") / float(max(n - 1, 1))).alias("time")).withColumn("b", F.array(*basis))
+    found = model.at_mean if at_mean_duration else list(zip(model.effects, model.covariance))
+    rows = [(t, [float(v) for v in e], [float(v) for v in c.ravel()]) for t, (e, c) in zip(model.tones, found)]
     tones = spark.createDataFrame(rows, "tone string, e array<double>, v array<double>")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    inner = F.transform("b", lambda bi, i: bi * dot(F.slice("v", i * model.k + 1, F.lit(model.k)), F.col("b")))
+    inner = F.transform("b", lambda bi, i: bi * dot(F.slice("v", i * len(basis) + 1, F.lit(len(basis))), F.col("b")))
     var = F.aggregate(inner, F.lit(0.0), lambda s, v: s + v)
     return tones.crossJoin(grid).select("tone", "time", dot(F.col("e"), F.col("b")).alias("f0_predicted"), F.sqrt(F.greatest(F.lit(0.0), var)).alias("se"))
 
 
-def score_smooth(data: DataFrame, model: Smooth, *, f0="f0", time="time01", tone="tone", speaker="speaker") -> DataFrame:
-    """Adds fitted and residual to every frame."""
-    curves = data.sparkSession.createDataFrame([(t, [float(v) for v in e]) for t, e in zip(model.tones, model.effects)], "__tone string, __e array<double>")
-    data = data.join(F.broadcast(curves), F.col(tone).cast("string") == F.col("__tone"), "left").drop("__tone")
+def score_smooth(data: DataFrame, model: Smooth, *, f0="f0", time="time01", tone="tone", speaker="speaker", item=None, duration=None) -> DataFrame:
+    """Adds fitted (random terms and all) and residual to every frame; a level the model doesn't know adds nothing.
+
+    Curves of speakers are joined by speaker and tone, however many there are; tones and items are small tables.
+    """
+    spark, columns = data.sparkSession, data.columns
+    curves = spark.createDataFrame([(t, [float(v) for v in e]) for t, e in zip(model.tones, model.effects)], "__tone string, __e array<double>")
+    data = data.join(F.broadcast(curves), F.col(tone).cast("string") == F.col("__tone"), "left")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
     basis = F.array(*spline_basis(F.col(time), model.k))
-    value = F.aggregate(F.zip_with("__e", basis, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
-    if model.offsets:
-        table = data.sparkSession.createDataFrame(list(model.offsets.items()), "__speaker string, __offset double")
-        data = data.join(F.broadcast(table), F.col(speaker).cast("string") == F.col("__speaker"), "left").drop("__speaker")
-        value = value + F.coalesce("__offset", F.lit(0.0))
-    out = data.withColumn("fitted", value).withColumn("residual", F.col(f0) - F.col("fitted"))
-    return out.drop("__offset", "__e")
+    coefficients, rest = F.col("__e"), F.lit(0.0)
+    if model.random is not None:
+        level = "item" if "item" in model.random.columns else "speaker"
+        key = {"item": item, "speaker": speaker}[level]
+        own = model.random.select(F.col(level).alias("__level"), F.col("tone").alias("__of"), F.col("curve").alias("__c"))
+        data = data.join(own, (F.col(key).cast("string") == F.col("__level")) & (F.col(tone).cast("string") == F.col("__of")), "left")
+        coefficients = F.when(F.col("__c").isNull(), coefficients).otherwise(F.zip_with(coefficients, "__c", lambda a, b: a + b))
+    if model.items:
+        table = spark.createDataFrame(list(model.items.items()), "__item string, __offset double")
+        data = data.join(F.broadcast(table), F.col(item).cast("string") == F.col("__item"), "left")
+        rest = rest + F.coalesce("__offset", F.lit(0.0))
+    if model.duration is not None:
+        rest = rest + dot(F.array(*spline_basis(_unit(F.col(duration), *model.duration_range), model.k)), F.array(*(F.lit(float(v)) for v in model.duration)))
+    return data.withColumn("fitted", dot(coefficients, basis) + rest).select(*columns, "fitted", (F.col(f0) - F.col("fitted")).alias("residual"))
 
 
 def residual_acf(data: DataFrame, residual: str, *, token="token", time="time", rho=0.0, max_lag=40) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from contourlake.functions.scalars import ERF_SMALL, ERFC_LARGE, ERFC_MIDDLE, INVERSE_ROOT_PI
 from contourlake.operators import cluster as C
+from contourlake.operators import mixed as X
 from contourlake.operators import models as M
 from contourlake.operators import normalise as N
 from contourlake.plans.describe import TIME01
@@ -117,29 +117,61 @@ def _(spark, sf_dir):
     return C.silhouette(_vectors(spark, sf_dir))
 
 
-@query("m11_description_length")
+def _ratio_sql(x: str, parts) -> str:
+    out = []
+    for coefficients in parts:
+        value = f"{coefficients[0]!r}::DOUBLE"
+        for c in coefficients[1:]:
+            value = f"({value} * {x} + {c!r}::DOUBLE)"
+        out.append(value)
+    return f"({out[0]}) / ({out[1]})"
+
+
+#: Complementary error function of a column x by the same approximations.
+ERFC_SQL = f"""CASE WHEN abs(x) <= 0.46875 THEN 1 - x * {_ratio_sql("(x * x)", ERF_SMALL)} ELSE (CASE WHEN x >= 0 THEN 0 ELSE 2 END) + sign(x) *
+  (CASE WHEN abs(x) <= 4 THEN exp(-x * x) * {_ratio_sql("abs(x)", ERFC_MIDDLE)} ELSE exp(-x * x) / abs(x) * ({INVERSE_ROOT_PI}::DOUBLE - (1 / (x * x)) * {_ratio_sql("(1 / (x * x))", ERFC_LARGE)}) END) END"""
+LENGTHS = f"""{ASSIGNED}, st AS (SELECT cluster, position, avg(v) AS m, stddev_samp(v) AS s FROM e GROUP BY 1, 2), gl AS (SELECT position, avg(v) AS m, stddev_samp(v) AS s FROM e GROUP BY 1),
+u AS (SELECT 'residual' AS part, v, st.m, st.s FROM e JOIN st USING (cluster, position) UNION ALL SELECT 'model', st.m, gl.m, gl.s FROM st JOIN gl USING (position)),
+z AS (SELECT part, unnest([1, 2]) AS side, row_number() OVER () AS i, m, CASE WHEN s > 0 THEN s ELSE 0.05 END AS s, floor(v / 0.05) * 0.05 AS low FROM u),
+q AS (SELECT part, i, side, (m - (CASE WHEN side = 1 THEN low + 0.05 ELSE low END)) / (s * 1.4142135623730951::DOUBLE) AS x FROM z),
+c AS (SELECT part, i, max(t) FILTER (side = 1) - max(t) FILTER (side = 2) AS p FROM (SELECT part, i, side, 0.5 * ({ERFC_SQL}) AS t FROM q) GROUP BY 1, 2),
+n AS (SELECT part, sum(-ln(CASE WHEN p > 0 THEN p ELSE 2.2250738585072014e-308::DOUBLE END)) AS nats FROM c GROUP BY 1),
+b AS (SELECT sum(n) * ln(sum(n)) - sum(n * ln(n)) AS partition FROM (SELECT count(*)::DOUBLE AS n FROM embeddings GROUP BY label % 3))"""
+
+
+@query("m11_description_length", f"WITH {LENGTHS} SELECT max(nats) FILTER (part = 'model') AS model, any_value(partition) AS partition, max(nats) FILTER (part = 'residual') AS residual, sum(nats) / 2 + any_value(partition) AS mdl FROM n, b", "model partition residual mdl", base=None)
 def _(spark, sf_dir):
-    return C.description_length(_vectors(spark, sf_dir), eps=0.05)
+    return C.description_length(_vectors(spark, sf_dir), eps=0.05, bending=2.0)
+
+
+SUGGESTED = """n AS (SELECT *, lead(k) OVER (ORDER BY k) IS NULL OR coalesce(gap >= lead(gap - coalesce(gap_se, 0)) OVER (ORDER BY k), FALSE) AS first FROM d),
+s AS (SELECT (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_silhouette, (SELECT k FROM d ORDER BY mdl, k LIMIT 1) AS k_mdl,
+  coalesce((SELECT min(k) FROM n WHERE first AND gap IS NOT NULL), (SELECT k FROM d WHERE gap IS NOT NULL ORDER BY gap DESC, k LIMIT 1)) AS k_gap, (SELECT k FROM d WHERE bic IS NOT NULL ORDER BY bic DESC, k LIMIT 1) AS k_gmm)
+SELECT *, coalesce(k_gmm, k_silhouette, k_gap, 3) AS k_auto FROM s"""
+DIAGNOSED = "SELECT l_linenumber AS k, avg(l_discount) AS silhouette, avg(l_quantity) AS mdl, avg(l_tax) AS gap, stddev_samp(l_tax) / sqrt(count(*)) AS gap_se"
 
 
-@query("m13_suggested_k", """WITH d AS (SELECT l_linenumber AS k, avg(l_discount) AS silhouette, avg(l_quantity) AS mdl FROM lineitem GROUP BY 1) SELECT (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_silhouette, (SELECT k FROM d ORDER BY mdl, k LIMIT 1) AS k_mdl, NULL::INTEGER AS k_gap, (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_auto""", base=None)
+def _diagnosed(spark, sf_dir):
+    """A table of diagnostics by k, made of the order lines' means."""
+    error = F.stddev_samp("l_tax") / F.sqrt(F.count("*"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_discount").alias("silhouette"), F.avg("l_quantity").alias("mdl"), F.avg("l_tax").alias("gap"), error.alias("gap_se"), F.avg("l_extendedprice").alias("bic"))
+
+
+@query("m13_suggested_k", f"WITH d AS ({DIAGNOSED}, CASE WHEN l_linenumber < 6 THEN avg(l_extendedprice) END AS bic FROM lineitem GROUP BY l_linenumber), {SUGGESTED}", base=None)
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_discount").alias("silhouette"), F.avg("l_quantity").alias("mdl"))
-    return C.suggestions(d.withColumn("gap", F.lit(None).cast("double"))).withColumn("k_gap", F.lit(None).cast("int")).drop("k_gmm")
+    """All five suggestions, some mixtures without a BIC."""
+    return C.suggestions(_diagnosed(spark, sf_dir).withColumn("bic", F.when(F.col("k") < 6, F.col("bic"))))
 
 
-@query("m13_suggested_k_by_gap", """WITH d AS (SELECT l_linenumber AS k, avg(l_discount) AS silhouette, avg(l_quantity) AS mdl, avg(l_tax) AS gap, stddev_samp(l_tax) / sqrt(count(*)) AS gap_se FROM lineitem GROUP BY 1),
-n AS (SELECT *, lead(k) OVER (ORDER BY k) IS NULL OR gap >= lead(gap - gap_se) OVER (ORDER BY k) AS first FROM d)
-SELECT (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_silhouette, (SELECT k FROM d ORDER BY mdl, k LIMIT 1) AS k_mdl, (SELECT min(k) FROM n WHERE first) AS k_gap, (SELECT k FROM d ORDER BY silhouette DESC, k LIMIT 1) AS k_auto""", base=None)
+@query("m13_suggested_k_by_gap", f"WITH d AS ({DIAGNOSED}, NULL::DOUBLE AS bic FROM lineitem GROUP BY l_linenumber), {SUGGESTED}", base=None)
 def _(spark, sf_dir):
-    error = F.stddev_samp("l_tax") / F.sqrt(F.count("*"))
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_discount").alias("silhouette"), F.avg("l_quantity").alias("mdl"), F.avg("l_tax").alias("gap"), error.alias("gap_se"))
-    return C.suggestions(d).drop("k_gmm")
+    """No mixture at all."""
+    return C.suggestions(_diagnosed(spark, sf_dir).withColumn("bic", F.lit(None).cast("double"))).withColumn("k_gmm", F.col("k_gmm").cast("int"))
 
 
 @query("m7_kmeans")
 def _(spark, sf_dir):
-    return C.relabel_by_height(C.kmeans(C.features(_contours(spark, sf_dir, "shape")), 3, starts=25)).select("token", "cluster")
+    return C.relabel_by_height(C.kmeans(C.features(_contours(spark, sf_dir, "shape")), 3)).select("token", "cluster")
 
 
 @query("m8_gaussian_mixture")
@@ -147,6 +179,26 @@ def _(spark, sf_dir):
     return C.gaussian_mixture(C.features(_contours(spark, sf_dir), "legendre"), 3).select("token", "cluster", F.round("uncertainty", 6).alias("uncertainty"))
 
 
+GIVEN = ((0.5, (0.05, -0.05), (0.02, 0.03)), (0.3, (-0.1, 0.1), (0.01, 0.04)), (0.2, (0.0, 0.2), (0.05, 0.02)))
+
+
+@query("m8_given_mixture", "WITH g(c, w, m1, m2, v1, v2) AS (VALUES " + ", ".join(f"({i + 1}, {w}::DOUBLE, {m[0]}::DOUBLE, {m[1]}::DOUBLE, {v[0]}::DOUBLE, {v[1]}::DOUBLE)" for i, (w, m, v) in enumerate(GIVEN)) + """),
+d AS (SELECT vec_id, c, ln(w) - 0.5 * (ln(2 * pi() * v1) + ln(2 * pi() * v2)) - 0.5 * ((embedding[1]::DOUBLE - m1) ** 2 / v1 + (embedding[2]::DOUBLE - m2) ** 2 / v2) AS z FROM embeddings, g),
+r AS (SELECT vec_id, c, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS r FROM d WINDOW w AS (PARTITION BY vec_id))
+SELECT vec_id::VARCHAR AS token, arg_max(c, r)::INTEGER AS cluster, 1 - max(r) AS uncertainty FROM r GROUP BY vec_id""", "uncertainty", base=None)
+def _(spark, sf_dir):
+    """Clusters and uncertainties under a mixture that is given."""
+    w, m, v = (np.array([g[i] for g in GIVEN]) for i in range(3))
+    feat = _vectors(spark, sf_dir).drop("cluster").withColumn("features", F.slice("features", 1, 2))
+    return C.with_posterior(feat, w, m, v).select("token", "cluster", "uncertainty")
+
+
+@query("m8_mixture_forms")
+def _(spark, sf_dir):
+    """BIC of every form and number of components; planted forms are found in the tests."""
+    return C.mixture_table(C.features(_contours(spark, sf_dir), "legendre")).withColumn("bic", F.round("bic", 3))
+
+
 @query("a21_membership_confidence")
 def _(spark, sf_dir):
     return C.membership_confidence(C.gaussian_mixture(C.features(_contours(spark, sf_dir), "legendre"), 3))
@@ -165,7 +217,7 @@ def _(spark, sf_dir):
 
 @query("m10_choose_k")
 def _(spark, sf_dir):
-    return C.choose_k(C.features(_contours(spark, sf_dir), "legendre"), range(2, 9), starts=25, gap_references=20)
+    return C.choose_k(C.features(_contours(spark, sf_dir), "legendre"), range(2, 9), gap_references=20)
 
 
 @query("m12_pca_projection")
@@ -175,9 +227,16 @@ def _(spark, sf_dir):
 
 @query("m14_compare_solutions")
 def _(spark, sf_dir):
-    feat = C.features(_contours(spark, sf_dir), "legendre").cache()
-    parts = [C.cluster_means(C.relabel_by_height(C.kmeans(feat, k, starts=25))).withColumn("k", F.lit(k)) for k in range(2, 9)]
-    return reduce(DataFrame.unionByName, parts)
+    each = C.kmeans_of_each(C.features(_contours(spark, sf_dir), "legendre"), range(2, 9))
+    return C.compare_solutions(each)
+
+
+@query("m14_compare_given", f"WITH {ASSIGNED}, k AS (SELECT unnest([2, 3]) AS k), a AS (SELECT k, CASE WHEN k = 2 THEN label % 2 + 1 ELSE cluster END AS c, position, v FROM e, k), m AS (SELECT k, c, position, avg(v) AS value, count(*) AS size FROM a GROUP BY ALL), h AS (SELECT k, c, row_number() OVER (PARTITION BY k ORDER BY avg(value), c) AS place FROM m GROUP BY k, c) SELECT k, place::INTEGER AS cluster, position::INTEGER AS position, value, size FROM m JOIN h USING (k, c)", "value", base=None)
+def _(spark, sf_dir):
+    """Mean contours by height for two groupings that are given."""
+    v = _vectors(spark, sf_dir)
+    given = F.create_map(F.lit(2), (F.col("tone").cast("int") % 2 + 1).cast("int"), F.lit(3), F.col("cluster").cast("int"))
+    return C.compare_solutions(v.withColumn("clusters", given).drop("cluster"))
 
 
 @query("j9_labels_on_frames", "SELECT token, time, CASE WHEN n > 3 THEN split_part(token, '_', 1)::INTEGER % 3 + 1 END AS cluster, CASE WHEN n > 3 AND split_part(token, '_', 1)::INTEGER % 3 = 0 THEN 'low' END AS cluster_name FROM (SELECT *, count(f0) OVER (PARTITION BY token) AS n FROM frames)", "time")
@@ -210,17 +269,48 @@ def _(spark, sf_dir):
 @query("m1_m2_growth_curve")
 def _(spark, sf_dir):
     """Random intercepts and slopes by speaker; compared with known effects in the tests."""
-    return M.predict_growth_curve(spark, M.fit_growth_curve(_timed(spark, sf_dir), random=("speaker",), rounds=20))
+    return M.predict_growth_curve(spark, M.fit_growth_curve(_timed(spark, sf_dir), random=("speaker",)))
 
 
 @query("m3_growth_curve_contrasts")
 def _(spark, sf_dir):
-    return M.contrasts(spark, M.fit_growth_curve(_timed(spark, sf_dir), random=("speaker",), rounds=10))
+    return M.contrasts(spark, M.fit_growth_curve(_timed(spark, sf_dir), random=("speaker",)))
 
 
 @query("m3_growth_curve_effects")
 def _(spark, sf_dir):
-    return M.effects_table(spark, M.fit_growth_curve(_timed(spark, sf_dir), random=("speaker",), rounds=10))
+    return M.effects_table(spark, M.fit_growth_curve(_timed(spark, sf_dir), random=("speaker",)))
+
+
+@query("m1_item_intercepts")
+def _(spark, sf_dir):
+    """Random curves of speakers with all covariances, and item intercepts; planted ones are found in the tests."""
+    m = M.fit_growth_curve(_timed(spark, sf_dir), random={"speaker": "slopes", "item": "intercept"})
+    rows = [(name, i, j, float(c[i, j])) for name, c in m.covariances.items() for i in range(len(c)) for j in range(len(c))]
+    return spark.createDataFrame(rows, "factor string, i int, j int, covariance double")
+
+
+def _spline_sql(x: str, k: int) -> list[str]:
+    """The k cubic B-splines over 0-1 as SQL."""
+    out = []
+    for j in range(k):
+        u = f"(({x}) * {k - 3} - {j - 3})"
+        out.append(f"""CASE WHEN {u} >= 0 AND {u} < 1 THEN {u} ** 3 / 6 WHEN {u} >= 1 AND {u} < 2 THEN (-3 * ({u} - 1) ** 3 + 3 * ({u} - 1) ** 2 + 3 * ({u} - 1) + 1) / 6
+          WHEN {u} >= 2 AND {u} < 3 THEN (3 * ({u} - 2) ** 3 - 6 * ({u} - 2) ** 2 + 4) / 6 WHEN {u} >= 3 AND {u} <= 4 THEN (4 - {u}) ** 3 / 6 ELSE 0 END""")
+    return out
+
+
+SUMS_K = 5
+
+
+@query("m4_spline_sums", TIME01 + ", b AS (SELECT tone, speaker, item, f0, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(_spline_sql("time01", SUMS_K))) + """ FROM t01 WHERE f0 IS NOT NULL),
+c AS (SELECT tone, speaker, item, count(*) AS n, sum(f0 * f0) AS yy, [""" + ", ".join(f"sum(x{i} * x{j})" for i in range(SUMS_K) for j in range(i, SUMS_K)) + "] AS g, [" + ", ".join(f"sum(x{i} * f0)" for i in range(SUMS_K)) + """] AS b FROM b GROUP BY ALL)
+SELECT tone, speaker, item, n, yy, generate_subscripts(g, 1)::INTEGER AS place, unnest(g) AS g, unnest(b) AS b FROM c""", "yy g b")
+def _(spark, sf_dir):
+    """The sums that smooths are fitted from: products of splines with each other and with f0 per tone, speaker and item."""
+    keys = {"tone": F.col("tone"), "outer": F.col("speaker"), "inner": F.col("item")}
+    sums = X.packed_sums(_timed(spark, sf_dir), M.spline_basis(F.col("time01"), SUMS_K), F.col("f0"), keys)
+    return sums.select("tone", F.col("outer").alias("speaker"), F.col("inner").alias("item"), "n", "yy", F.posexplode("g").alias("place", "g"), "b").select("tone", "speaker", "item", "n", "yy", (F.col("place") + 1).alias("place"), "g", F.get("b", F.col("place")).alias("b"))
 
 
 @query("m4_m5_smooth_curves")
@@ -233,6 +323,38 @@ def _(spark, sf_dir):
     return M.predict_smooth(spark, M.fit_smooth(_timed(spark, sf_dir), smooth_type="difference", use_ar1=True))
 
 
+def _random(spark, sf_dir, form, smooth_type="separate"):
+    return M.predict_smooth(spark, M.fit_smooth(_timed(spark, sf_dir), item="item", random_smooth=form, smooth_type=smooth_type))
+
+
+@query("m4_random_speaker")
+def _(spark, sf_dir):
+    """Random curves of speakers and item intercepts; planted curves are found in the tests, and equal a dense solution."""
+    return _random(spark, sf_dir, "speaker")
+
+
+@query("m4_random_speaker_tone")
+def _(spark, sf_dir):
+    return _random(spark, sf_dir, "speaker_tone")
+
+
+@query("m4_random_speaker_by_tone")
+def _(spark, sf_dir):
+    return _random(spark, sf_dir, "speaker_by_tone")
+
+
+@query("m4_random_reference_difference")
+def _(spark, sf_dir):
+    return _random(spark, sf_dir, "ref_diff", "difference")
+
+
+@query("m4_m5_duration")
+def _(spark, sf_dir):
+    """A duration smooth beside the tones' (a token's time span), predictions at the mean duration."""
+    t = _timed(spark, sf_dir).withColumn("span", F.max("time").over(Window.partitionBy("token")) - F.min("time").over(Window.partitionBy("token")))
+    return M.predict_smooth(spark, M.fit_smooth(t, duration="span", item="item"), at_mean_duration=True)
+
+
 def _scored(spark, sf_dir):
     t = _timed(spark, sf_dir)
     return M.score_smooth(t, M.fit_smooth(t))
