@@ -83,7 +83,7 @@ def kmeans_of_each(feat: DataFrame, ks, *, starts=25, max_iter=50, seed=1) -> Da
     return lloyd.with_clusters(feat, points, centres)
 
 
-def gaussian_mixture(feat: DataFrame, k: int, *, starts=25, iterations=100, seed=1, forms=lloyd.FORMS) -> DataFrame:
+def gaussian_mixture(feat: DataFrame, k: int, *, starts=25, iterations=60, seed=1, forms=lloyd.FORMS) -> DataFrame:
     """Adds cluster and uncertainty (1 - the largest posterior) of a mixture of spherical or diagonal covariances, the form of the largest BIC.
 
     All forms are fitted side by side, an iteration of all is one aggregation; the components' means and variances come back as literals of k x p numbers.
@@ -104,7 +104,7 @@ def with_posterior(feat: DataFrame, weight: np.ndarray, mean: np.ndarray, var: n
     return out.withColumn("cluster", F.array_position("__r", top).cast("int")).withColumn("uncertainty", 1 - top).drop("__r")
 
 
-def mixture_table(feat: DataFrame, k_range=range(2, 9), *, starts=25, iterations=100, seed=1, forms=lloyd.FORMS) -> DataFrame:
+def mixture_table(feat: DataFrame, k_range=range(2, 9), *, starts=25, iterations=60, seed=1, forms=lloyd.FORMS) -> DataFrame:
     """k, form and bic (twice the log likelihood less the number of parameters times log n; the larger the better, null where a component collapsed)."""
     points = lloyd.read_points(feat, seed)
     try:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -114,32 +116,115 @@ def edited(t: np.ndarray, f: np.ndarray, edits) -> np.ndarray:
     return f
 
 
+def _let(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _of_line(near: Column, at: Column, parabola: Column) -> Column:
+    """Least-squares line (or parabola, where asked for and three anchors differ) through anchors (t, f), at one time; time is centred and scaled first."""
+
+    def solved(m):
+        n, s1, s2, s3, s4, y0, y1, y2 = (m[k] for k in ("n", "s1", "s2", "s3", "s4", "y0", "y1", "y2"))
+        line = F.coalesce(y0 / n + F.try_divide(n * y1 - s1 * y0, n * s2 - s1 * s1) * (m["x"] - s1 / n), y0 / n)
+        d = n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+        a0 = y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)
+        a1 = n * (y1 * s4 - s3 * y2) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - y1 * s2)
+        a2 = n * (s2 * y2 - y1 * s3) - s1 * (s1 * y2 - y1 * s2) + y0 * (s1 * s3 - s2 * s2)
+        curve = F.when(F.abs(d) > 1e-12 * n, (a0 + a1 * m["x"] + a2 * m["x"] * m["x"]) / d)
+        return F.when(parabola, F.coalesce(curve, line)).otherwise(line)
+
+    def scaled(c):
+        def sums(scale):
+            zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "s1", "s2", "s3", "s4", "y0", "y1", "y2")))
+
+            def add(m, p):
+                w = (p["t"] - c) / scale
+                parts = {"n": F.lit(1.0), "s1": w, "s2": w * w, "s3": w * w * w, "s4": w * w * w * w, "y0": p["f"], "y1": w * p["f"], "y2": w * w * p["f"]}
+                return F.struct(*((m[k] + v).alias(k) for k, v in parts.items()))
+
+            return _let(F.aggregate(near, zero, add), lambda m: solved(_with(m, (at - c) / scale)))
+
+        return _let(F.coalesce(F.nullif(F.array_max(F.transform(near, lambda p: F.abs(p["t"] - c))), F.lit(0.0)), F.lit(1.0)), sums)
+
+    return _let(F.aggregate(near, F.lit(0.0), lambda x, p: x + p["t"]) / F.size(near), scaled)
+
+
+def _with(m: Column, x: Column) -> Column:
+    return m.withField("x", x)
+
+
+def _interpolated(t: Column, f: Column, free: Column, i: Column, action: Column, value: Column) -> Column:
+    """``interpolated`` for one frame as an expression: lines and parabolas."""
+    at = F.get(t, i)
+    need = F.when(action == "interpolate_parabola", 3).otherwise(2)
+    count = F.when(value.cast("int") == -1, F.size(free)).otherwise(F.least(F.size(free), F.greatest(value.cast("int"), need)))
+    ranked = F.array_sort(F.transform(free, lambda p: F.struct(F.abs(p["t"] - at).alias("d"), p["i"].alias("i"), p["t"].alias("t"), p["f"].alias("f"))))
+
+    def use(near):
+        def between(ends):
+            a, b = ends["a"], ends["b"]
+            inside = a["f"] + (at - a["t"]) / (b["t"] - a["t"]) * (b["f"] - a["f"])
+            return F.when(at <= a["t"], a["f"]).when(at >= b["t"], b["f"]).otherwise(inside)
+
+        points = F.transform(near, lambda p: F.struct(p["t"].alias("t"), p["f"].alias("f")))
+        two = _let(F.struct(F.array_min(points).alias("a"), F.array_max(points).alias("b")), between)
+        return F.when(F.size(near) > 2, _of_line(near, at, action == "interpolate_parabola")).when(F.size(near) == 2, two)
+
+    return _let(F.slice(ranked, F.lit(1), count), use)
+
+
+def _edit(t: Column, f: Column, e: Column) -> Column:
+    """An array of f0 after one edit; null stands for missing. All actions but the spline."""
+    action, value = e["action"], F.coalesce(F.nanvl(e["value"], F.lit(0.0)), F.lit(0.0))
+    chosen = lambda i: F.coalesce(F.array_contains(e["frame_indices"], i + 1), F.lit(False))
+    change = lambda make: F.transform(f, lambda v, i: F.when(chosen(i), make(v, i)).otherwise(v))
+    picked = lambda v: F.when(F.abs(v - value) <= 0.05, v).when(value > 0, value)
+    simple = lambda v, _: F.when(action == "halve", v * 0.5).when(action == "double", v * 2).when(action == "delete", F.lit(None)).when((action == "set") & (value > 0), value).when(action == "pick", picked(v)).otherwise(v)
+    half = F.floor(value.cast("int") / 2).cast("int")
+
+    def smoothed(v, i):
+        def fold(part):
+            mean = F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / F.size(part)
+            ordered = F.array_sort(part)
+            n = F.size(part)
+            median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+            return F.when(n > 0, F.when(action == "smooth_median", median).otherwise(mean))
+
+        first = F.greatest(i - half, F.lit(0))
+        return _let(F.filter(F.slice(f, first + 1, F.greatest(i + half + 1 - first, F.lit(0))), lambda x: x.isNotNull()), fold)
+
+    free = F.filter(F.transform(f, lambda v, i: F.struct(F.get(t, i).alias("t"), v.alias("f"), i.alias("i"))), lambda p: (p["f"] > 0) & ~chosen(p["i"]))
+    lines = _let(free, lambda anchors: change(lambda v, i: _interpolated(t, f, anchors, i, action, value)))
+    return F.when(action.startswith("smooth"), change(smoothed)).when(action.startswith("interpolate"), lines).otherwise(change(simple))
+
+
 def replay(data: DataFrame, edits: DataFrame, *, token="token", time="time", f0="f0") -> DataFrame:
     """Frames after all edits (seq, token, frame_indices, action, value), in the order of seq within a token.
 
-    Later edits of a token see earlier results, so a token's edits run one after another in Python; tokens
-    go through it as arrays, many in a batch. Tokens without edits pass by.
+    Later edits of a token see earlier results: they are folded over the token's array of frames, as an expression. Only tokens
+    with a spline among their edits go through Python, as arrays, many in a batch. Tokens without edits pass by.
     """
-    touched = edits.select(F.col("token").alias("__token")).distinct()
+    kinds = edits.groupBy(F.col("token").alias("__token")).agg(F.coalesce(F.bool_or(F.col("action") == "interpolate_spline"), F.lit(False)).alias("__spline"), F.sort_array(F.collect_list(F.struct("seq", "frame_indices", "action", F.col("value").cast("double").alias("value")))).alias("__edits"))
     on = F.col(token).eqNullSafe(F.col("__token"))
-    rest, mine = data.join(touched, on, "left_anti"), data.join(touched, on, "left_semi")
+    rest, mine = data.join(kinds, on, "left_anti"), data.join(kinds, on, "left_semi")
     others = [c for c in data.columns if c not in (token, time, f0)]
-    frames = mine.groupBy(token).agg(F.sort_array(F.collect_list(F.struct(time, F.col(f0).cast("double").alias(f0), *others))).alias("__frames"))
-    lists = edits.groupBy(F.col("token").alias("__token")).agg(F.sort_array(F.collect_list(F.struct("seq", "frame_indices", "action", F.col("value").cast("double").alias("value")))).alias("__edits"))
-
-    @F.pandas_udf("array<double>")
-    def run(t: pd.Series, f: pd.Series, indices: pd.Series, actions: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(t, f, indices, actions, values):
-            new = edited(np.asarray(row[0], float), np.asarray(row[1], float), zip(*row[2:]))
-            out.append([None if np.isnan(v) else float(v) for v in new])
-        return pd.Series(out)
-
+    frames = mine.groupBy(token).agg(F.sort_array(F.collect_list(F.struct(time, F.nanvl(F.col(f0).cast("double"), F.lit(None)).alias(f0), *others))).alias("__frames"))
     of = lambda c, name: F.transform(c, lambda x: x[name])
-    done = frames.join(lists, on).withColumn("__new", run(of("__frames", time), of("__frames", f0), of("__edits", "frame_indices"), of("__edits", "action"), of("__edits", "value")))
-    each = done.select(token, F.explode(F.arrays_zip("__frames", "__new")).alias("x"))
-    back = each.select(*(F.col(token) if c == token else F.col("x.__new").alias(c) if c == f0 else F.col(f"x.__frames.{c}").alias(c) for c in data.columns))
-    return rest.unionByName(back)
+    pairs = frames.join(kinds, on).withColumn("__t", F.transform("__frames", lambda x: x[time].cast("double"))).withColumn("__f", of("__frames", f0))
+    folded = pairs.filter(~F.col("__spline")).withColumn("__new", F.aggregate("__edits", F.col("__f"), lambda f, e: _edit(F.col("__t"), f, e)))
+    done = [folded]
+    if not edits.filter(F.col("action") == "interpolate_spline").isEmpty():
+        done.append(pairs.filter("__spline").withColumn("__new", F.pandas_udf(_run_edits, "array<double>")("__t", "__f", of("__edits", "frame_indices"), of("__edits", "action"), of("__edits", "value"))))
+    back = [d.select(token, F.explode(F.arrays_zip("__frames", "__new")).alias("x")).select(*(F.col(token) if c == token else F.col("x.__new").alias(c) if c == f0 else F.col(f"x.__frames.{c}").alias(c) for c in data.columns)) for d in done]
+    return reduce(DataFrame.unionByName, back, rest)
+
+
+def _run_edits(t: pd.Series, f: pd.Series, indices: pd.Series, actions: pd.Series, values: pd.Series) -> pd.Series:
+    out = []
+    for row in zip(t, f, indices, actions, values):
+        new = edited(np.asarray(row[0], float), np.asarray(row[1], float), zip(*row[2:]))
+        out.append([None if np.isnan(v) else float(v) for v in new])
+    return pd.Series(out)
 
 
 def compare(original: DataFrame, corrected: DataFrame, dropped: DataFrame, *, token="token", time="time", f0="f0") -> DataFrame:

@@ -30,10 +30,14 @@ def token_statistics(data: DataFrame, *, f0="f0", token="token", speaker="speake
 
 
 def flag_outliers(tokens: DataFrame, *, speaker="speaker", z_threshold=3.0) -> DataFrame:
-    """Adds z_max, z_min of a token within its speaker and the one-sided flags; an undefined z flags nothing."""
-    w = Window.partitionBy(speaker)
-    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w))
-    t = tokens.withColumn("z_max", z("f0_token_max")).withColumn("z_min", z("f0_token_min"))
+    """Adds z_max, z_min of a token within its speaker and the one-sided flags; an undefined z flags nothing.
+
+    Means and deviations of a speaker are merged from partial sums and joined back, so no task holds a speaker's tokens.
+    """
+    columns = ("f0_token_max", "f0_token_min")
+    sums = tokens.groupBy(F.col(speaker).alias("__speaker")).agg(*(f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    z = lambda c: F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}"))
+    t = tokens.join(sums, F.col(speaker).eqNullSafe(F.col("__speaker")), "left").select(*tokens.columns, z("f0_token_max").alias("z_max"), z("f0_token_min").alias("z_min"))
     return t.withColumn("flag_too_high", F.coalesce(F.col("z_max") > z_threshold, F.lit(False))).withColumn("flag_too_low", F.coalesce(F.col("z_min") < -z_threshold, F.lit(False)))
 
 

@@ -81,7 +81,7 @@ def read_points(feat: DataFrame, seed: int = 1, pool: int = POOL) -> Points:
             sums += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
         yield _row(0, sums)
 
-    sums = summed(rows.mapInArrow(run, KEYED))[0]
+    sums = summed(rows.mapInArrow(run, KEYED), 0)[0]
     n, mean = int(sums[0]), sums[1 : 1 + p] / sums[0]
     scatter = sums[1 + p :].reshape(p, p) - n * np.outer(mean, mean)
     axes = np.linalg.eigh(scatter)[1]
@@ -102,6 +102,16 @@ def read_points(feat: DataFrame, seed: int = 1, pool: int = POOL) -> Points:
 KEYED = "key bigint, v array<double>"
 
 
+#: A task has at least so many products to work out; smaller passes use fewer tasks.
+TASK_WORK = 20_000_000
+
+
+def _pass(points: Points, work: int, run) -> dict[int, np.ndarray]:
+    """One pass over the points, of so many products a point, and the sums of what its tasks give."""
+    tasks = max(1, math.ceil(points.n * work / TASK_WORK))
+    return summed(points.rows.coalesce(tasks).mapInArrow(run, KEYED), tasks)
+
+
 def _row(key: int, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["key", "v"])
 
@@ -138,7 +148,6 @@ def _sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def pass_of(points: Points, active: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
     """One pass: for each (table, k) the sums of all its runs, given their centres (runs x k x p)."""
     sent = points.rows.sparkSession.sparkContext.broadcast(active)
-    source = points
     shape = Points(None, points.n, points.mean, points.axes, points.low, points.high, points.spread, points.seed, None, None)
     p = len(points.mean)
     code = {key: i for i, key in enumerate(active)}
@@ -154,7 +163,7 @@ def pass_of(points: Points, active: dict[tuple[int, int], np.ndarray]) -> dict[t
         for key, v in sums.items():
             yield _row(code[key], v.ravel())
 
-    found = summed(source.rows.mapInArrow(run, KEYED))
+    found = _pass(points, p * sum(c.shape[0] * c.shape[1] for c in active.values()), run)
     sent.unpersist()
     return {key: found[i].reshape(*active[key].shape[:2], p + 2) for key, i in code.items()}
 
@@ -238,7 +247,7 @@ def silhouettes(points: Points, centres: dict[int, np.ndarray]) -> dict[int, flo
                 total[k] += np.where((n[at] <= 1) | (top <= 0) | ~np.isfinite(top), 0.0, (other - own) / np.where(top > 0, top, 1)).sum()
         yield _row(0, np.array(list(total.values())))
 
-    found = summed(points.rows.mapInArrow(run, KEYED))[0]
+    found = _pass(points, p * sum(len(c) for c in centres.values()), run)[0]
     return {k: float(v) / points.n for k, v in zip(centres, found)}
 
 
@@ -283,7 +292,7 @@ def responsibilities(x: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray]
     return e / total, (top + np.log(total))[:, 0]
 
 
-def mixtures(points: Points, centres: dict[int, np.ndarray], *, forms=FORMS, iterations: int = 100, tolerance: float = 1e-6) -> dict[tuple[int, str], Mixture]:
+def mixtures(points: Points, centres: dict[int, np.ndarray], *, forms=FORMS, iterations: int = 60, tolerance: float = 1e-5) -> dict[tuple[int, str], Mixture]:
     """Expectation-maximisation for every k and form side by side, from the k-means clusters; one pass an iteration. Means are about the points' mean."""
     p, n = len(points.mean), points.n
     start = {k: v[0] for (_, k), v in pass_of(points, {(0, k): c[None] for k, c in centres.items()}).items()}
@@ -313,7 +322,7 @@ def mixtures(points: Points, centres: dict[int, np.ndarray], *, forms=FORMS, ite
             for i, s in enumerate(sums):
                 yield _row(i, s.ravel())
 
-        found = summed(points.rows.mapInArrow(run, KEYED))
+        found = _pass(points, 4 * p * sum(k for k, _ in moving), run)
         sent.unpersist()
         still = []
         for j, key in enumerate(moving):

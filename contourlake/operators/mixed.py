@@ -13,6 +13,7 @@ effective degrees of freedom; for covariance matrices its symmetric form), which
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -253,8 +254,8 @@ def _posterior(block: dict, parts: list[Part], noise: float):
     return covariance, lambda core: np.einsum("nij,nj->ni", covariance, block["b"] / noise - cross @ core[block["at"]]), cross
 
 
-def summed(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sum of the arrays of each key, by one exchange; a key's arrays have one length."""
+def summed(rows: DataFrame, parts: int) -> dict[int, np.ndarray]:
+    """Sum of the arrays of each key, by one exchange (none where the rows lie in one part, which has summed them); a key's arrays have one length."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -264,11 +265,11 @@ def summed(rows: DataFrame) -> dict[int, np.ndarray]:
                 sums[key] = sums[key] + v if key in sums else v
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["key", "v"])
 
-    found = rows.repartition("key").mapInArrow(run, "key bigint, v array<double>").toArrow()
+    found = (rows if parts == 1 else rows.repartition("key").mapInArrow(run, "key bigint, v array<double>")).toArrow()
     return {k: v.values.to_numpy() for k, v in zip(found["key"].to_pylist(), found["v"])}
 
 
-def _schur(blocks: DataFrame, parts: list[Part], noise: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _schur(blocks: DataFrame, tasks: int, parts: list[Part], noise: float, width: int) -> tuple[np.ndarray, np.ndarray]:
     """What the blocks take from the core's matrix and right side."""
 
     def run(batches):
@@ -283,12 +284,12 @@ def _schur(blocks: DataFrame, parts: list[Part], noise: float, width: int) -> tu
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([taken[i : i + ROWS].ravel().tolist() for i in keys], pa.list_(pa.float64()))], names=["key", "v"])
 
     out = np.zeros((width, width + 1))
-    for i, v in summed(blocks.mapInArrow(run, "key bigint, v array<double>")).items():
+    for i, v in summed(blocks.coalesce(tasks).mapInArrow(run, "key bigint, v array<double>"), tasks).items():
         out[i : i + ROWS] = v.reshape(-1, width + 1)
     return out[:, :-1], out[:, -1]
 
 
-def _moments(blocks: DataFrame, parts: list[Part], noise: float, core: np.ndarray, covariance: np.ndarray):
+def _moments(blocks: DataFrame, tasks: int, parts: list[Part], noise: float, core: np.ndarray, covariance: np.ndarray):
     """For each part the sums of products of means and of covariances and the number of curves; and the means' sum of products with the right sides."""
     sent = blocks.sparkSession.sparkContext.broadcast((core, covariance))
     sizes = [len(p.basis) for p in parts]
@@ -309,7 +310,7 @@ def _moments(blocks: DataFrame, parts: list[Part], noise: float, core: np.ndarra
         flat = np.concatenate([np.concatenate([a.ravel(), b.ravel(), [n]]) for a, b, n in sums] + [[dot]])
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["key", "v"])
 
-    flat = summed(blocks.mapInArrow(run, "key bigint, v array<double>"))[0]
+    flat = summed(blocks.coalesce(tasks).mapInArrow(run, "key bigint, v array<double>"), tasks)[0]
     sent.unpersist()
     out, i = [], 0
     for r in sizes:
@@ -360,12 +361,13 @@ def fit(cells: DataFrame, *, tones: list, fixed: np.ndarray, places: list[list[i
     for s in smooths:
         s.variance = noise
     blocks = _block_table(cells, outer, design, size).persist(StorageLevel.MEMORY_AND_DISK) if outer else None
-    ridge = 1e-10 * max(np.trace(a) / max(width, 1), 1e-12)
+    tasks = _tasks(cells, outer, width) if outer else 1
+    ridge = 1e-10 * max(np.trace(a) / max(width, 1), 1e-12) if outer or inner is not None or smooths else 0.0
     done = 0
     try:
         for done in range(1, rounds + 1):
-            core, covariance = _solve(a, rhs, noise, blocks, outer, inner, smooths, design, inner_levels, ridge)
-            moments, dot = _moments(blocks, outer, noise, core, covariance) if blocks is not None else ([], 0.0)
+            core, covariance = _solve(a, rhs, noise, blocks, tasks, outer, inner, smooths, design, inner_levels, ridge)
+            moments, dot = _moments(blocks, tasks, outer, noise, core, covariance) if blocks is not None else ([], 0.0)
             if not outer and inner is None and not smooths:
                 noise = max((yy - core @ rhs) / max(n - width, 1), 1e-300)
                 break
@@ -397,7 +399,7 @@ def fit(cells: DataFrame, *, tones: list, fixed: np.ndarray, places: list[list[i
             if change < tolerance:
                 break
         if outer or inner is not None or smooths:
-            core, covariance = _solve(a, rhs, noise, blocks, outer, inner, smooths, design, inner_levels, ridge)
+            core, covariance = _solve(a, rhs, noise, blocks, tasks, outer, inner, smooths, design, inner_levels, ridge)
         else:
             covariance = np.linalg.pinv(a) * noise
     finally:
@@ -407,7 +409,7 @@ def fit(cells: DataFrame, *, tones: list, fixed: np.ndarray, places: list[list[i
     return Fit(core, covariance, float(noise), outer, inner, smooths, blocks, "outer", design, list(tones), inner_levels, done)
 
 
-def _solve(a, rhs, noise, blocks, outer, inner, smooths, design, inner_levels, ridge):
+def _solve(a, rhs, noise, blocks, tasks, outer, inner, smooths, design, inner_levels, ridge):
     """Mean and covariance of the core with the blocks eliminated."""
     m, right = a / noise + ridge / noise * np.eye(design.width), rhs / noise
     for s in smooths:
@@ -419,13 +421,24 @@ def _solve(a, rhs, noise, blocks, outer, inner, smooths, design, inner_levels, r
             at = slice(design.inner_at + i * r, design.inner_at + (i + 1) * r)
             m[at, at] += q
     if blocks is not None:
-        taken, side = _schur(blocks, outer, noise, design.width)
+        taken, side = _schur(blocks, tasks, outer, noise, design.width)
         m, right = m - taken, right - side
     m = (m + m.T) / 2
     covariance = np.linalg.pinv(m, hermitian=True) if not outer and inner is None and not smooths else np.linalg.inv(m)
     return covariance @ right, covariance
 
 
+#: A task of a pass over the blocks has at least so many products to work out; every level counts for LEVEL_WORK more.
+TASK_WORK, LEVEL_WORK = 500_000_000, 20_000
+
+
+def _tasks(cells: DataFrame, outer: list[Part], width: int) -> int:
+    """How many tasks a pass over the blocks is worth."""
+    levels = cells.agg(F.approx_count_distinct("outer")).first()[0]
+    r = sum(len(p.basis) * len({c for c in p.copies if c >= 0}) for p in outer)
+    return max(1, math.ceil(levels * (r**3 + r * width**2 + LEVEL_WORK) / TASK_WORK))
+
+
 def _block_table(cells: DataFrame, outer: list[Part], design: Design, size: int) -> DataFrame:
     """One row a level of the outer factor. A level has at most tones x inner levels cells, which the core's size bounds."""
     cell = F.struct(F.col("tone_at").alias("tone"), F.col("inner_at").alias("inner"), "g", "b")

@@ -373,3 +373,27 @@ def residual_histogram(scored: DataFrame, residual="residual", bins=30) -> DataF
     d = scored.filter(F.col(residual).isNotNull()).crossJoin(F.broadcast(ends))
     number = F.least(F.lit(bins), F.floor(F.coalesce(F.try_divide(F.col(residual) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins).cast("int") + 1)
     return d.groupBy(number.alias("bin"), (F.col("lo") + (number - 1) * (F.col("hi") - F.col("lo")) / bins).alias("edge")).count()
+
+
+def binned_pairs(scored: DataFrame, x: str, y: str, bins=40) -> DataFrame:
+    """How many rows lie in each cell of a grid of bins x bins over the ranges of two columns: x_bin, y_bin (1 .. bins), the cell's lower edges and count.
+
+    The grid holds all rows, however many: one row a cell that isn't empty. Rows with a missing value are left out.
+    """
+    d = scored.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ends = d.agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))))
+    d = d.crossJoin(F.broadcast(ends))
+    place = lambda c: F.least(F.lit(bins), F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)) * bins).cast("int") + 1)
+    edge = lambda c: F.col(f"lo_{c}") + (F.col(f"{c}_bin") - 1) * (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / bins
+    d = d.withColumn("x_bin", place("x")).withColumn("y_bin", place("y"))
+    return d.groupBy("x_bin", "y_bin", edge("x").alias("x_edge"), edge("y").alias("y_edge")).agg(F.count("*").alias("count"))
+
+
+def residual_vs_fitted(scored: DataFrame, bins=40) -> DataFrame:
+    """The panel of residuals against fitted values as a grid of counts."""
+    return binned_pairs(scored, "fitted", "residual", bins)
+
+
+def observed_vs_fitted(scored: DataFrame, f0="f0", bins=40) -> DataFrame:
+    """The panel of observed against fitted values as a grid of counts."""
+    return binned_pairs(scored, "fitted", f0, bins)

@@ -144,31 +144,46 @@ def _(spark, sf_dir):
     return E.replay(f, edits).select("token", "time", "f0")
 
 
-@query("e5_interpolate_curves")
-def _(spark, sf_dir):
-    """Parabola and spline through four anchors; compared with numpy in the tests."""
+def _interpolated(spark, sf_dir, action: str, anchors: float):
     f = event_frames(spark, sf_dir)
-    action = F.when(F.col("tone") == "view", "interpolate_parabola").otherwise("interpolate_spline")
-    edits = f.filter("tone in ('view', 'error')").select(F.lit(1).alias("seq"), "token", F.array(F.lit(3)).alias("frame_indices"), action.alias("action"), F.lit(4.0).alias("value")).distinct()
+    edits = f.filter("tone = 'view'").select(F.lit(1).alias("seq"), "token", F.array(F.lit(3)).alias("frame_indices"), F.lit(action).alias("action"), F.lit(anchors).alias("value")).distinct()
     return E.replay(f, edits).select("token", "time", "f0")
 
 
-def _wide_linear(spark, sf_dir, anchors: float):
-    f = event_frames(spark, sf_dir)
-    edits = f.filter("tone = 'view'").select(F.lit(1).alias("seq"), "token", F.array(F.lit(3)).alias("frame_indices"), F.lit("interpolate_linear").alias("action"), F.lit(anchors).alias("value")).distinct()
-    return E.replay(f, edits).select("token", "time", "f0")
+#: The nearest anchors of the third frame, with times from it in units of the farthest one's.
+ANCHORS = """n AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY time) AS rn FROM frames),
+c AS (SELECT n.token, n.time, a.time AS ta, a.f0 AS y, row_number() OVER (PARTITION BY n.token, n.time ORDER BY abs(a.time - n.time), a.rn) AS k FROM n JOIN n a ON a.token = n.token AND a.rn <> 3 AND a.f0 > 0 WHERE n.rn = 3 AND n.tone = 'view'),
+w AS (SELECT token, time, ta, y, (ta - avg(ta) OVER g) / max(ta - time) OVER g AS x, (time - avg(ta) OVER g) / max(ta - time) OVER g AS x0 FROM (SELECT * FROM c WHERE LIMITED) WINDOW g AS (PARTITION BY token, time)),
+l AS (SELECT token, time, count(*) AS m, any_value(x0) AS x0, min(ta) AS t1, max(ta) AS t2, arg_min(y, ta) AS f1, arg_max(y, ta) AS f2, regr_slope(y, x) AS slope, regr_intercept(y, x) AS start, avg(x * x) AS q2, avg(x * x * x) AS q3 FROM w GROUP BY 1, 2),
+v AS (SELECT token, time, CASE WHEN m > 2 THEN VALUE WHEN m = 2 THEN CASE WHEN time <= t1 THEN f1 WHEN time >= t2 THEN f2 ELSE f1 + (time - t1) / (t2 - t1) * (f2 - f1) END END AS f FROM l)
+SELECT n.token, n.time, CASE WHEN rn = 3 AND tone = 'view' THEN f ELSE f0 END AS f0 FROM n LEFT JOIN v ON v.token = n.token AND v.time = n.time"""
+#: What a square adds to the line: its part that the line can't tell, z, has its own slope.
+CURVED = """z AS (SELECT w.token, w.time, regr_slope(y - (start + slope * x), x * x - (q2 + q3 / q2 * x)) AS bend FROM w JOIN l ON l.token = w.token AND l.time = w.time GROUP BY 1, 2),
+v AS ("""
+
+
+@query("e5_interpolate_linear_window", ANCHORS.replace("LIMITED", "k <= 6").replace("VALUE", "start + slope * x0"), "time f0")
+def _(spark, sf_dir):
+    """A line through six anchors."""
+    return _interpolated(spark, sf_dir, "interpolate_linear", 6.0)
+
+
+@query("e5_interpolate_linear_all", ANCHORS.replace("LIMITED", "TRUE").replace("VALUE", "start + slope * x0"), "time f0")
+def _(spark, sf_dir):
+    """A line through all anchors."""
+    return _interpolated(spark, sf_dir, "interpolate_linear", -1.0)
 
 
-@query("e5_interpolate_linear_window")
+@query("e5_interpolate_parabola", ANCHORS.replace("v AS (", CURVED, 1).replace("FROM l)", "FROM l JOIN z USING (token, time))").replace("LIMITED", "k <= 5").replace("VALUE", "start + slope * x0 + coalesce(bend, 0) * (x0 * x0 - (q2 + q3 / q2 * x0))"), "time f0")
 def _(spark, sf_dir):
-    """A line through six anchors; compared with numpy in the tests."""
-    return _wide_linear(spark, sf_dir, 6.0)
+    """A parabola through five anchors."""
+    return _interpolated(spark, sf_dir, "interpolate_parabola", 5.0)
 
 
-@query("e5_interpolate_linear_all")
+@query("e5_interpolate_spline")
 def _(spark, sf_dir):
-    """A line through all anchors; compared with numpy in the tests."""
-    return _wide_linear(spark, sf_dir, -1.0)
+    """A spline through four anchors; compared with numpy in the tests."""
+    return _interpolated(spark, sf_dir, "interpolate_spline", 4.0)
 
 
 DROPPED = "dropped AS (SELECT DISTINCT token FROM frames WHERE tone = 'view' AND speaker = 'S3')"

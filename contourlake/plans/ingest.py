@@ -15,7 +15,12 @@ from contourlake.sources.adapters import event_frames, event_intervals, table
 
 
 def _scratch(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-files-", dir="/tmp")
+    """A new folder in spark.checkpoint.dir, or, in local mode alone, in a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-files-", dir="/tmp")
     return f"{folder.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 

@@ -382,6 +382,35 @@ def _(spark, sf_dir):
     return M.residual_histogram(event_frames(spark, sf_dir), "f0")
 
 
+def _grid_sql(x: str, y: str) -> str:
+    """Counts in a grid of 40 x 40 over the ranges of two expressions of the fitted frames ``s``."""
+    place = lambda c: f"least(40, floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 40)::INTEGER + 1)"
+    edge = lambda c: f"min({c}) OVER () + ({place(c)} - 1) * (max({c}) OVER () - min({c}) OVER ()) / 40"
+    return f"""s AS (SELECT f0, 90 + intensity / 3 AS fitted, f0 - (90 + intensity / 3) AS residual FROM frames WHERE f0 IS NOT NULL AND intensity IS NOT NULL),
+b AS (SELECT {place(x)} AS x_bin, {place(y)} AS y_bin, {edge(x)} AS x_edge, {edge(y)} AS y_edge FROM s) SELECT x_bin, y_bin, x_edge, y_edge, count(*) AS count FROM b GROUP BY ALL"""
+
+
+def _given_fit(spark, sf_dir):
+    """Frames with a fit that is given: a line of the intensity."""
+    return event_frames(spark, sf_dir).withColumn("fitted", 90 + F.col("intensity") / 3).withColumn("residual", F.col("f0") - F.col("fitted"))
+
+
+@query("m15_residual_vs_fitted", _grid_sql("fitted", "residual"), "x_edge y_edge")
+def _(spark, sf_dir):
+    return M.residual_vs_fitted(_given_fit(spark, sf_dir))
+
+
+@query("m15_observed_vs_fitted", _grid_sql("fitted", "f0"), "x_edge y_edge")
+def _(spark, sf_dir):
+    return M.observed_vs_fitted(_given_fit(spark, sf_dir))
+
+
+@query("m15_residual_vs_fitted_of_smooths")
+def _(spark, sf_dir):
+    """The same panel for the smooths themselves."""
+    return M.residual_vs_fitted(_scored(spark, sf_dir)).select("x_bin", "y_bin", "count")
+
+
 ACF = """d AS (SELECT token, time, f0 - avg(f0) OVER () AS c, count(*) OVER () AS n FROM frames WHERE f0 IS NOT NULL), l AS (SELECT token, time, c, n, """ + ", ".join(f"lag(c, {i}) OVER w AS c{i}" for i in range(1, 6)) + """ FROM d WINDOW w AS (PARTITION BY token ORDER BY time)),
 s AS (SELECT any_value(n) AS n, [sum(c * c), """ + ", ".join(f"coalesce(sum(c * c{i}), 0)" for i in range(1, 6)) + "] AS s FROM l) SELECT (unnest(range(0, 6)))::INTEGER AS lag, unnest(s) / s[1] AS acf, 1.96 / sqrt(n) AS band FROM s"
 

@@ -192,13 +192,16 @@ def _(spark, sf_dir):
 @query("s6_recording_inventory", """SELECT o_orderkey::VARCHAR AS basename, concat('/rec/', o_orderkey, '.wav') AS wav_path, CASE WHEN o_orderkey % 2 = 0 THEN concat('/rec/', o_orderkey, '.TextGrid') END AS tg_path, 8000 + o_custkey % 7 AS sr, 16::BIGINT AS bit, 1 + o_custkey % 2 AS channels,
 round((1000 + o_orderkey % 997) / (8000 + o_custkey % 7)::DOUBLE, 3) AS dur FROM orders""", "dur", base=None)
 def _(spark, sf_dir):
-    """Sound-file headers made from the orders: little-endian rate, channels, bits and bytes at their places."""
+    """Sound files' first bytes made from the orders: an extra chunk, of odd size for some, stands before the format or between it and the samples."""
     o = table(spark, sf_dir, "orders")
     key, rate, channels = F.col("o_orderkey"), 8000 + F.col("o_custkey") % 7, 1 + F.col("o_custkey") % 2
     little = lambda v, n: F.concat(*(F.lpad(F.hex(F.shiftright(v.cast("long"), 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for i in range(n)))
-    size = (1000 + key % 997) * channels * 2
-    head = F.concat(F.lit("00" * 22), little(channels, 2), little(rate, 4), F.lit("00" * 6), little(F.lit(16), 2), F.lit("00" * 4), little(size, 4))
-    sounds = o.select(F.concat(F.lit("/rec/"), key.cast("string"), F.lit(".wav")).alias("path"), (size + 44).alias("length"), F.unhex(head).alias("content"))
+    mark = lambda t: F.lit(t.encode().hex())
+    size, extra = (1000 + key % 997) * channels * 2, key % 31
+    fmt = F.concat(mark("fmt "), little(F.lit(16), 4), little(F.lit(1), 2), little(channels, 2), little(rate, 4), F.lit("00" * 6), little(F.lit(16), 2))
+    more = F.concat(mark("LIST"), little(extra, 4), F.repeat(F.lit("64"), (extra + extra % 2).cast("int")))
+    head = F.concat(mark("RIFF"), F.lit("00" * 4), mark("WAVE"), F.when(key % 3 == 0, F.concat(more, fmt)).when(key % 3 == 1, F.concat(fmt, more)).otherwise(fmt), mark("data"), little(size, 4))
+    sounds = o.select(F.concat(F.lit("/rec/"), key.cast("string"), F.lit(".wav")).alias("path"), (size + F.length(head) / 2).cast("long").alias("length"), F.unhex(head).alias("content"))
     tiers = o.filter(key % 2 == 0).select(F.concat(F.lit("/rec/"), key.cast("string"), F.lit(".TextGrid")).alias("path"), F.lit(10).cast("long").alias("length"), F.unhex(F.lit("00")).alias("content"))
     return files.recording_inventory(sounds.unionByName(tiers)).select("basename", "wav_path", "tg_path", "sr", "bit", "channels", "dur")
 

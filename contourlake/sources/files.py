@@ -7,7 +7,10 @@ functions, so a folder of any number of files is one distributed scan.
 from __future__ import annotations
 
 import re
+import struct
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,13 +93,90 @@ def interval_tier_names(files: DataFrame, max_read: int = 12) -> list[str]:
     return [r["tier"] for r in parse_intervals(few).select("tier").distinct().orderBy("tier").collect()]
 
 
+#: Chunks of a sound file that are looked through for the format and the samples.
+MOST_CHUNKS = 64
+
+
+def _header_of(content: Column | str) -> Column:
+    """Rate, bits, channels and bytes of samples from a sound file's bytes: its chunks are walked, whatever stands before the samples."""
+    content = F.col(content) if isinstance(content, str) else content
+    part = lambda at, n: F.substring(content, at, n)
+    number = lambda at, n: F.conv(F.concat(*(F.hex(part(at + i, 1)) for i in reversed(range(n)))), 16, 10).cast("long")
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(13).cast("long").alias("at"), none.alias("sr"), none.alias("bit"), none.alias("channels"), none.alias("bytes"))
+
+    def step(s, _):
+        at, name = s["at"].cast("int"), part(s["at"].cast("int"), 4).cast("string")
+        size = number(at + 4, 4)
+        fmt, data = name == "fmt ", name == "data"
+        after = F.struct(
+            (s["at"] + 8 + size + size % 2).alias("at"), F.when(fmt, number(at + 12, 4)).otherwise(s["sr"]).alias("sr"), F.when(fmt, number(at + 22, 2)).otherwise(s["bit"]).alias("bit"),
+            F.when(fmt, number(at + 10, 2)).otherwise(s["channels"]).alias("channels"), F.when(data, F.least(size, F.col("length") - s["at"] - 7)).otherwise(s["bytes"]).alias("bytes"),
+        )
+        return F.when(s["bytes"].isNotNull() | (s["at"] + 7 > F.length(content)), s).otherwise(after)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_CHUNKS)), start, step)
+    return F.when((part(1, 4).cast("string") == "RIFF") & (part(9, 4).cast("string") == "WAVE"), walked)
+
+
+def sound_headers(files: DataFrame) -> DataFrame:
+    """path and length of sound files (``binaryFile`` without its content, which is then not read) with rate, bits, channels, bytes of samples and how many bytes were read.
+
+    Tasks seek from chunk to chunk and read tens of bytes a file. Files must lie where Arrow can open them (local, HDFS, S3, GCS); elsewhere take
+    ``recording_inventory`` of whole contents. Files that are no sound files, or can't be read, have nulls.
+    """
+
+    def run(batches):
+        for batch in batches:
+            paths, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [_seek_header(path, length) for path, length in zip(paths, lengths)]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["path", "length", "sr", "bit", "channels", "bytes", "n_read"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length bigint, sr bigint, bit bigint, channels bigint, bytes bigint, n_read bigint")
+
+
+def _seek_header(path: str, length: int) -> tuple:
+    sr = bit = channels = size = None
+    n_read, at = 0, 12
+    try:
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_file(name) as f:
+            head = f.read(12)
+            n_read += len(head)
+            if head[:4] == b"RIFF" and head[8:] == b"WAVE":
+                for _ in range(MOST_CHUNKS):
+                    f.seek(at)
+                    chunk = f.read(8)
+                    n_read += len(chunk)
+                    if len(chunk) < 8:
+                        break
+                    kind, long = struct.unpack("<4sI", chunk)
+                    if kind == b"fmt ":
+                        body = f.read(16)
+                        n_read += len(body)
+                        if len(body) == 16:
+                            _, channels, sr, _, _, bit = struct.unpack("<HHIIHH", body)
+                    if kind == b"data":
+                        size = min(long, length - at - 8)
+                        break
+                    at += 8 + long + long % 2
+    except (OSError, pa.ArrowException):
+        pass
+    return sr, bit, channels, size, n_read
+
+
 def recording_inventory(files: DataFrame) -> DataFrame:
-    """One row per recording name: a path per kind of file, and rate, bits, channels, duration and size from the sound file's header."""
+    """One row per recording name: a path per kind of file, and rate, bits, channels, duration and size from the sound file's header.
+
+    ``files`` has path and length, and either content or what ``sound_headers`` found.
+    """
     named = with_names(files)
-    head = F.hex(F.substring("content", 1, 44))
-    number = lambda at, n: F.conv(F.concat(*(F.substring(head, 2 * (at + i) + 1, 2) for i in reversed(range(n)))), 16, 10).cast("long")
     wav = F.col("ext") == "wav"
-    rows = named.withColumn("sr", F.when(wav, number(24, 4))).withColumn("bit", F.when(wav, number(34, 2))).withColumn("channels", F.when(wav, number(22, 2))).withColumn("bytes", F.when(wav, F.least(number(40, 4), F.col("length") - 44)))
+    if "sr" in files.columns:
+        rows = named
+    else:
+        rows = named.withColumn("__h", F.when(wav, _header_of("content"))).withColumns({c: F.col(f"__h.{c}") for c in ("sr", "bit", "channels", "bytes")})
     path = lambda e: F.min(F.when(F.col("ext") == e, F.col("path")))
     g = rows.groupBy(F.col("token").alias("basename")).agg(path("wav").alias("wav_path"), path("textgrid").alias("tg_path"), path("pitch").alias("pitch_path"), path("pitchtier").alias("pitchtier_path"), F.max("sr").alias("sr"), F.max("bit").alias("bit"), F.max("channels").alias("channels"), F.max("bytes").alias("bytes"), F.max(F.when(wav, F.col("length"))).alias("size"))
     frames = F.try_divide(F.col("bytes"), F.col("channels") * F.col("bit") / 8)

@@ -3,6 +3,7 @@
 import numpy as np
 
 from contourlake.operators import cluster as C
+from contourlake.operators import lloyd as L
 
 
 def test_gap_takes_the_first_k_within_one_standard_error(spark):
@@ -17,37 +18,15 @@ def vectors(spark, points):
     return spark.createDataFrame([(str(i), list(map(float, p))) for i, p in enumerate(points)], "token string, features array<double>")
 
 
-def test_mixture_bic_finds_three_groups(spark):
+def test_mixture_finds_three_groups(spark):
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 1.0, (60, 2)) for c in ((0, 0), (20, 0), (0, 20))])
-    feat = vectors(spark, points).cache()
-    assert max((2, 3, 4), key=lambda k: C.mixture_bic(feat, k)) == 3
+    assert C.mixture_table(vectors(spark, points), (2, 3, 4), starts=5).orderBy(C.F.desc("bic")).first().k == 3
 
 
-def test_average_linkage_counts_the_scatter_of_groups(spark):
+def test_average_linkage_counts_the_scatter_of_groups():
     """Two wide groups with near centres are farther apart, pair by pair, than two tight ones with centres a bit farther."""
-    wide = [(x, y) for y in (-30, 30) for x in (0, 1)]
-    points = [*wide, *((x + 8, y) for x, y in wide), (200, 0), (200, 1), (215, 0), (215, 1)]
-    feat = vectors(spark, points).withColumn("cluster", C.F.expr("case when cast(token as int) < 4 then 1 when cast(token as int) < 8 then 2 when cast(token as int) < 10 then 3 else 4 end"))
-    original = C.kmeans
-    try:
-        C.kmeans = lambda *args, **kwargs: feat
-        rows = C.hierarchical(feat.drop("cluster"), 3, method="average").collect()
-    finally:
-        C.kmeans = original
-    of = {int(r.token): r.cluster for r in rows}
-    assert of[8] == of[10] and of[0] != of[4] and len(set(of.values())) == 3
-
-
-def test_registered_queries_try_every_k(spark, monkeypatch):
-    import __spark_entry__
-
-    seen, tried = {}, []
-    monkeypatch.setattr(C, "choose_k", lambda feat, k_range, **more: seen.update(more, k=list(k_range)))
-    queries = __spark_entry__.queries()
-    queries["m10_choose_k"](spark, "/root/testdata/sf0.001")
-    assert seen["k"] == list(range(2, 9)) and seen["starts"] == 25 and seen["gap_references"] == 20
-    plain = C.kmeans
-    monkeypatch.setattr(C, "kmeans", lambda feat, k, starts, **more: (tried.append((k, starts)), plain(feat, k, starts=1))[1])
-    queries["m14_compare_solutions"](spark, "/root/testdata/sf0.001")
-    assert tried == [(k, 25) for k in range(2, 9)]
+    sizes, centres, scatter = np.array([4, 4, 2, 2]), np.array([(0.5, 0.0), (8.5, 0.0), (200.0, 0.5), (215.0, 0.5)]), np.array([900.25, 900.25, 0.25, 0.25])
+    merges = L.merge_order(sizes, centres, scatter, "average")
+    assert L.cut_merges(4, merges, 3).tolist() == [0, 1, 2, 2]
+    assert L.cut_merges(4, L.merge_order(sizes, centres, scatter, "ward"), 3).tolist() == [0, 0, 1, 2]
