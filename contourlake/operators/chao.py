@@ -51,6 +51,11 @@ def _value_at(points: Column, name: str, x: Column) -> Column:
 GRID, FIRST, LAST = 200, 19, 179
 
 
+def chao_digit(value: Column, rounding) -> Column:
+    """A place on the five-point scale as a digit 1 to 5, rounded by the scale's rule."""
+    return F.greatest(F.lit(1), F.least(F.lit(5), rounding(value).cast("int"))).cast("string")
+
+
 def contour_to_chao(contours: DataFrame, raw: DataFrame | None = None, *, tone="tone", time="time", f0="f0_predicted", threshold=0.5, **roles) -> DataFrame:
     """Per tone with at least two points: digits on the three scales, shape, the sample times and the values there.
 
@@ -70,7 +75,7 @@ def contour_to_chao(contours: DataFrame, raw: DataFrame | None = None, *, tone="
     d = d.withColumn("sample_times", F.when(middle.isNotNull(), F.array(F.lit(0.0), middle, F.lit(1.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
     for name in ("ref", "int", "rob"):
         d = d.withColumn(f"{name}_continuous", _at_times(p, f"chao_{name}"))
-    digit = lambda c, rounding: F.array_join(F.transform(c, lambda v: F.greatest(F.lit(1), F.least(F.lit(5), rounding(v).cast("int"))).cast("string")), "")
+    digit = lambda c, rounding: F.array_join(F.transform(c, lambda v: chao_digit(v, rounding)), "")
     robust = F.when(F.exists("rob_continuous", lambda v: v.isNull()), F.lit(None)).otherwise(digit("rob_continuous", F.ceil))
     d = d.withColumn("refline", digit("ref_continuous", F.rint)).withColumn("interval", digit("int_continuous", F.ceil)).withColumn("robust", robust)
     return d.select("tone", F.size("sample_times").alias("n_digits"), "refline", "interval", "robust", classify_contour("refline").alias("shape"), "sample_times", "ref_continuous", "int_continuous", "rob_continuous")

@@ -194,8 +194,7 @@ def _(spark, sf_dir):
 @query("x8_digits", """SELECT c_custkey, greatest(1, least(5, round_even(c_acctbal / 1000, 0)::INT))::VARCHAR AS ref_digit, greatest(1, least(5, ceil(c_acctbal / 1000)::INT))::VARCHAR AS int_digit FROM customer""", base=None)
 def _(spark, sf_dir):
     x = F.col("c_acctbal") / 1000
-    clamp = lambda v: F.greatest(F.lit(1), F.least(F.lit(5), v.cast("int"))).cast("string")
-    return table(spark, sf_dir, "customer").select("c_custkey", clamp(F.rint(x)).alias("ref_digit"), clamp(F.ceil(x)).alias("int_digit"))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.chao_digit(x, F.rint).alias("ref_digit"), C.chao_digit(x, F.ceil).alias("int_digit"))
 
 
 @query("x4_classify_contour", f"SELECT c_custkey, refline, {SHAPE} AS shape FROM (SELECT c_custkey, concat(1 + c_custkey % 5, CASE WHEN c_custkey % 3 > 0 THEN (1 + c_custkey // 5 % 5)::VARCHAR ELSE '' END, CASE WHEN c_custkey % 3 > 1 THEN (1 + c_custkey // 25 % 5)::VARCHAR ELSE '' END) AS refline FROM customer)", base=None)

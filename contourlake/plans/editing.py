@@ -12,6 +12,7 @@ from contourlake.operators import metadata as M
 from contourlake.operators import region as R
 from contourlake.operators import resample as RS
 from contourlake.operators import summaries as S
+from contourlake.operators import views as V
 from contourlake.plans.describe import ONE, RESAMPLED
 from contourlake.plans.inspection import ATTACHED, INSPECTED, TRIMMED, _attached, _inspected
 from contourlake.plans.registry import query
@@ -221,10 +222,10 @@ def _(spark, sf_dir):
 @query("p8_token_picker", INSPECTED + ", " + DROPPED + """, per AS (SELECT token, any_value(speaker) AS speaker, any_value(tone) AS tone, coalesce(bool_or(flagged_token), false) AS f, coalesce(bool_or(regexp_matches(flag_notes, 'level too|jump \\(')), false) AS c FROM ins GROUP BY token)
 SELECT token FROM per WHERE f AND c AND speaker IN ('S1', 'S2', 'S3') AND tone <> 'click' AND token NOT IN (SELECT token FROM dropped)""")
 def _(spark, sf_dir):
-    ins = _inspected(spark, sf_dir)
-    classes = I.flag_classes(ins).filter("has_level or has_rate").select("token")
-    per = ins.filter("flagged_token and speaker in ('S1', 'S2', 'S3') and tone <> 'click'").select("token").distinct()
-    return per.join(classes, "token", "left_semi").join(_dropped(event_frames(spark, sf_dir)), "token", "left_anti")
+    ins, f = _inspected(spark, sf_dir), event_frames(spark, sf_dir)
+    classes = I.flag_classes(ins).filter("has_level or has_rate")
+    tones = [r[0] for r in f.select("tone").distinct().collect() if r[0] != "click"]
+    return V.pick_tokens(ins, flagged=I.flagged_tokens(ins), of_class=classes, speakers=["S1", "S2", "S3"], tones=tones, kept_without=_dropped(f))
 
 
 LOG = """log AS (SELECT token, 'Discard token' AS action, NULL::VARCHAR AS details FROM (SELECT DISTINCT token FROM frames WHERE tone = 'view') UNION ALL SELECT DISTINCT token, 'Halve', 'x' FROM frames WHERE tone = 'error'),
@@ -278,9 +279,7 @@ def _(spark, sf_dir):
 SELECT t.token, count(*) AS n_frames, any_value(n_missing) AS n_missing, any_value(speaker) AS speaker FROM trimmed t JOIN g USING (token) WHERE NOT (tone = 'view' AND speaker = 'S3') GROUP BY t.token""")
 def _(spark, sf_dir):
     f = event_frames(spark, sf_dir)
-    whole = E.compare(f, f, _dropped(f)).withColumn("f0", F.col("f0_corrected")).drop("f0_corrected", "edited")
-    region = R.flag_f0_gaps(R.trim_to_voiced(S.drop_discarded(whole)))
-    return region.groupBy("token").agg(F.count("*").alias("n_frames"), F.first("n_missing").alias("n_missing"), F.first("speaker").alias("speaker"))
+    return V.export(f, dropped=_dropped(f)).groupBy("token").agg(F.count("*").alias("n_frames"), F.first("n_missing").alias("n_missing"), F.first("speaker").alias("speaker"))
 
 
 @query("p7_region_losses", TRIMMED + ", " + ATTACHED + """ SELECT (SELECT count(DISTINCT token) FROM frames) AS n_whole, (SELECT count(DISTINCT token) FROM trimmed) AS n_voiced, (SELECT count(DISTINCT token) FROM att WHERE rime_1 = 'a') AS n_interval""")
@@ -294,17 +293,21 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     text = F.when(F.col("o_orderkey") % 10 == 3, "NA").otherwise((F.col("o_orderkey") % 300).cast("string"))
-    kept = o.join(table(spark, sf_dir, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    return kept.select(F.col("o_orderkey").cast("string").alias("token"), (F.col("o_totalprice") / 1000).alias("time"), text.try_cast("double").alias("f0"))
+    near = table(spark, sf_dir, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    recordings = o.join(near, "o_custkey", "left_semi").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".wav")).alias("basename"))
+    loaded = V.load_projection(o.select("o_orderkey", (F.col("o_totalprice") / 1000).alias("t"), text.alias("hz")), recordings, token="o_orderkey", time="t", f0="hz")
+    return loaded.select("token", "time", "f0")
 
 
 @query("j12_pick_candidate", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN pick = 0 THEN NULL WHEN abs(pick - l_quantity) <= 0.05 THEN l_quantity ELSE pick END AS f0
 FROM (SELECT *, CASE l_partkey % 3 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity * 2 ELSE 0.0 END AS pick FROM lineitem)""", base=None)
 def _(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    one = lambda hz: F.struct(hz.cast("double").alias("frequency"), F.lit(0.5).alias("strength"))
     q = F.col("l_quantity")
-    candidates = F.array(q, q * 2, F.lit(0.0))
-    pick = F.get(candidates, (F.col("l_partkey") % 3).cast("int"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(pick == 0, F.lit(None)).when(F.abs(pick - q) <= 0.05, q).otherwise(pick).alias("f0"))
+    frame = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    keyed = li.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").cast("string").alias("token"), frame.alias("frame"), q.alias("f0"), F.array(one(q), one(q * 2), one(F.lit(0.0))).alias("candidates"), (F.col("l_partkey") % 3 + 1).cast("int").alias("choice"))
+    return E.pick_candidates(keyed.drop("candidates", "choice"), keyed.select("token", "frame", "candidates"), keyed.select("token", "frame", "choice")).select("l_orderkey", "l_linenumber", "l_partkey", "f0")
 
 
 @query("c4_carried_columns", RESAMPLED.replace("p = 20", "p = 4").replace("/ 20)", "/ 4)").replace("range(0, 21)", "range(0, 5)") + """, b AS (
