@@ -3,7 +3,8 @@
 Counting. A task adds its texts to a trie over word numbers. The trie is shallow: a node leads to hash containers of the rest
 of a phrase (packed numbers to counts), and a container that grows too large bursts into a node with a container for
 each next word. When a task's trie holds ``limit`` phrases, its largest subtrees leave it as runs sorted by word, until
-half is free. Spark deals the runs to partitions by the prefix of a phrase (all its words but the last) and merges them there.
+half is free. Spark deals the runs to partitions by the prefix of a phrase (all its words but the last) and merges them there; a prefix
+that very many phrases share is cut into ``PREFIX_PARTS`` parts by the last word.
 
 Levels. A phrase occurs no more often than any part of it. So single words are counted first, pairs of frequent words next, and
 phrases of three and four words only where every pair in them is frequent. Which words and pairs are frequent
@@ -46,6 +47,8 @@ LIMIT, BURST = 600_000, 4096
 SLICE_BYTES = 4_000_000
 #: Bits of a filter of frequent phrases.
 FILTER_BITS = 1 << 27
+#: Partitions that the phrases of one prefix may be dealt to.
+PREFIX_PARTS = 4
 #: Rows sent at a time.
 SENT = 65_536
 
@@ -201,7 +204,7 @@ class Counter:
     Single words need no trie: their numbers are places in an array of counts.
     """
 
-    schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("last", pa.string()), ("n", pa.int64())])
 
     def __init__(self, lengths: tuple[int, ...], words: Filter | None = None, pairs: Filter | None = None, limit: int = LIMIT, burst: int = BURST, stretch: int = STRETCH):
         self.lengths, self.frequent_words, self.frequent_pairs, self.limit, self.burst, self.stretch = lengths, words, pairs, limit, burst, stretch
@@ -304,8 +307,8 @@ class Counter:
                 some = order[start : start + SENT]
                 parts = [words.take(pa.array(keys[some, i])) for i in range(k)]
                 prefix = parts[0] if k <= 2 else pc.binary_join_element_wise(*parts[:-1], " ")
-                phrase = parts[0] if k == 1 else pc.binary_join_element_wise(prefix, parts[-1], " ")
-                yield record_batch(self.schema, [langs.take(pa.array(keys[some, 0])), prefix, phrase, counts[some]])
+                last = pa.array([""] * len(some)) if k == 1 else parts[-1]
+                yield record_batch(self.schema, [langs.take(pa.array(keys[some, 0])), prefix, last, counts[some]])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         """What is left at the end of a task, and the number of all words by language under the empty phrase."""
@@ -351,8 +354,9 @@ def count_phrases(docs: DataFrame, lengths: tuple[int, ...], *, words: Filter |
             yield from counter.add(texts, langs)
         yield from counter.rest()
 
-    runs = rows.mapInArrow(run, "lang string, prefix string, phrase string, n bigint")
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
+    runs = rows.mapInArrow(run, "lang string, prefix string, last string, n bigint").withColumn("part", F.pmod(F.hash("last"), F.lit(PREFIX_PARTS)))
+    sums = runs.repartition("lang", "prefix", "part").groupBy("lang", "prefix", "part", "last").agg(F.sum("n").alias("n"))
+    return sums.select("lang", F.when(F.col("last") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "last")).alias("phrase"), "n")
 
 
 def frequent_phrases(docs: DataFrame, *, least: int = LEAST, most_words: int = MOST_WORDS, text: str = "text", lang: str = "lang", **more) -> DataFrame:
