@@ -1,7 +1,7 @@
 """Inspection: outlying tokens, implausible jumps between samples, and low-energy samples.
 
-Token statistics come from one aggregation by token; speaker and tone windows run on that token table.
-Windows over samples share one partitioning by token.
+Token statistics come from one aggregation by token; statistics of speakers and tones are merged from that token
+table's sums and counts and joined back. Windows over samples share one partitioning by token.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contourlake.functions.scalars import notes, sounded
+from contourlake.operators.medians import group_medians
 
 #: Greatest plausible rise and fall in semitones per 10 ms, and bounds of the Hz ratio of neighbours.
 RISE, FALL, OCTAVE, CARRYOVER = 1.263, 1.714, (0.49, 1.99), 1.5
@@ -45,14 +46,20 @@ def flag_level_outliers(tokens: DataFrame, *, speaker="speaker", tone="tone", le
     """Adds n_tone_peers, level_modz (a median-based z within speaker and tone) and the level flags.
 
     Where the median absolute deviation is 0 the mean absolute deviation takes its place; groups with fewer
-    than ``min_tokens`` tokens are not judged. A group holds tokens, not samples.
+    than ``min_tokens`` tokens are not judged. Medians are exact and come from counts of values
+    (``medians.group_medians``), so no task holds a group's tokens, however many one speaker has.
     """
-    w = Window.partitionBy(speaker, tone)
-    t = tokens.withColumn("n_tone_peers", F.count("*").over(w)).withColumn("__mid", F.median("level_st").over(w))
-    t = t.withColumn("__dev", F.abs(F.col("level_st") - F.col("__mid"))).withColumn("__mad", F.median("__dev").over(w)).withColumn("__mean", F.avg("__dev").over(w))
+    group = F.struct(F.col(speaker).alias("speaker"), F.col(tone).alias("tone"))  # a struct: null parts are equal in joins
+    counts = tokens.groupBy(group.alias("__g"), F.col("level_st").alias("__level")).agg(F.count("*").alias("__n"))
+    mids = group_medians(counts, "__g", "__level", "__n", sums={"n_tone_peers": F.col("__n")}).withColumnRenamed("median", "__mid")
+    devs = counts.join(mids, "__g").withColumn("__dev", F.abs(F.col("__level") - F.col("__mid")))
+    sums = {"__sum": F.col("__dev") * F.col("__n"), "__known": F.when(F.col("__dev").isNotNull(), F.col("__n"))}
+    stats = group_medians(devs, "__g", "__dev", "__n", same=("n_tone_peers", "__mid"), sums=sums).withColumnRenamed("median", "__mad")
+    stats = stats.withColumn("__mean", F.try_divide("__sum", "__known"))
+    t = tokens.withColumn("__g", group).join(stats, "__g", "left")
     x = F.col("level_st") - F.col("__mid")
     modz = F.when(F.col("n_tone_peers") < min_tokens, F.lit(None)).when(F.col("__mad") > 0, 0.6745 * x / F.col("__mad")).when(F.col("__mean") > 0, x / (1.253314 * F.col("__mean")))
-    t = t.withColumn("level_modz", modz.cast("double")).drop("__mid", "__dev", "__mad", "__mean")
+    t = t.select(*tokens.columns, "n_tone_peers", modz.cast("double").alias("level_modz"))
     return t.withColumn("flag_level_high", F.coalesce(F.col("level_modz") > level_threshold, F.lit(False))).withColumn("flag_level_low", F.coalesce(F.col("level_modz") < -level_threshold, F.lit(False)))
 
 
