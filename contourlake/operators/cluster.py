@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from contourlake.functions.scalars import cosine_rows, normal_mass
 from contourlake.operators import lloyd
+from contourlake.operators.mixed import summed
 from contourlake.operators.resample import finite, grid_time, points_between
 
 
@@ -266,6 +267,64 @@ def silhouette(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
     return assigned.withColumn("__s", s).drop("__norm").agg(F.avg("__s").alias("silhouette"))
 
 
+#: Points that are compared with all rows when the silhouette is taken on plain distances: by default and at most.
+SILHOUETTE_POINTS, MOST_POINTS = 2000, 20_000
+
+
+def silhouette_euclidean(assigned: DataFrame, points: DataFrame | None = None, *, cluster="cluster", sample=SILHOUETTE_POINTS, seed=1) -> DataFrame:
+    """One row: mean silhouette on plain distances over some points, their number and the mean's standard error.
+
+    Plain distances have no closed sums, so ``points`` (or the ``sample`` rows of smallest hash; all rows, where there are
+    no more) are broadcast and compared with every row: tasks add up each point's distances to each cluster in blocks, and only those sums are shuffled.
+    ``points`` have the columns of ``assigned`` and stand among its rows; over MOST_POINTS raise an error. Rows without a cluster or with features
+    that are null or not finite take no part; a point alone in its cluster counts 0, and so does one whose distances are all 0.
+    The standard error is null for fewer than two points, the mean without any point or with one cluster alone.
+    """
+    finite = F.col(cluster).isNotNull() & F.col("features").isNotNull() & F.forall("features", lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))
+    plain = lambda df: df.filter(finite).select(F.col(cluster).alias("c"), F.transform("features", lambda v: v.cast("double")).alias("features"))
+    spark, rows = assigned.sparkSession, plain(assigned)
+    chosen = plain(points).limit(MOST_POINTS + 1) if points is not None else rows.orderBy(F.xxhash64("c", "features", F.lit(seed)), "c", "features").limit(sample)
+    taken = chosen.toArrow()
+    if taken.num_rows > MOST_POINTS:
+        raise ValueError(f"at most {MOST_POINTS} points can be compared with all rows")
+    schema = "silhouette double, n_points long, std_error double"
+    counts = dict(rows.groupBy("c").count().collect())  # one row a cluster
+    if not taken.num_rows or len(counts) < 2:
+        return spark.createDataFrame([(None, taken.num_rows, None)], schema)
+    labels = sorted(counts)
+    code, n = {c: i for i, c in enumerate(labels)}, np.array([counts[c] for c in labels], float)
+    x, mine = np.array(taken["features"].to_pylist(), float), np.array([code[c] for c in taken["c"].to_pylist()])
+    sent, k, p = spark.sparkContext.broadcast(x), len(labels), x.shape[1]
+    step = max(1, lloyd.CELLS // 1024)
+
+    def run(batches):
+        sums = np.zeros((len(sent.value), k))
+        for batch in batches:
+            at = np.array([code[c] for c in batch.column(0).to_pylist()], np.int64)
+            v = batch.column(1).flatten().to_numpy().reshape(-1, p)
+            for i in range(0, len(v), 1024):
+                for j in range(0, len(sums), step):
+                    square = np.zeros((len(v[i : i + 1024]), len(sums[j : j + step])))
+                    for d in range(p):
+                        square += (v[i : i + 1024, d, None] - sent.value[None, j : j + step, d]) ** 2
+                    distances = np.sqrt(square)
+                    for c in np.unique(at[i : i + 1024]):
+                        sums[j : j + step, c] += distances[at[i : i + 1024] == c].sum(axis=0)
+        for j in range(0, len(sums), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int64()), pa.array([sums[j : j + 256].ravel().tolist()], pa.list_(pa.float64()))], names=["key", "v"])
+
+    found = summed(rows.mapInArrow(run, lloyd.KEYED), 2)
+    sent.unpersist()
+    total = np.concatenate([found[j].reshape(-1, k) for j in sorted(found)])
+    each = np.arange(len(x))
+    own, mean = total[each, mine] / np.maximum(n[mine] - 1, 1), total / n
+    mean[each, mine] = np.inf
+    other = mean.min(axis=1)
+    top = np.maximum(own, other)
+    s = np.where((n[mine] <= 1) | (top <= 0), 0.0, (other - own) / np.where(top > 0, top, 1))
+    return spark.createDataFrame([(float(s.mean()), len(s), float(s.std(ddof=1) / math.sqrt(len(s))) if len(s) > 1 else None)], schema)
+
+
 def within_cost(assigned: DataFrame, *, cluster="cluster") -> DataFrame:
     """One row: total squared distance to the cluster centres (wss)."""
     e = assigned.select(F.col(cluster).alias("c"), F.posexplode("features"))

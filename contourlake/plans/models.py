@@ -117,6 +117,13 @@ def _(spark, sf_dir):
     return C.silhouette(_vectors(spark, sf_dir))
 
 
+@query("m10_silhouette_euclidean", """WITH v AS (SELECT vec_id, label % 3 AS c, embedding FROM embeddings), d AS (SELECT a.vec_id, a.c, b.c AS c2, sum(CASE WHEN a.vec_id <> b.vec_id THEN list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ELSE 0 END) AS s, count(*) AS n FROM v a, v b WHERE a.vec_id % 50 = 0 GROUP BY 1, 2, 3),
+o AS (SELECT vec_id, max(s / (n - 1)) FILTER (c = c2) AS own, min(s / n) FILTER (c <> c2) AS other FROM d GROUP BY vec_id), e AS (SELECT (other - own) / greatest(own, other) AS s FROM o) SELECT avg(s) AS silhouette, count(*) AS n_points, stddev_samp(s) / sqrt(count(*)) AS std_error FROM e""", "silhouette std_error", base=None)
+def _(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return C.silhouette_euclidean(v, v.filter(F.col("token").cast("long") % 50 == 0))
+
+
 def _ratio_sql(x: str, parts) -> str:
     out = []
     for coefficients in parts:
