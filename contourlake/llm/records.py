@@ -14,9 +14,10 @@ file u64), so a reader can seek to records in any order.
 Files hold ascending ranges of document ids; a manifest table lists the files of the attempt that Spark
 committed, so files left by lost or repeated tasks are never read.
 
-Edge cases: a null or empty text is its end id alone; rows with the same id are ordered by their ids;
-a null document id is written as the smallest; empty tables give an empty manifest; extra columns are
-not touched.
+Edge cases: a null or empty text is its end id alone; rows with the same document id are ordered by the
+checksum of their token ids, then by these, and an id that fills several files' share of the rows is cut
+among that many files by the checksum (equal rows stay together); a null document id is written as the
+smallest; empty tables give an empty manifest; extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MASK = 0xA282EAD8
 HEAD, BODY, FOOT = struct.Struct("<QI"), struct.Struct("<qB"), struct.Struct("<I")
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("n_ids", "<u4"), ("before", "<u8")])
 NO_ID = -(1 << 63)
+#: Bytes that one read of neighbouring records fetches.
+READ_BYTES = 4 << 20
 MANIFEST = "shard long, path string, index_path string, n_records long, n_tokens long"
 
 
@@ -118,12 +121,36 @@ class ShardReader:
             raise ValueError(f"record {i}: the index names another document")
         return doc_id, ids
 
+    def runs(self, most_records: int = 256, most_bytes: int = READ_BYTES):
+        """All records in order, in lists of neighbours that one read fetches: at most so many records and bytes (one longer record is its own list)."""
+        ends = np.append(self.index["offset"][1:], np.uint64(self.size)).astype(np.int64)
+        i = 0
+        while i < len(self):
+            start = int(self.index["offset"][i])
+            j = min(i + most_records, max(i + 1, int(np.searchsorted(ends, start + most_bytes, side="right"))))
+            data, at, found = self.file.read_at(int(ends[j - 1]) - start, start), 0, []
+            for k in range(i, j):
+                if start + at != int(self.index["offset"][k]):
+                    raise ValueError(f"record {k}: the index names another place")
+                doc_id, ids, at = unframe(data, at)
+                if doc_id != int(self.index["doc_id"][k]) or len(ids) != int(self.index["n_ids"][k]):
+                    raise ValueError(f"record {k}: the index names another document")
+                found.append((doc_id, ids))
+            yield i, found
+            i = j
+
     def shuffled(self, seed: int):
         """All records in a repeatable random order."""
         for i in np.random.default_rng(seed).permutation(len(self)):
             yield self[int(i)]
 
 
+def share_of(bounds: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """The file of each id between ascending bounds; an id that is a bound several times goes to that many files, by the range of its row's 32-bit tie."""
+    left, right = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    return np.where(right > left, left + 1 + (ties * (right - left) >> 32), right)
+
+
 def write_records(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY, end_id: int = 2, shard_bytes: int = 64 << 20) -> DataFrame:
     """Encode all texts and write them in ascending order of the id; returns the manifest.
 
@@ -135,9 +162,9 @@ def write_records(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards)).first()[0] if shards > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    bounds = np.array(cuts or [], np.int64)  # an id that fills several shares stands there several times
     folder = new_path(spark, "records")
-    encoded_schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    encoded_schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
     manifest_schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("index_path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64())])
 
     def encode(batches):
@@ -145,12 +172,13 @@ def write_records(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         width = 2 if made.library.get_vocab_size() < 1 << 16 and end_id < 1 << 16 else 4
         for texts, ids in text_slices(batches, ("text", "doc_id")):
             found = [bytes([width]) + np.append(x, np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in made.encode(texts)]
-            yield record_batch(encoded_schema, [np.searchsorted(bounds, ids.to_numpy(), side="right"), ids, found])
+            ties = np.array([zlib.crc32(x) for x in found], np.int64)
+            yield record_batch(encoded_schema, [share_of(bounds, ids.to_numpy(), ties), ids, ties, found])
 
     def write(batches):
         writer, done = None, []
         for batch in batches:
-            for shard, d, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for shard, d, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
                 if writer is None or writer.shard != shard:
                     if writer is not None:
                         done.append(writer.close())
@@ -161,8 +189,8 @@ def write_records(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         if done:
             yield record_batch(manifest_schema, zip(*done))
 
-    encoded = rows.mapInArrow(encode, "shard long, doc_id long, ids binary")
-    dealt = encoded.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "ids")
+    encoded = rows.mapInArrow(encode, "shard long, doc_id long, tie long, ids binary")
+    dealt = encoded.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "tie", "ids")
     return materialize(dealt.mapInArrow(write, MANIFEST), "records-manifest")
 
 
@@ -180,9 +208,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, index_path, base in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "index_path", "base"))):
                 shard = ShardReader(path, index_path)
-                for i in range(0, len(shard), 256):
-                    part = [shard[k] for k in range(i, min(i + 256, len(shard)))]
-                    starts = base + shard.index["before"][i : i + 256].astype(np.int64)
+                for i, part in shard.runs():
+                    starts = base + shard.index["before"][i : i + len(part)].astype(np.int64)
                     yield record_batch(schema, [[d if d != NO_ID else None for d, _ in part], starts, [len(x) for _, x in part], [x.astype("<u4").tobytes() for _, x in part]])
 
     return files.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
