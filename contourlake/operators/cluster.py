@@ -48,13 +48,19 @@ def token_contours(data: DataFrame, *, f0="f0", token="token", time="time", spea
     return joined.select(F.col(token).alias("token"), *(F.col(f"m.{c}").alias(c) for c in meta), "contour")
 
 
-def features(contours: DataFrame, kind="points", degree=4) -> DataFrame:
-    """Adds features: the points, Legendre or cosine coefficients (each divided by its sd over all tokens), or first differences."""
+def features(contours: DataFrame, kind="points", degree=4, n_points: int | None = None) -> DataFrame:
+    """Adds features: the points, Legendre or cosine coefficients (each divided by its sd over all tokens), or first differences.
+
+    ``n_points`` is the contours' number of points; where it isn't given, one contour is made to count them.
+    """
     if kind == "points":
         return contours.withColumn("features", F.col("contour"))
     if kind == "derivative":
         return contours.withColumn("features", F.transform(F.slice("contour", F.lit(2), F.size("contour") - 1), lambda v, i: v - F.get("contour", i)))
-    n = len(contours.select("contour").first()[0]) if not contours.isEmpty() else 20
+    n = n_points
+    if n is None:
+        first = contours.select(F.size("contour")).first()
+        n = first[0] if first else 20
     if degree + 1 > n:
         raise ValueError("degree is too high for the number of points")
     x = np.linspace(-1, 1, n)

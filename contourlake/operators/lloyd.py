@@ -68,7 +68,8 @@ def read_points(feat: DataFrame, seed: int = 1, pool: int = POOL) -> Points:
     """Points of a table with ``features`` (rows without them, or with values that aren't finite, take no part). Unpersist ``rows`` when done."""
     finite = F.col("features").isNotNull() & F.forall("features", lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))
     named = ["token"] if "token" in feat.columns else []
-    rows = feat.filter(finite).select(F.xxhash64(*named, "features").alias("key"), F.transform("features", lambda v: v.cast("double")).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = feat.filter(finite).select(F.xxhash64(*named, "features").alias("key"), F.transform("features", lambda v: v.cast("double")).alias("features"))
+    rows = rows.repartition(_parts(feat.sparkSession), "key").persist(StorageLevel.MEMORY_AND_DISK)
     first = rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(pool).toArrow()
     if not first.num_rows:
         raise ValueError("no points to cluster")
@@ -99,11 +100,16 @@ def read_points(feat: DataFrame, seed: int = 1, pool: int = POOL) -> Points:
     return Points(rows, n, mean, axes, box["low"].to_numpy(), box["high"].to_numpy(), float(np.trace(scatter) / n), seed, keys, x)
 
 
+def _parts(spark) -> int:
+    """Parts that points are dealt to: they are few bytes but much work, so their number must not go by their size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 KEYED = "key bigint, v array<double>"
 
 
 #: A task has at least so many products to work out; smaller passes use fewer tasks.
-TASK_WORK = 20_000_000
+TASK_WORK = 100_000_000
 
 
 def _pass(points: Points, work: int, run) -> dict[int, np.ndarray]:
@@ -130,9 +136,37 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return d.reshape(len(x), runs, k).argmin(axis=2)
 
 
+#: Up to so many clusters the rows of each are added up by a product of matrices.
+FEW_CLUSTERS = 16
+#: Distances that are worked out at once there, so that they stay in the processor's cache.
+CACHED = 200_000
+
+
+def _sums_of_few(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The same sums for few clusters: for each cluster a table of ones (runs x rows) times the rows; ties to the first."""
+    runs, k, p = centres.shape
+    flat = np.swapaxes(centres, 0, 1).reshape(-1, p)
+    left = np.concatenate([(flat**2).sum(axis=1)[:, None], -2 * flat], axis=1)
+    wide = np.concatenate([np.ones((len(x), 1)), x, (x**2).sum(axis=1)[:, None]], axis=1)
+    out = np.zeros((k, runs, p + 2))
+    step = max(64, CACHED // (runs * k))
+    for i in range(0, len(x), step):
+        part = wide[i : i + step]
+        d = (left @ part[:, :-1].T).reshape(k, runs, -1)
+        least = d.min(axis=0)
+        taken = np.zeros(least.shape, bool)
+        for j in range(k):
+            mine = (d[j] == least) & ~taken
+            taken |= mine
+            out[j] += mine.astype(float) @ part
+    return np.swapaxes(out, 0, 1)
+
+
 def _sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Count, sum and sum of squares of the rows nearest to each centre: runs x k x (p + 2)."""
     runs, k, p = centres.shape
+    if k <= FEW_CLUSTERS:
+        return _sums_of_few(x, centres)
     out = np.zeros((runs * k, p + 2))
     step = max(1, CELLS // (runs * k))
     for i in range(0, len(x), step):
