@@ -46,9 +46,9 @@ def tier_names(tiers: list[str]) -> list[str]:
 
 
 def number_intervals(intervals: DataFrame, *, token="token") -> DataFrame:
-    """Adds the ordinal of each interval with a label among those of its tier; null for blank ones."""
+    """Adds the ordinal of each interval with a label among those of its tier; null for blank ones. Intervals of one start go by their ends, then their labels."""
     named = F.length(F.trim(F.coalesce("label", F.lit("")))) > 0
-    w = Window.partitionBy(token, "tier").orderBy("t1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(token, "tier").orderBy("t1", "t2", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return intervals.withColumn("i", F.when(named, F.sum(named.cast("int")).over(w)))
 
 
@@ -64,7 +64,7 @@ def attach_intervals(data: DataFrame, intervals: DataFrame, tiers: list[str], *,
         marks = numbered.filter(F.col("tier") == tier).select(token_key("token").alias("__key"), F.col("t1").alias("__at"), F.lit(0).alias("__kind"), F.struct("t1", "t2", "label", "i").alias("__iv"))
         frames = out.withColumn("__row", F.struct(*out.columns)).select("__key", F.col(time).alias("__at"), F.lit(1).alias("__kind"), "__row")
         both = frames.unionByName(marks, allowMissingColumns=True)
-        w = Window.partitionBy("__key").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy("__key").orderBy("__at", "__kind", "__iv.t2", "__iv.label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         both = both.withColumn("__last", F.when(F.col("__key").isNotNull(), F.last("__iv", ignorenulls=True).over(w))).filter("__kind = 1")
         fits = F.col("__at") <= F.col("__last.t2")
         put = lambda c, fits=fits: F.when(fits, F.col(f"__last.{c}"))

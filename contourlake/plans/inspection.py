@@ -8,7 +8,7 @@ from contourlake.functions import scalars as X
 from contourlake.operators import inspect as I
 from contourlake.operators import region as R
 from contourlake.operators import summaries as S
-from contourlake.plans.registry import query
+from contourlake.plans.registry import query, rounded_as_sql
 from contourlake.plans.sql import INTERVALS, ORDER_FRAMES
 from contourlake.sources.adapters import event_frames, event_intervals, order_frames
 
@@ -144,7 +144,7 @@ def _(spark, sf_dir):
 @query("a20_flagged_frames", INSPECTED + """ SELECT token, count(*) AS n, string_agg(concat(round(time, 3)::DECIMAL(18, 3)::VARCHAR, ' ', flag_notes), '|' ORDER BY time) AS frames FROM ins WHERE flagged_jump GROUP BY token""")
 def _(spark, sf_dir):
     f = I.flagged_frames(_inspected(spark, sf_dir))
-    return f.select("token", F.size("frames").cast("long").alias("n"), F.array_join(F.transform("frames", lambda x: F.concat(F.round(x["time"], 3).cast("decimal(18,3)").cast("string"), F.lit(" "), x["note"])), "|").alias("frames"))
+    return f.select("token", F.size("frames").cast("long").alias("n"), F.array_join(F.transform("frames", lambda x: F.concat(rounded_as_sql(x["time"], 3).cast("decimal(18,3)").cast("string"), F.lit(" "), x["note"])), "|").alias("frames"))
 
 
 @query("p9_flagged_tokens", INSPECTED + " SELECT DISTINCT token FROM ins WHERE flagged_token AND length(token) > 0")
