@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,7 +97,7 @@ def fit_growth_curve(data: DataFrame, *, f0="f0", time="time01", tone="tone", sp
     order = sorted(parts, key=lambda t: order.index(columns[t]))
     outer, inner = [*order, None][0] if order else None, order[1] if len(order) > 1 else None
     keys = _factor_keys(data, tone, columns.get(outer), columns.get(inner))
-    cells = mixed.packed_sums(data, basis, F.col(f0), keys)
+    cells = mixed.packed_sums(data, basis, F.col(f0), keys).persist(StorageLevel.MEMORY_AND_DISK)  # tones, levels and fit read it: the samples are summed once
     tones = sorted(r[0] for r in cells.select("tone").distinct().collect())
     for p in parts.values():
         p.copies = [0] * len(tones)
@@ -157,6 +158,34 @@ def spline_basis(x: Column, k: int) -> list[Column]:
     return out
 
 
+#: The four splines over a span of two knots, first to last, as cubics of the place in it (0-1), ascending.
+SPAN = np.array([[1, -3, 3, -1], [4, 0, -6, 3], [1, 3, 3, -3], [0, 0, 0, 1]]) / 6
+
+
+def spline_sums(data: DataFrame, x: Column, k: int, y: Column, keys: dict[str, Column]) -> DataFrame:
+    """What ``packed_sums`` gives for ``spline_basis(x, k)``, from few sums a row.
+
+    Between two knots four splines are cubics of the place u, so the sums of u's powers up to the sixth, and of y times those up to the third, tell all
+    products. Rows are summed by cell and span; the k (k + 1) / 2 products are put together from those sums.
+    """
+    place = x * (k - 3)
+    rows = data.select(*(c.alias(n) for n, c in keys.items()), y.alias("__y"), F.floor(place).alias("__span"), (place - F.floor(place)).alias("__u")).filter(F.col("__y").isNotNull())
+    u = F.col("__u")
+    power = [F.lit(1.0), u, u * u, u * u * u]
+    power += [power[3] * p for p in power[1:]]
+    sums = rows.groupBy(*keys, "__span").agg(F.count("*").alias("n"), F.sum(F.col("__y") * F.col("__y")).alias("yy"), *(F.sum(p).alias(f"__m{i}") for i, p in enumerate(power)), *(F.sum(F.col("__y") * p).alias(f"__c{i}") for i, p in enumerate(power[:4])))
+
+    def total(parts: list[tuple[int, np.ndarray]], name: str) -> Column:
+        """Sum over spans of a polynomial's coefficients times the sums of powers."""
+        each = [F.when(F.col("__span") == span, sum((F.col(f"{name}{i}") * float(v) for i, v in enumerate(c) if v), F.lit(0.0))) for span, c in parts]
+        return F.sum(F.coalesce(*each, F.lit(0.0)))
+
+    g = [total([(s, np.convolve(SPAN[i - s], SPAN[j - s])) for s in range(j - 3, i + 1)], "__m") if j - i < 4 else F.sum(F.lit(0.0)) for i in range(k) for j in range(i, k)]
+    b = [total([(s, SPAN[i - s]) for s in range(i - 3, i + 1)], "__c") for i in range(k)]
+    wide = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("yy").alias("yy"), *(c.alias(f"g{i}") for i, c in enumerate(g)), *(c.alias(f"b{i}") for i, c in enumerate(b)))
+    return wide.select(*keys, "n", "yy", F.array(*(f"g{i}" for i in range(len(g)))).alias("g"), F.array(*(f"b{i}" for i in range(len(b)))).alias("b"))
+
+
 @dataclass
 class Smooth:
     """Spline coefficients per tone and their covariances, a penalty per smooth (residual variance over the smooth's), residual and random variances.
@@ -236,7 +265,9 @@ def fit_smooth(data: DataFrame, *, f0="f0", time="time01", token="token", tone="
         w = Window.partitionBy("__token").orderBy("__time")
         white = lambda c: F.when(F.row_number().over(w) == 1, F.col(c)).otherwise(F.col(c) - rho * F.lag(c).over(w))
         d = d.select("__token", "__tone", "__speaker", "__item", "__time", *(white(c).alias(c) for c in ("__y", *names)))
-    cells = mixed.packed_sums(d, [F.col(c) for c in names], F.col("__y"), _factor_keys(d, "__tone", "__speaker", "__item"))
+    keys = _factor_keys(d, "__tone", "__speaker", "__item")
+    cells = mixed.packed_sums(d, [F.col(c) for c in names], F.col("__y"), keys) if rho or duration else spline_sums(d, F.col("__time"), k, F.col("__y"), keys)
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)  # tones, levels and fit read it: the samples are summed once
     tones = sorted(r[0] for r in cells.select("tone").distinct().collect())
     p, width = len(tones) * k, len(names)
     places = [[i * k] if smooth_type == "separate" or i == 0 else [0, i * k] for i in range(len(tones))]
