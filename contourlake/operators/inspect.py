@@ -79,10 +79,10 @@ def flag_pitch_jumps(data: DataFrame, *, f0="f0", token="token", time="time", ti
     w = Window.partitionBy(token).orderBy(time)
     data = data.withColumn(f0, F.when(F.col(f0) != 0, F.col(f0)))
     d = data.withColumn("__st", F.when(F.col(f0) > 0, 12 * F.log2(f0)))
-    whole = Window.partitionBy(token)
-    d = d.withColumn("__mid", F.when(F.count("__st").over(whole) >= 2, F.median("__st").over(whole)))
     for name, c in (("__p", F.lag), ("__n", F.lead)):
         d = d.withColumn(f"{name}st", c("__st").over(w)).withColumn(f"{name}t", c(time).over(w)).withColumn(f"{name}f", c(f0).over(w))
+    whole = Window.partitionBy(token)  # after the neighbours: their order by token and time serves here too
+    d = d.withColumn("__mid", F.when(F.count("__st").over(whole) >= 2, F.median("__st").over(whole)))
 
     def jump(a: str, b: str, at: Column, bt: Column, af: Column, bf: Column) -> Column:
         step = F.col(b) - F.col(a)
@@ -100,12 +100,11 @@ def flag_pitch_jumps(data: DataFrame, *, f0="f0", token="token", time="time", ti
     if carryover > 0:
         for name, order, neighbour in (("fw", w, "__pst"), ("bw", Window.partitionBy(token).orderBy(F.desc(time)), "__nst")):
             so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            d = d.withColumn(f"__seg{name}", F.sum(F.col("__hit").cast("int")).over(so_far)).withColumn(f"__anchor{name}", F.last(F.when(F.col("__hit"), F.col("__st")), ignorenulls=True).over(so_far))
+            d = d.withColumn(f"__anchor{name}", F.last(F.when(F.col("__hit"), F.col("__st")), ignorenulls=True).over(so_far))
             band = F.when(F.col(neighbour) > F.col("__st"), rise).when(F.col(neighbour).isNotNull(), fall).otherwise(max(rise, fall)) * carryover
-            stop = ~F.col("__hit") & (F.col("__st").isNull() | (F.abs(F.col("__st") - F.col(f"__anchor{name}")) > band))
-            d = d.withColumn(f"__stop{name}", F.coalesce(stop, F.lit(False)).cast("int"))
-            within = Window.partitionBy(token, f"__seg{name}").orderBy(time if name == "fw" else F.desc(time)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            d = d.withColumn(f"__go{name}", (F.col(f"__seg{name}") > 0) & (F.max(f"__stop{name}").over(within) == 0))
+            stop = F.coalesce(F.col("__st").isNull() | (F.abs(F.col("__st") - F.col(f"__anchor{name}")) > band), F.lit(False))
+            last = F.last(F.when(F.col("__hit") | stop, F.col("__hit")), ignorenulls=True).over(so_far)  # whether a hit came after the last stop
+            d = d.withColumn(f"__go{name}", F.coalesce(last, F.lit(False)))
             carried = carried | F.col(f"__go{name}")
     carried = carried & ~F.col("__hit")
     d = d.withColumn("flagged_jump", F.col("__hit") | carried).withColumn("jump_note", F.when(F.col("__hit"), F.col("__note")).when(carried, "carryover").otherwise(""))

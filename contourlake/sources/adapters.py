@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one part where windows run over tokens: a task's memory goes by this, not by the size of the input.
+ROWS_PER_PART = 1_000_000
+
+
+def spread(data: DataFrame, key: str, rows: int) -> DataFrame:
+    """The data dealt by the key to as many parts as the number of rows asks for; as it is, where the session's own number of parts is enough."""
+    parts = -(-rows // ROWS_PER_PART)
+    return data.repartition(parts, key) if parts > int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")) else data
+
+
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames from the event stream: a token is a user's events of one type, at irregular times; some are unvoiced throughout."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -29,12 +39,13 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames from order lines: a token is an order, its lines stand at even steps of 10 ms."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
+    """Frames from order lines: a token is an order, its lines stand at even steps of 10 ms. Lines are dealt by token once, for the steps that follow too."""
+    w = Window.partitionBy("token").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem")
+    li = spread(li.withColumn("token", F.col("l_orderkey").cast("string")), "token", li.count()).withColumn("rn", F.row_number().over(w))
     f0 = F.when(F.col("l_partkey") % 17 == 0, F.lit(None).cast("double")).otherwise(80 + F.col("l_extendedprice") / 400)
     return li.select(
-        F.col("l_orderkey").cast("string").alias("token"), (F.col("rn") * 0.01).alias("time"), f0.alias("f0"), (40 + F.col("l_quantity")).alias("intensity"),
+        "token", (F.col("rn") * 0.01).alias("time"), f0.alias("f0"), (40 + F.col("l_quantity")).alias("intensity"),
         F.concat(F.lit("S"), (F.col("l_orderkey") % 13).cast("string")).alias("speaker"), F.concat(F.lit("T"), (F.col("l_orderkey") % 5).cast("string")).alias("tone"), (F.col("l_orderkey") % 40).cast("string").alias("item"),
     )
 
