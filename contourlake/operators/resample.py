@@ -31,13 +31,21 @@ def grid_time(point: Column, n: int, start: Column, end: Column) -> Column:
 
 
 def token_constant_columns(data: DataFrame, columns: list[str], *, token="token", time="time") -> list[str]:
-    """Which of the columns have one value (null counting as one) in every token, told by 64-bit hashes: one aggregation of two numbers a column."""
-    if not columns:
-        return []
+    """Which of the columns have one value (null counting as one) in every token, told by 64-bit hashes: an aggregation of two numbers a column.
+
+    What is constant in all frames is so in those of a finite time. The times, which may take a window to make, are only read for the other columns.
+    """
     differs = lambda c: F.min(F.xxhash64(c)) != F.max(F.xxhash64(c))
-    per = data.filter(finite(time)).groupBy(token).agg(*(differs(c).alias(c) for c in columns))
-    some = per.agg(*(F.bool_or(c).alias(c) for c in columns)).first()
-    return [c for c in columns if not some[c]]
+
+    def varying(rows: DataFrame, of: list[str]) -> list[str]:
+        if not of:
+            return []
+        per = rows.groupBy(token).agg(*(differs(c).alias(c) for c in of))
+        some = per.agg(*(F.bool_or(c).alias(c) for c in of)).first()
+        return [c for c in of if some[c]]
+
+    out = varying(data.filter(finite(time)), varying(data, columns))
+    return [c for c in columns if c not in out]
 
 
 def resample_equal(data: DataFrame, *, n=21, token="token", time="time", f0="f0", intensity="intensity", method="linear", carried: list[str] | None = None) -> DataFrame:
@@ -64,8 +72,8 @@ def resample_equal(data: DataFrame, *, n=21, token="token", time="time", f0="f0"
         backwards = whole.orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, -1)
         d = d.withColumn("__above", F.last(sounding, ignorenulls=True).over(backwards))
         d = d.withColumn("__below", F.last(sounding, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.select("*", (F.row_number().over(w) - 1).alias("__k"), *(F.lead(f"__{c}").over(w).alias(f"__n{c}") for c in "tfi"))
-    d = d.select("*", F.min("__t").over(whole).alias("__t0"), F.max("__t").over(whole).alias("__t9"), F.count("*").over(whole).alias("__m"))
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # of the order of w, so all these are one pass over a token
+    d = d.select("*", (F.row_number().over(w) - 1).alias("__k"), *(F.lead(f"__{c}").over(w).alias(f"__n{c}") for c in "tfi"), F.min("__t").over(every).alias("__t0"), F.max("__t").over(every).alias("__t9"), F.count("*").over(every).alias("__m"))
     span = F.col("__t9") - F.col("__t0")
     d = d.withColumn("__dx", F.try_divide(span, F.col("__m") - 1))
     off = F.sum(F.abs(F.col("__nt") - F.col("__t") - F.col("__dx"))).over(whole)

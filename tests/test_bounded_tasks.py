@@ -36,3 +36,22 @@ def test_carryover_between_stops(spark, frames):
     f0 = [100, 100, 210, 212, None, 211, 100, 102, 104, 220, 221, 100, 100]
     got = I.flag_pitch_jumps(frames([("a", 0.01 * i, None if f is None else float(f)) for i, f in enumerate(f0)])).orderBy("time").collect()
     assert [(r["flagged_jump"], r["jump_note"]) for r in got] == CARRIED
+
+
+def test_constant_columns_do_not_need_times(spark):
+    """A column that is constant in all frames is told without the times; only the others look at them."""
+    from contourlake.operators.resample import token_constant_columns
+
+    rows = spark.createDataFrame([("a", 1.0, "x", 1), ("a", 2.0, "x", 1), ("a", None, "x", 2), ("b", 1.0, None, 1), ("b", 2.0, None, 3)], "token string, time double, c string, d int")
+    never = rows.withColumn("time", F.raise_error(F.lit("times were read")).cast("double"))
+    assert token_constant_columns(never, ["c"]) == ["c"]
+    assert token_constant_columns(rows, ["c", "d"]) == ["c"]
+    assert token_constant_columns(rows.filter("token = 'a'"), ["c", "d"]) == ["c", "d"]
+
+
+def test_resampling_passes(spark):
+    """Neighbours, ends and the number of frames of a token come from one window."""
+    from contourlake.operators.resample import resample_equal
+
+    df = resample_equal(A.order_frames(spark, SF).drop("intensity"), carried=["speaker", "tone", "item"])
+    assert len(re.findall(r"- Window \[", plan(df))) == 4
