@@ -45,26 +45,32 @@ def tier_names(tiers: list[str]) -> list[str]:
     return out
 
 
+def _order_of_one_start(intervals: DataFrame) -> list[str]:
+    """Columns that order intervals of one start: ``place``, the interval's number in its tier, where there is one; then end and label."""
+    return [c for c in ("place", "t2", "label") if c in intervals.columns]
+
+
 def number_intervals(intervals: DataFrame, *, token="token") -> DataFrame:
-    """Adds the ordinal of each interval with a label among those of its tier; null for blank ones. Intervals of one start go by their ends, then their labels."""
+    """Adds the ordinal of each interval with a label among those of its tier; null for blank ones. Intervals of one start go by their places in the tier, without these by their ends, then their labels."""
     named = F.length(F.trim(F.coalesce("label", F.lit("")))) > 0
-    w = Window.partitionBy(token, "tier").orderBy("t1", "t2", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(token, "tier").orderBy("t1", *_order_of_one_start(intervals)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return intervals.withColumn("i", F.when(named, F.sum(named.cast("int")).over(w)))
 
 
 def attach_intervals(data: DataFrame, intervals: DataFrame, tiers: list[str], *, token="token", time="time") -> DataFrame:
     """Adds <tier>, <tier>_start, <tier>_end and <tier>_i to frames: the interval with the greatest start not after the frame, if it has not ended.
 
+    Of intervals of one start the last one counts, in the order of ``number_intervals``.
     Frames and interval starts of a token and tier are laid in one order by time and the last interval is
     carried forward, so there is no join on a range; tokens are matched by their keys.
     """
     out = data.withColumn("__key", token_key(token))
-    numbered = number_intervals(intervals)
+    numbered, same = number_intervals(intervals), _order_of_one_start(intervals)
     for tier, name in zip(tiers, tier_names(tiers)):
-        marks = numbered.filter(F.col("tier") == tier).select(token_key("token").alias("__key"), F.col("t1").alias("__at"), F.lit(0).alias("__kind"), F.struct("t1", "t2", "label", "i").alias("__iv"))
+        marks = numbered.filter(F.col("tier") == tier).select(token_key("token").alias("__key"), F.col("t1").alias("__at"), F.lit(0).alias("__kind"), F.struct("t1", "i", *same).alias("__iv"))
         frames = out.withColumn("__row", F.struct(*out.columns)).select("__key", F.col(time).alias("__at"), F.lit(1).alias("__kind"), "__row")
         both = frames.unionByName(marks, allowMissingColumns=True)
-        w = Window.partitionBy("__key").orderBy("__at", "__kind", "__iv.t2", "__iv.label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy("__key").orderBy("__at", "__kind", *(f"__iv.{c}" for c in same)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         both = both.withColumn("__last", F.when(F.col("__key").isNotNull(), F.last("__iv", ignorenulls=True).over(w))).filter("__kind = 1")
         fits = F.col("__at") <= F.col("__last.t2")
         put = lambda c, fits=fits: F.when(fits, F.col(f"__last.{c}"))

@@ -54,7 +54,7 @@ def _(spark, sf_dir):
     text = iv.withColumn("line", line).groupBy("token").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t1", "line"))), lambda x: x["line"]), "").alias("body"))
     head = 'File type = "ooTextFile"\nObject class = "TextGrid"\n\nitem []: \n    item [1]:\n        class = "IntervalTier" \n        name = "Rime 1" \n'
     tail = '    item [2]:\n        class = "TextTier" \n        name = "marks" \n        points [1]:\n            number = 1 \n            mark = "x" \n'
-    return S.parse_intervals(text.select("token", F.concat(F.lit(head), "body", F.lit(tail)).alias("content")))
+    return S.parse_intervals(text.select("token", F.concat(F.lit(head), "body", F.lit(tail)).alias("content"))).drop("place")
 
 
 @query("s3_s4_pitch_files", """n AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY time) AS i, split_part(token, '_', 1)::INTEGER % 2 = 0 AS even FROM frames)

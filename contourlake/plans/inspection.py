@@ -221,7 +221,7 @@ def _(spark, sf_dir):
 
 @query("w13_segment_ordinal", ATTACHED + " SELECT token, tier, t1, t2, label, i::BIGINT AS i FROM num", "t1 t2")
 def _(spark, sf_dir):
-    return R.number_intervals(event_intervals(event_frames(spark, sf_dir)))
+    return R.number_intervals(event_intervals(event_frames(spark, sf_dir))).drop("place")
 
 
 for _mode, _sql in (("vowel", "rime_1 = 'a'"), ("labels", "trim(rime_1) IN ('t', 'n')"), ("rhyme", "rime_1_i >= 2")):

@@ -55,12 +55,12 @@ PARTS = ((0.0, 0.1013579, ""), (0.1013579, 0.3517283, "t"), (0.3517283, 0.701246
 
 
 def event_intervals(frames: DataFrame) -> DataFrame:
-    """An interval tier per token: its time range cut at fixed fractions, for every token that is not a view."""
+    """An interval tier per token: its time range cut at fixed fractions, for every token that is not a view; ``place`` is an interval's number in its tier."""
     spans = frames.filter("tone <> 'view'").groupBy("token").agg(F.min("time").alias("t0"), F.max("time").alias("t9"))
     parts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(x).alias("label")) for a, b, x in PARTS))
     at = lambda c: F.col("t0") + (F.col("t9") - F.col("t0")) * F.col(c)
-    cut = spans.select("token", "t0", "t9", F.explode(parts).alias("p")).select("token", "t0", "t9", "p.*")
-    return cut.select("token", F.lit("Rime 1").alias("tier"), at("a").alias("t1"), at("b").alias("t2"), "label")
+    cut = spans.select("token", "t0", "t9", F.posexplode(parts).alias("place", "p")).select("token", "t0", "t9", "place", "p.*")
+    return cut.select("token", F.lit("Rime 1").alias("tier"), at("a").alias("t1"), at("b").alias("t2"), "label", "place")
 
 
 def speaker_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,15 +76,15 @@ def pitch_frames(pitch: DataFrame, tiers: DataFrame) -> DataFrame:
 
 
 def parse_intervals(files: DataFrame) -> DataFrame:
-    """Interval tiers of annotation files: token, tier, t1, t2, label; point tiers are left out."""
+    """Interval tiers of annotation files: token, tier, t1, t2, label and place, the interval's number in its tier; point tiers are left out."""
     parts = F.split("content", r"item \[\d+\]:")
     tiers = files.select("token", F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("part")).filter(F.col("part").contains('class = "IntervalTier"'))
     text = r'"((?:[^"]|"")*+)"'
     one = rf"intervals \[\d+\]:?\s*xmin = {NUMBER}\s*xmax = {NUMBER}\s*text = {text}"
     take = lambda i: F.regexp_extract_all("part", F.lit(one), F.lit(i))
-    each = tiers.select("token", F.regexp_extract("part", f"name = {text}", 1).alias("tier"), F.explode(F.arrays_zip(take(1).alias("a"), take(2).alias("b"), take(3).alias("x"))).alias("p"))
+    each = tiers.select("token", F.regexp_extract("part", f"name = {text}", 1).alias("tier"), F.posexplode(F.arrays_zip(take(1).alias("a"), take(2).alias("b"), take(3).alias("x"))).alias("place", "p"))
     quotes = lambda c: F.replace(c, F.lit('""'), F.lit('"'))
-    return each.select("token", quotes(F.col("tier")).alias("tier"), F.col("p.a").try_cast("double").alias("t1"), F.col("p.b").try_cast("double").alias("t2"), quotes(F.col("p.x")).alias("label"))
+    return each.select("token", quotes(F.col("tier")).alias("tier"), F.col("p.a").try_cast("double").alias("t1"), F.col("p.b").try_cast("double").alias("t2"), quotes(F.col("p.x")).alias("label"), "place")
 
 
 def interval_tier_names(files: DataFrame, max_read: int = 12) -> list[str]:
